@@ -96,14 +96,25 @@ def _json_number_or_int_string(v) -> Column:
     )
 
 
-def body_duration_ms(body_v, rules: Rules = DEFAULT_RULES) -> Column:
-    """First positive duration among the body's duration keys."""
+def body_duration_ms(body_v, rules: Rules = DEFAULT_RULES, body_text=None) -> Column:
+    """First positive duration among the body's duration keys.
+
+    With ``body_text`` (the canonical body text) the typed variant lookups
+    only run for bodies whose text contains one of the quoted key names -
+    exact, since a top-level key always appears quoted in the text.
+    """
     bv = _col(body_v)
     arms = []
     for key in rules.duration_fields:
         d = _json_number_or_int_string(F.try_variant_get(bv, f"$.{key}", "variant"))
         arms.append(F.when(d > 0, d))
-    return F.coalesce(*arms)
+    value = F.coalesce(*arms)
+    if body_text is None:
+        return value
+    # "duration" also covers "duration_ms"; likewise elapsed / latency
+    stems = sorted({k for k in rules.duration_fields
+                    if not any(k != o and k.startswith(o) for o in rules.duration_fields)})
+    return F.when(contains_any(_col(body_text), [f'"{k}' for k in stems]), value)
 
 
 def duration_level(ms, rules: Rules = DEFAULT_RULES) -> Column:

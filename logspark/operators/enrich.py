@@ -80,7 +80,7 @@ def with_text(n: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     return staged.select(
         *staged.columns,
         F.lower("text").alias("text_lower"),
-        A.body_duration_ms("body_v", rules).alias("duration_ms"),
+        A.body_duration_ms("body_v", rules, body_text="body").alias("duration_ms"),
     ).select(
         "*",
         A.base_category("text_lower", rules).alias("base_category"),

@@ -27,13 +27,13 @@ def request_metrics(access: DataFrame, by_path: bool = False) -> DataFrame:
     return g.withColumn("error_rate", rate_percent_text(F.col("total_errors"), F.col("total_requests")))
 
 
-def last_n_per_key(df: DataFrame, key: str = "path", n: int = 100,
-                   order: tuple = (F.col("ts").desc(), F.col("id").desc())) -> DataFrame:
+def last_n_per_key(df: DataFrame, key: str = "path", n: int = 100, order: tuple | None = None) -> DataFrame:
     """G1: the newest n rows per key (older ones dropped first).
 
     ``row_number() <= n`` is planned with a WindowGroupLimit before the
     shuffle, so each map task forwards at most n rows per key.
     """
+    order = order or (F.col("ts").desc(), F.col("id").desc())
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= n)
 

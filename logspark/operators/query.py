@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from logspark.functions import normalize as N
 from logspark.functions.formatting import as_timestamp
 
-NEWEST_FIRST = (F.col("created_at").desc(), F.col("id").desc())
+
+def newest_first_order() -> tuple[Column, Column]:
+    """created_at descending, id descending (the id tie-break is ours)."""
+    return F.col("created_at").desc(), F.col("id").desc()
 
 
 @dataclass(frozen=True)
@@ -90,7 +93,7 @@ def day_filter(day) -> LogFilter:
 
 def newest_first(df: DataFrame) -> DataFrame:
     """E9 (id tie-break is ours)."""
-    return df.orderBy(*NEWEST_FIRST)
+    return df.orderBy(*newest_first_order())
 
 
 def page(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:

@@ -183,9 +183,9 @@ def pattern_stats(logs: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """logs with an HTTP status code, a stack trace, a security issue and
     a performance issue (text pattern or positive body duration)."""
     text = A.searchable_text("title", "description", "body")
-    staged = logs.select(text.alias("text"), F.try_parse_json("body").alias("body_v"))
+    staged = logs.select(text.alias("text"), "body", F.try_parse_json("body").alias("body_v"))
     staged = staged.select("text", F.lower("text").alias("text_lower"),
-                           A.body_duration_ms("body_v", rules).alias("duration_ms"))
+                           A.body_duration_ms("body_v", rules, body_text="body").alias("duration_ms"))
     return staged.agg(
         F.count_if(A.http_status_code("text").isNotNull()).alias("http_codes"),
         F.count_if(A.stack_trace("text_lower", rules)).alias("stack_traces"),

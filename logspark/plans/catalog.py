@@ -24,7 +24,7 @@ from logspark.operators import stats as S
 from logspark.operators.enrich import enrich, ingest
 from logspark.plans import oracle as O
 from logspark.sources import adapters as AD
-from logspark.sources.store import assign_ids, stored_logs
+from logspark.sources.store import assign_ids, derived_table, spread, stored_logs
 
 AS_OF = "2024-01-29 12:00:00"
 AS_OF_LATER = "2024-02-10 12:00:00"
@@ -50,7 +50,7 @@ def enriched(spark: SparkSession, sf: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf: str) -> DataFrame:
     """The stored log table: events enriched once per session, then scanned."""
-    return stored_logs(spark, f"logs:{sf}", lambda: enriched(spark, sf))
+    return stored_logs(spark, f"logs:{sf}", lambda: enrich(AD.raw_logs(spread(events(spark, sf)))))
 
 
 def access(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +59,7 @@ def access(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_logs(spark: SparkSession, sf: str) -> DataFrame:
     return stored_logs(spark, f"documents:{sf}",
-                       lambda: enrich(AD.document_logs(AD.read_table(spark, sf, "documents"))))
+                       lambda: enrich(AD.document_logs(spread(AD.read_table(spark, sf, "documents")))))
 
 
 # ---------------------------------------------------------------- SQL helpers
@@ -195,13 +195,18 @@ def _doc_counts(spark, sf):
 
 
 def _generated(spark, sf):
+    """One synthetic log per event, keyed by event_id and stamped with its ts."""
     from logspark.operators.synth import generate_for
 
-    return generate_for(events(spark, sf).select(F.col("event_id").alias("id")), seed=42)
+    ids = events(spark, sf).select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    return generate_for(ids, seed=42)
 
 
 def _generated_categories(spark, sf):
-    return S.category_counts(enrich(_generated(spark, sf)))
+    """Generate -> store the raw dataset -> ingest -> store -> count."""
+    raw = derived_table(spark, f"generated-raw:{sf}", lambda: spread(_generated(spark, sf)))
+    stored = stored_logs(spark, f"generated:{sf}", lambda: enrich(raw))
+    return S.category_counts(stored)
 
 
 def _approx(spark, sf):

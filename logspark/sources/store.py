@@ -102,6 +102,14 @@ def derived_table(spark: SparkSession, key: str, build: Callable[[], DataFrame],
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over at least ``min_partitions`` tasks when the
+    input has fewer splits (a few large files); a no-op on a cluster-sized
+    input, where the scan already yields more splits than cores."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def stored_logs(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Enriched logs written once (partitioned by log_date) and scanned."""
     df = derived_table(spark, key, lambda: build().select(*LOG_COLUMNS), ("log_date",))
