@@ -183,18 +183,25 @@ def record_json(logs: DataFrame) -> DataFrame:
     return record_view(logs).select("id", F.to_json(F.struct("*")).alias("json"))
 
 
-def event_view(logs: DataFrame) -> DataFrame:
-    """Like the record view, but empty optional fields kept as ''."""
-    e = lambda c: F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(""))
-    return logs.select(
-        "id",
+def event_columns() -> list[Column]:
+    """B10 columns: the record view with empty optional fields kept as ''."""
+    def e(c):
+        return F.coalesce(F.col(c), F.lit(""))
+
+    return [
+        F.col("id"),
         F.struct(e("title").alias("title"), N.effective_severity().alias("severity"), e("source").alias("source"),
                  N.effective_color().alias("color"), e("description").alias("description")).alias("header"),
         F.coalesce(F.try_parse_json("body"), F.parse_json(F.lit("{}"))).alias("body"),
         F.struct(e("derived_severity").alias("derived_severity"), e("derived_source").alias("derived_source"),
                  e("derived_category").alias("derived_category")).alias("metadata"),
         N.rfc3339("created_at").alias("created_at"),
-    )
+    ]
+
+
+def event_view(logs: DataFrame) -> DataFrame:
+    """Like the record view, but empty optional fields kept as ''."""
+    return logs.select(*event_columns())
 
 
 def receipt(logs: DataFrame) -> DataFrame:

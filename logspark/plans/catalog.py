@@ -213,6 +213,92 @@ def _approx(spark, sf):
     return M.approx_percentiles(access(spark, sf), "duration_ms", M.DEFAULT_PERCENTILES, ("path",))
 
 
+_RUNS = {"n": 0}
+
+
+def _run_name(base: str) -> str:
+    _RUNS["n"] += 1
+    return f"{base}-{_RUNS['n']}"
+
+
+def _stream_logs(spark, sf):
+    from logspark.streaming import stream as ST
+
+    return enrich(AD.raw_logs(ST.events_stream(spark, sf)))
+
+
+def _stream_deleted(spark, sf):
+    """The logs of error events, as a stream of deleted records."""
+    from logspark.streaming import stream as ST
+
+    return enrich(AD.raw_logs(ST.events_stream(spark, sf).filter(F.col("event_type") == "error")))
+
+
+def _stream_enriched(spark, sf):
+    from logspark.streaming import stream as ST
+
+    return ST.run_available(_stream_logs(spark, sf), _run_name("enrich"), "append")
+
+
+def _stream_running(spark, sf):
+    from logspark.streaming import stream as ST
+
+    feed = ST.change_feed(_stream_logs(spark, sf), _stream_deleted(spark, sf))
+    return ST.run_available(ST.running_stats(feed), _run_name("running"), "update", ("kind", "key"))
+
+
+def _stream_hourly(spark, sf):
+    from logspark.streaming import stream as ST
+
+    return ST.run_available(ST.hourly_counts(_stream_logs(spark, sf)), _run_name("hourly"), "update", ("hour",))
+
+
+def _stream_sliding(spark, sf):
+    from logspark.streaming import stream as ST
+
+    return ST.run_available(ST.sliding_day_counts(_stream_logs(spark, sf)), _run_name("sliding"), "update",
+                            ("window_start",))
+
+
+def _stream_ring(spark, sf):
+    from logspark.streaming import stream as ST
+
+    acc = AD.access_logs(ST.events_stream(spark, sf))
+    return ST.run_available(ST.last_durations(acc, 100), _run_name("ring"), "update", ("path",))
+
+
+def _stream_progress(spark, sf):
+    from logspark.streaming import stream as ST
+
+    acc = AD.access_logs(ST.events_stream(spark, sf))
+    return ST.run_available(ST.progress(acc), _run_name("progress"), "update", ("second",))
+
+
+def _stream_tail(spark, sf):
+    from logspark.streaming import stream as ST
+
+    gone = _stream_deleted(spark, sf).select("id")
+    return ST.live_tail(_stream_logs(spark, sf), gone, _run_name("tail"), 100)
+
+
+def _stream_snapshots(spark, sf):
+    from logspark.streaming import stream as ST
+
+    return ST.stats_snapshots(_stream_logs(spark, sf), _run_name("snapshots"))
+
+
+def _stream_ingest(spark, sf):
+    from logspark.streaming import stream as ST
+
+    base = ST._stream_dir(spark, _run_name("ingest"))
+    raw = AD.raw_logs(ST.events_stream(spark, sf))
+    q = ST.ingest_stream(raw, f"{base}/store", f"{base}/rejected", f"{base}/checkpoint", f"{base}/feed") \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    from logspark.schema import LOGS
+    return spark.read.schema(LOGS).parquet(f"{base}/store")
+
+
 def build_registry() -> list[Registered]:
     R: list[Registered] = []
 
@@ -404,6 +490,33 @@ UNION ALL SELECT 'logspark_http_errors_total', 'counter', 'Total number of HTTP
         f"SELECT {EFF} AS severity, derived_category AS category, derived_source AS source, count(*) AS n FROM logs GROUP BY 1, 2, 3",
         O.document_logs_sql()), "C D on long texts")
 
+    # --- streaming (availableNow over the events table, read back as batch)
+    deleted_ids = "(SELECT event_id FROM events WHERE event_type = 'error')"
+    reg("stream_enriched_logs", _stream_enriched, O.with_logs("SELECT * FROM logs"), "J1 A10")
+    reg("stream_ingest_store", _stream_ingest, O.with_logs("SELECT * FROM logs"), "A10 A9 I5")
+    reg("stream_running_stats", _stream_running, O.with_logs(f"""SELECT 'total' AS kind, CAST(NULL AS VARCHAR) AS key, count(*) AS n
+  FROM logs WHERE id NOT IN {deleted_ids}
+UNION ALL SELECT 'by_severity', {EFF}, count(*) FROM logs WHERE id NOT IN {deleted_ids} GROUP BY 2
+UNION ALL SELECT 'by_source', coalesce(source, 'unknown'), count(*) FROM logs WHERE id NOT IN {deleted_ids} GROUP BY 2
+UNION ALL SELECT DISTINCT 'by_severity', {EFF}, 0 FROM logs WHERE id IN {deleted_ids}
+  AND {EFF} NOT IN (SELECT {EFF} FROM logs WHERE id NOT IN {deleted_ids})
+UNION ALL SELECT DISTINCT 'by_source', coalesce(source, 'unknown'), 0 FROM logs WHERE id IN {deleted_ids}
+  AND coalesce(source, 'unknown') NOT IN (SELECT coalesce(source, 'unknown') FROM logs WHERE id NOT IN {deleted_ids})"""),
+        "J2 J3")
+    reg("stream_hourly_counts", _stream_hourly, O.with_logs(f"""SELECT date_trunc('hour', created_at) AS hour, count(*) AS total,
+  count(*) FILTER (WHERE {EFF} IN ('error', 'critical')) AS errors FROM logs GROUP BY 1"""), "J7")
+    reg("stream_sliding_day_counts", _stream_sliding, O.with_logs("""SELECT date_trunc('hour', created_at) - to_hours(k) AS window_start,
+  date_trunc('hour', created_at) - to_hours(k) + INTERVAL 24 HOUR AS window_end, count(*) AS n
+FROM logs, range(24) r(k) GROUP BY 1, 2"""), "J8")
+    reg("stream_ring_buffer", _stream_ring, f"""WITH a AS ({O.access_logs_sql()}),
+r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, id DESC) AS rn FROM a)
+SELECT path, count(*) AS buffered, sum(CAST(duration_ms AS DOUBLE)) / count(*) AS avg_ms, max(duration_ms) AS max_ms,
+  max(ts) AS newest_ts FROM r WHERE rn <= 100 GROUP BY path""", "J6 G1")
+    reg("stream_progress", _stream_progress, None, "J9")
+    reg("stream_live_tail", _stream_tail, O.with_logs(f"""SELECT id, title, {EFF} AS severity, source, created_at FROM logs
+WHERE id NOT IN {deleted_ids} {NEWEST} LIMIT 100"""), "J5")
+    reg("stream_stats_snapshots", _stream_snapshots, None, "J4")
+
     # --- synthetic generation (rows-only: hash-seeded values)
     reg("generated_logs", _generated, None, "K1-K12")
     reg("generated_category_counts", _generated_categories, None, "K1 F28")
