@@ -1,0 +1,112 @@
+"""Generator (K) statistics and determinism; streaming results equal batch results (J)."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from logspark.operators import stats as S
+from logspark.operators.enrich import enrich
+from logspark.operators.synth import CATEGORY_WEIGHTS, apply_severity_mix, generate_for, generate_logs, with_arrival_times
+from logspark.sources.adapters import access_logs, raw_logs, read_table
+from logspark.streaming import stream as ST
+from tests.conftest import SF_SMALL
+
+
+def test_same_output_for_any_partitioning(spark):
+    one = generate_for(spark.range(0, 5000, 1, 1), seed=11)
+    eight = generate_for(spark.range(0, 5000, 1, 8), seed=11)
+    assert one.exceptAll(eight).count() == 0 and eight.exceptAll(one).count() == 0
+    other_seed = generate_for(spark.range(0, 5000, 1, 8), seed=12)
+    assert other_seed.exceptAll(one).count() > 0
+
+
+def test_category_shares(spark):
+    n = 200_000
+    got = {r.category: r.n for r in generate_for(spark.range(n), seed=3).groupBy("category")
+           .agg(F.count(F.lit(1)).alias("n")).collect()}
+    for cat, w in CATEGORY_WEIGHTS:
+        assert abs(got[cat] / n * 100 - w) < 1.0, (cat, got[cat])
+
+
+def test_category_subset_and_unknown(spark):
+    only = generate_for(spark.range(2000), seed=5, categories=["security", "business"])
+    assert {r.category for r in only.select("category").distinct().collect()} == {"security", "business"}
+    mixed = generate_for(spark.range(4000), seed=5, categories=["nope"])
+    assert len({r.category for r in mixed.select("category").distinct().collect()}) == 7
+
+
+def test_chaos_raises_error_share(spark):
+    def error_share(chaos):
+        logs = enrich(generate_for(spark.range(20000), seed=9, chaos=chaos))
+        r = S.error_rate(logs).first()
+        return r.error_rate
+    assert error_share(True) > error_share(False) + 5
+
+
+def test_generated_bodies_are_objects_and_titles_present(spark):
+    g = generate_for(spark.range(3000), seed=1)
+    assert g.filter(F.col("title").isNull() | (F.col("title") == "")).count() == 0
+    bodies = g.filter(F.col("body").isNotNull()).select(F.schema_of_variant(F.parse_json("body")).alias("k"))
+    assert bodies.filter(~F.col("k").startswith("OBJECT")).count() == 0
+
+
+def test_arrival_times(spark):
+    g = with_arrival_times(spark.range(0, 3000, 1, 4), dt.datetime(2024, 1, 1), 3, 30, seed=2, block_rows=256)
+    rows = sorted((r.id, r.created_at) for r in g.select("id", "created_at").collect())
+    gaps = [(b[1] - a[1]).total_seconds() for a, b in zip(rows, rows[1:])]
+    assert min(gaps) >= 3 and max(gaps) < 30
+    assert rows[0][1] >= dt.datetime(2024, 1, 1, 0, 0, 3)
+
+
+def test_severity_mix_fills_missing(spark):
+    g = apply_severity_mix(generate_for(spark.range(5000), seed=4), "chaos", seed=4)
+    assert g.filter(F.col("severity").isNull()).count() == 0
+
+
+def test_generate_logs_end_to_end(spark):
+    g = generate_logs(spark, 2000, seed=7)
+    assert g.count() == 2000 and g.filter(F.col("created_at").isNull()).count() == 0
+
+
+def _as_set(df, cols):
+    return {tuple(r) for r in df.select(*cols).collect()}
+
+
+def test_stream_hourly_equals_batch(spark):
+    batch = enrich(raw_logs(read_table(spark, SF_SMALL, "events")))
+    want = batch.groupBy(F.date_trunc("hour", "created_at").cast("timestamp_ntz").alias("hour")).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.coalesce("derived_severity", "severity").isin("error", "critical")).alias("errors"))
+    got = ST.run_available(ST.hourly_counts(enrich(raw_logs(ST.events_stream(spark, SF_SMALL)))),
+                           "test-hourly", "update", ("hour",))
+    assert _as_set(got, ["hour", "total", "errors"]) == _as_set(want, ["hour", "total", "errors"])
+
+
+def test_stream_ring_buffer_equals_batch(spark):
+    got = ST.run_available(ST.last_durations(access_logs(ST.events_stream(spark, SF_SMALL)), 10),
+                           "test-ring", "update", ("path",))
+    want = ST.last_durations_batch(access_logs(read_table(spark, SF_SMALL, "events")), 10)
+    cols = ["path", "buffered", "avg_ms", "max_ms", "newest_ts"]
+    assert _as_set(got, cols) == _as_set(want, cols)
+
+
+def test_stream_running_stats_with_deletes(spark):
+    created = enrich(raw_logs(ST.events_stream(spark, SF_SMALL)))
+    deleted = enrich(raw_logs(ST.events_stream(spark, SF_SMALL).filter(F.col("event_type") == "click")))
+    got = ST.run_available(ST.running_stats(ST.change_feed(created, deleted)), "test-running", "update", ("kind", "key"))
+    ev = read_table(spark, SF_SMALL, "events")
+    kept = enrich(raw_logs(ev.filter(F.col("event_type") != "click")))
+    want = {("by_severity", r.severity): r.n for r in S.severity_counts(kept).collect()}
+    got_sev = {(r.kind, r.key): r.n for r in got.filter(F.col("kind") == "by_severity").filter(F.col("n") > 0).collect()}
+    assert got_sev == want
+    assert got.filter(F.col("kind") == "total").first().n == kept.count()
+
+
+@pytest.mark.parametrize("n", [3])
+def test_stream_live_tail(spark, n):
+    created = enrich(raw_logs(ST.events_stream(spark, SF_SMALL)))
+    tail = ST.live_tail(created, None, "test-tail", n)
+    batch = enrich(raw_logs(read_table(spark, SF_SMALL, "events")))
+    want = [r.id for r in batch.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n).collect()]
+    assert [r.id for r in tail.orderBy(F.col("created_at").desc(), F.col("id").desc()).collect()] == want
