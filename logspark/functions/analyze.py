@@ -23,6 +23,16 @@ HTTP_STATUS_REGEXES_JAVA = (
     r"""(?iu)"status"[\t\n\f\r :]+["']?([0-9]{3})""",
     r"""(?iu)"status_code"[\t\n\f\r :]+["']?([0-9]{3})""",
 )
+# Words one of which the lower-cased text must contain for the pattern of
+# the same position to match; U+017F (long s) case-folds to "s" but is its
+# own lower case, so it joins every guard with an "s" in it.
+HTTP_STATUS_GUARDS = (
+    ("status", "http", "code", "\u017f"),
+    ("returned",),
+    ("error", "ok", "found"),
+    ('"status', '"\u017ftatus', "\u017f"),
+    ('"status_code', "\u017f"),
+)
 
 
 def _col(c) -> Column:
@@ -75,12 +85,18 @@ def security_issue(text_lower, rules: Rules = DEFAULT_RULES) -> Column:
     return contains_any(text_lower, rules.security)
 
 
-def base_category(text_lower, rules: Rules = DEFAULT_RULES) -> Column:
-    """Security, then the word groups in order, else general."""
+def base_category(text_lower, rules: Rules = DEFAULT_RULES, include_security: bool = True) -> Column:
+    """Security, then the word groups in order, else general.
+
+    ``include_security=False`` leaves out the security arm - for use inside
+    ``decide``, whose category-keeping steps are only reached after the
+    security test has failed.
+    """
     t = _col(text_lower)
-    out = F.when(security_issue(t, rules), F.lit("security"))
+    out = F.when(security_issue(t, rules), F.lit("security")) if include_security else None
     for name, words in rules.category_words:
-        out = out.when(contains_any(t, words), F.lit(name))
+        hit = contains_any(t, words)
+        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out.otherwise(F.lit("general"))
 
 
@@ -135,10 +151,18 @@ def level_severity(level, rules: Rules = DEFAULT_RULES) -> Column:
     return out
 
 
-def http_status_code(text) -> Column:
-    """Status code text from the first pattern that matches, else NULL."""
+def http_status_code(text, text_lower=None) -> Column:
+    """Status code text from the first pattern that matches, else NULL.
+
+    With ``text_lower`` each regex only runs when its guard words occur
+    (exact: a match needs one of them), so most rows skip the regexes.
+    """
     t = _col(text)
-    return F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in HTTP_STATUS_REGEXES_JAVA])
+    arms = []
+    for p, guard in zip(HTTP_STATUS_REGEXES_JAVA, HTTP_STATUS_GUARDS):
+        found = F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
+        arms.append(found if text_lower is None else F.when(contains_any(_col(text_lower), guard), found))
+    return F.coalesce(*arms)
 
 
 def http_status_severity(code, rules: Rules = DEFAULT_RULES) -> Column:
@@ -172,12 +196,16 @@ def _verdict(severity, category, rule) -> Column:
 
 
 def decide(text="text", text_lower="text_lower", duration_ms="duration_ms", category="base_category",
-           rules: Rules = DEFAULT_RULES) -> Column:
+           rules: Rules = DEFAULT_RULES, severity_needed=None) -> Column:
     """The ordered cascade; returns struct(severity, category, rule).
 
     Expects the searchable text, its lower-case form, the body duration
     (``body_duration_ms``) and the base category as already materialised
     columns, so nothing below is evaluated twice.
+
+    ``severity_needed`` (a boolean column) skips the keyword-severity scan
+    where the caller will discard the inferred severity anyway; the last
+    step then yields a NULL severity, while category and rule are unchanged.
     """
     t, tl, dur, cat = _col(text), _col(text_lower), _col(duration_ms), _col(category)
     security = F.when(security_issue(tl, rules), _verdict("critical", "security", "security"))
@@ -187,9 +215,12 @@ def decide(text="text", text_lower="text_lower", duration_ms="duration_ms", cate
                                                   "performance", "duration"))
     http_table = F.create_map(*[x for status, sev in rules.http_status
                                 for x in (F.lit(status), _verdict(sev, "http", "http_status"))])
-    http = F.try_element_at(http_table, http_status_code(t))
+    http = F.try_element_at(http_table, http_status_code(t, tl))
     stack = F.when(stack_trace(tl, rules), _verdict("error", cat, "stack_trace"))
     database = first_match(tl, rules.database, wrap=lambda s: _verdict(s, "database", "database"))
     system = first_match(t, rules.system_codes, wrap=lambda s: _verdict(s, "system", "system_code"))
-    keywords = _verdict(keyword_severity(tl, rules), cat, "keywords")
+    kw = keyword_severity(tl, rules)
+    if severity_needed is not None:
+        kw = F.when(severity_needed, kw)
+    keywords = _verdict(kw, cat, "keywords")
     return F.coalesce(security, business, perf_text, perf_body, http, stack, database, system, keywords)

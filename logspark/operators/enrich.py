@@ -72,7 +72,8 @@ def validate(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_text(n: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """C1, C2, C3, C7 materialised once per row."""
+    """C1, C2, C3 (without its security arm, see ``decide``), C7
+    materialised once per row."""
     staged = n.select(
         *n.columns,
         A.searchable_text("title", "description", "body").alias("text"),
@@ -83,17 +84,19 @@ def with_text(n: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
         A.body_duration_ms("body_v", rules, body_text="body").alias("duration_ms"),
     ).select(
         "*",
-        A.base_category("text_lower", rules).alias("base_category"),
+        A.base_category("text_lower", rules, include_security=False).alias("base_category"),
     )
 
 
-def analysis(n: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Ungated analysis of normalised records: adds ``verdict`` =
-    struct(severity, category, rule) and ``inferred_source``."""
+def analysis(n: DataFrame, rules: Rules = DEFAULT_RULES, for_gate: bool = False) -> DataFrame:
+    """Analysis of normalised records: adds ``verdict`` = struct(severity,
+    category, rule) and ``inferred_source``.  With ``for_gate`` the keyword
+    severity is only computed where the gate keeps it (header severity info)."""
     t = with_text(n, rules)
+    needed = (F.col("severity") == "info") if for_gate else None
     return t.select(
         *n.columns,
-        A.decide("text", "text_lower", "duration_ms", "base_category", rules).alias("verdict"),
+        A.decide("text", "text_lower", "duration_ms", "base_category", rules, severity_needed=needed).alias("verdict"),
         S.derive_source("source", "body_v", "title", "text_lower", rules).alias("inferred_source"),
     )
 
@@ -115,7 +118,7 @@ def gate(analysed: DataFrame) -> DataFrame:
 def ingest(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> Ingested:
     """Validate, normalise, enrich and gate raw flat records."""
     good, bad = validate(raw)
-    return Ingested(gate(analysis(good, rules)).select(*LOG_COLUMNS), bad)
+    return Ingested(gate(analysis(good, rules, for_gate=True)).select(*LOG_COLUMNS), bad)
 
 
 def enrich(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
