@@ -85,3 +85,94 @@ def rewrite_table(kept: DataFrame, new_path: str) -> str:
     """
     kept.write.mode("overwrite").partitionBy("log_date").parquet(new_path)
     return new_path
+
+
+# ------------------------------------------------------ table maintenance
+def _fs(spark, path: str):
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def partition_days(spark, path: str) -> dict:
+    """``log_date`` partition directories of a table: {date: path}."""
+    import datetime as dt
+
+    fs, root = _fs(spark, path)
+    out = {}
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("log_date="):
+            try:
+                out[dt.date.fromisoformat(name.split("=", 1)[1])] = st.getPath().toString()
+            except ValueError:
+                continue
+    return out
+
+
+def _rewrite_days(spark, path: str, kept: DataFrame, days: list, tag: str) -> None:
+    """Replace the given ``log_date`` partitions of the table with ``kept``
+    (rows of those days only).  The rows are first written to a staging
+    folder - a partition is never overwritten while it is being read - and
+    then moved in with a dynamic partition overwrite; a day left without
+    rows is removed."""
+    import uuid
+
+    from logspark.schema import LOG_COLUMNS, LOGS
+    from logspark.session import checkpoint_dir
+
+    stage = f"{checkpoint_dir(spark).rstrip('/')}/logspark-staging/{tag}-{uuid.uuid4().hex}"
+    kept.select(*LOG_COLUMNS).write.mode("overwrite").partitionBy("log_date").parquet(stage)
+    staged = spark.read.schema(LOGS).parquet(stage)
+    still = {r.log_date for r in staged.select("log_date").distinct().collect()}   # at most len(days) rows
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("log_date").parquet(path))
+    existing = partition_days(spark, path)
+    fs, _ = _fs(spark, path)
+    for d in days:
+        if d not in still and d in existing:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(existing[d]), True)
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(stage), True)
+
+
+def cleanup_table(spark, path: str, days: int, as_of) -> dict:
+    """H3 on a stored table: drop every ``log_date`` partition before the
+    cutoff day (a directory delete, no data read) and rewrite only the
+    cutoff day itself.  Returns the H4 report as a dict."""
+    from logspark.sources.store import read_logs
+
+    cutoff = cutoff_for(days, as_of)
+    c = as_timestamp(cutoff)
+    logs = read_logs(spark, path)
+    deleted = logs.filter((F.col("log_date") <= F.lit(cutoff.date())) & (F.col("created_at") < c)).count()
+    parts = partition_days(spark, path)
+    fs, _ = _fs(spark, path)
+    for d, p in parts.items():
+        if d < cutoff.date():
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p), True)
+    if cutoff.date() in parts:
+        boundary = logs.filter((F.col("log_date") == F.lit(cutoff.date())) & (F.col("created_at") >= c))
+        _rewrite_days(spark, path, boundary, [cutoff.date()], "retention")
+    message = (f"Cleaned up {deleted} logs older than {days} days" if deleted > 0
+               else f"No logs older than {days} days to clean up")
+    return {"deleted": deleted, "cutoff": cutoff, "days": days, "message": message}
+
+
+def delete_from_table(spark, path: str, ids: DataFrame, id_col: str = "id") -> dict:
+    """H2 on a stored table: rewrite only the days that hold a listed id."""
+    from logspark.sources.store import read_logs
+
+    logs = read_logs(spark, path)
+    wanted = ids.select(F.col(id_col).cast("bigint").alias("id")).filter(F.col("id").isNotNull()).distinct()
+    n_wanted = wanted.count()
+    if n_wanted == 0:
+        raise ValueError("at least one id is required")
+    side = F.broadcast(wanted) if n_wanted <= BROADCAST_ID_LIMIT else wanted
+    hit = logs.join(side, "id", "left_semi").groupBy("log_date").agg(F.count(F.lit(1)).alias("n"))
+    per_day = {r.log_date: r.n for r in hit.collect()}          # one row per affected day
+    if per_day:
+        affected = list(per_day)
+        kept = logs.filter(F.col("log_date").isin(affected)).join(side, "id", "left_anti")
+        _rewrite_days(spark, path, kept, affected, "delete")
+    deleted = sum(per_day.values())
+    return {"requested": n_wanted, "deleted": deleted, "missing": n_wanted - deleted}

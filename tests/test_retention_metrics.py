@@ -105,3 +105,55 @@ def test_delivery_report(spark):
     r = M.delivery_report(acc).first()
     assert (r.sent, r.success, r.failed, r.p50, r.max) == (6, 4, 2, 40, 100)
     assert r.rate_per_sec == pytest.approx(6 / 5.0)
+
+
+def _table(spark, raw_frame, stamps):
+    import tempfile
+
+    from logspark.sources import store
+
+    path = tempfile.mkdtemp(dir="/tmp") + "/logs"
+    store.append(stamped(raw_frame, stamps), path)
+    return path
+
+
+def _files(path):
+    import glob
+    import os
+
+    return {f: os.path.getmtime(f) for f in glob.glob(f"{path}/log_date=*/*.parquet")}
+
+
+def test_cleanup_table_rewrites_only_the_boundary_day(spark, raw_frame):
+    from logspark.sources import store
+
+    stamps = [dt.datetime(2024, 1, d, h) for d in range(1, 11) for h in (1, 13)]
+    path = _table(spark, raw_frame, stamps)
+    before = _files(path)
+    as_of = dt.datetime(2024, 1, 10, 6)            # cutoff 2024-01-05 06:00 for 5 days
+    rep = H.cleanup_table(spark, path, 5, as_of)
+    assert rep["deleted"] == 9 and rep["message"] == "Cleaned up 9 logs older than 5 days"
+    back = store.read_logs(spark, path)
+    assert back.count() == len(stamps) - 9
+    assert back.agg(F.min("created_at")).first()[0] == dt.datetime(2024, 1, 5, 13)
+    days = sorted(H.partition_days(spark, path))
+    assert days[0] == dt.date(2024, 1, 5) and len(days) == 6
+    after = _files(path)
+    later_days = [f for f in before if any(f"log_date=2024-01-{d:02d}" in f for d in range(6, 11))]
+    assert later_days and all(f in after and before[f] == after[f] for f in later_days)   # not rewritten
+
+
+def test_delete_from_table(spark, raw_frame):
+    from logspark.sources import store
+
+    stamps = [dt.datetime(2024, 2, d, 12) for d in range(1, 6) for _ in range(3)]
+    path = _table(spark, raw_frame, stamps)
+    back = store.read_logs(spark, path)
+    day3 = [r.id for r in back.filter(F.col("log_date") == dt.date(2024, 2, 3)).collect()]
+    one_day1 = back.filter(F.col("log_date") == dt.date(2024, 2, 1)).first().id
+    ids = spark.createDataFrame([(i,) for i in day3 + [one_day1, one_day1, -5]], "id long")
+    rep = H.delete_from_table(spark, path, ids)
+    assert rep == {"requested": 5, "deleted": 4, "missing": 1}
+    back = store.read_logs(spark, path)
+    assert back.count() == 11
+    assert dt.date(2024, 2, 3) not in H.partition_days(spark, path)
