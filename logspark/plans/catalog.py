@@ -292,13 +292,68 @@ def _stream_ingest(spark, sf):
 
     base = ST._stream_dir(spark, _run_name("ingest"))
     raw = AD.raw_logs(ST.events_stream(spark, sf))
-    q = ST.ingest_stream(raw, f"{base}/store", f"{base}/rejected", f"{base}/checkpoint", f"{base}/feed") \
-        .trigger(availableNow=True).start()
-    q.awaitTermination()
+    writers = ST.ingest_stream(raw, f"{base}/store", f"{base}/rejected", f"{base}/checkpoint", f"{base}/feed")
+    for q in [w.trigger(availableNow=True).start() for w in writers]:
+        q.awaitTermination()
     from logspark.schema import LOGS
     return spark.read.schema(LOGS).parquet(f"{base}/store")
 
 
+def _nested_ingest(spark, sf):
+    """A1: every event as a nested JSON line {"header": {...}, "body": ...},
+    decoded with the fixed nested schema, lifted to flat form and enriched.
+    A body that is not JSON travels as a JSON string (and is rejected)."""
+    from logspark.operators.enrich import from_nested
+    from logspark.schema import RAW_NESTED
+
+    raw = AD.raw_logs(events(spark, sf))
+    as_json_string = F.regexp_extract(F.to_json(F.array("body")), r"^\[(.*)\]$", 1)
+    body_part = (F.when(F.col("body").isNull(), F.lit(""))
+                 .when(F.try_parse_json("body").isNotNull(), F.concat(F.lit(',"body":'), F.col("body")))
+                 .otherwise(F.concat(F.lit(',"body":'), as_json_string)))
+    header = F.to_json(F.struct("title", "severity", "source", "color", "description"))
+    line = F.concat(F.lit('{"header":'), header, body_part, F.lit("}"))
+    decoded = raw.select("id", "created_at", F.from_json(line, RAW_NESTED).alias("r"))
+    return enrich(from_nested(decoded.select("id", "created_at", "r.header", "r.body")))
+
+
+def _tolerant(spark, sf):
+    from logspark.sources.store import tolerant
+
+    return tolerant(logs(spark, sf))
+
+
+def _request_span(spark, sf):
+    from logspark.functions.formatting import duration_text
+
+    a = access(spark, sf)
+    span = a.groupBy("path").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    secs = ((F.unix_micros(F.col("last_ts").cast("timestamp")) - F.unix_micros(F.col("first_ts").cast("timestamp")))
+            / 1_000_000).cast("bigint")
+    return span.select("path", "first_ts", "last_ts", secs.alias("elapsed_s"), duration_text(secs).alias("elapsed"))
+
+
+def _record_json(spark, sf):
+    return Q.record_json(logs(spark, sf))
+
+
+def _event_feed(spark, sf):
+    from logspark.streaming import stream as ST
+
+    lg = logs(spark, sf)
+    gone = lg.join(_delete_list(spark, sf).distinct(), "id", "left_semi")
+    return ST.change_feed(lg, gone)
+
+
+def _arrivals(spark, sf):
+    import datetime as _dt
+
+    from logspark.operators.synth import with_arrival_times
+
+    ids = events(spark, sf).select(F.col("event_id").alias("id"))
+    return with_arrival_times(ids, _dt.datetime(2024, 1, 1), 3, 30, seed=42)
+
+
 def build_registry() -> list[Registered]:
     R: list[Registered] = []
 
@@ -323,6 +378,10 @@ def build_registry() -> list[Registered]:
         .select("id", "created_at", "title"),
         f"WITH raw AS ({O.raw_logs_sql()}) SELECT row_number() OVER (ORDER BY created_at) AS id, created_at, title FROM raw",
         "A8")
+    reg("nested_json_ingest", _nested_ingest, O.with_logs("SELECT * FROM logs"), "A1")
+    reg("tolerant_scan", _tolerant, O.with_logs("SELECT * FROM logs"), "A7")
+    reg("record_json", _record_json, None, "B9 (JSON text)")
+    reg("change_feed_batch", _event_feed, None, "B10 J2 (batch form)")
     reg("lookup_one", lambda s, sf: Q.lookup(logs(s, sf), 4242), O.with_logs("SELECT * FROM logs WHERE id = 4242"), "A11")
 
     # --- statistics
@@ -481,6 +540,12 @@ SELECT 'logspark_http_requests_total' AS name, 'counter' AS type, 'Total number
   'logspark_http_requests_total ' || total_requests AS line FROM c
 UNION ALL SELECT 'logspark_http_errors_total', 'counter', 'Total number of HTTP errors (4xx and 5xx)', total_errors,
   'logspark_http_errors_total ' || total_errors FROM c""", "I6")
+    reg("request_span", _request_span, f"""WITH a AS ({acc}),
+s AS (SELECT path, min(ts) AS first_ts, max(ts) AS last_ts,
+        CAST(trunc((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) AS BIGINT) AS elapsed_s FROM a GROUP BY path)
+SELECT *, CASE WHEN elapsed_s // 3600 > 0 THEN (elapsed_s // 3600) || 'h ' || (elapsed_s // 60 % 60) || 'm ' || (elapsed_s % 60) || 's'
+               WHEN elapsed_s // 60 % 60 > 0 THEN (elapsed_s // 60 % 60) || 'm ' || (elapsed_s % 60) || 's'
+               ELSE (elapsed_s % 60) || 's' END AS elapsed FROM s""", "F23")
     reg("progress_per_second", lambda s, sf: M.progress(access(s, sf)), None, "J9 (batch)")
 
     # --- documents as logs: whole texts through search and enrichment
@@ -520,6 +585,7 @@ WHERE id NOT IN {deleted_ids} {NEWEST} LIMIT 100"""), "J5")
     # --- synthetic generation (rows-only: hash-seeded values)
     reg("generated_logs", _generated, None, "K1-K12")
     reg("generated_category_counts", _generated_categories, None, "K1 F28")
+    reg("generated_arrivals", _arrivals, None, "K14")
     return R
 
 

@@ -224,8 +224,9 @@ def _stream_dir(spark: SparkSession, name: str) -> str:
 def run_available(df: DataFrame, name: str, output_mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
     """Run a streaming DataFrame over everything available now.
 
-    Each micro-batch is appended (with its batch id) to an upsert log in the
-    shared checkpoint folder; the result keeps, per ``keys``, the row of the
+    Each micro-batch is written to its own batch-id folder of an upsert log
+    in the shared checkpoint folder (a replayed batch overwrites its folder,
+    so the log is exactly-once); the result keeps, per ``keys``, the row of the
     newest batch (update / complete modes) or every row (append mode with
     no keys).  Restarting with the same name resumes from the checkpoint.
     """
@@ -234,7 +235,8 @@ def run_available(df: DataFrame, name: str, output_mode: str = "append", keys: t
     out = f"{base}/log"
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("_batch", F.lit(epoch).cast("bigint")).write.mode("append").parquet(out)
+        # one folder per batch id, overwritten on replay: idempotent
+        batch.write.mode("overwrite").parquet(f"{out}/stream_batch={epoch}")
 
     q = (df.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
@@ -244,9 +246,9 @@ def run_available(df: DataFrame, name: str, output_mode: str = "append", keys: t
     except Exception:  # noqa: BLE001 - no batch produced rows
         return spark.createDataFrame([], df.schema)
     if keys:
-        w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
+        w = Window.partitionBy(*keys).orderBy(F.col("stream_batch").desc())
         result = result.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") == 1).drop("_rank")
-    return result.drop("_batch")
+    return result.drop("stream_batch")
 
 
 def live_tail(created: DataFrame, deleted_ids: DataFrame | None, name: str, n: int = 100) -> DataFrame:
@@ -295,8 +297,8 @@ def stats_snapshots(logs: DataFrame, name: str) -> DataFrame:
         if newest is None or newest.m is None:
             return
         snap = stats_long(batch, newest.m).select(
-            F.lit("stats_updated").alias("type"), F.lit(epoch).cast("bigint").alias("batch"), "kind", "key", "n")
-        snap.write.mode("append").parquet(out)
+            F.lit("stats_updated").alias("type"), "kind", "key", "n")
+        snap.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
     q = logs.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint") \
         .trigger(availableNow=True).start()
@@ -305,18 +307,25 @@ def stats_snapshots(logs: DataFrame, name: str) -> DataFrame:
 
 
 def ingest_stream(raw: DataFrame, store_path: str, rejected_path: str, checkpoint: str,
-                  feed_path: str | None = None):
-    """A10 + I5: enrich every accepted record, append it to the store
+                  feed_path: str | None = None) -> list:
+    """A10 + I5: enrich every accepted record and append it to the store
     (partitioned by log_date), quarantine rejected records and, optionally,
-    append ``log_created`` events to a feed table - one micro-batch at a
-    time, exactly once per batch id via the checkpoint."""
-    from logspark.operators.enrich import ingest
+    append ``log_created`` events to a feed table.
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        res = ingest(batch)
-        res.logs.write.mode("append").partitionBy("log_date").parquet(store_path)
-        res.rejected.write.mode("append").parquet(rejected_path)
-        if feed_path:
-            change_feed(res.logs).withColumn("batch", F.lit(epoch)).write.mode("append").parquet(feed_path)
+    Returns one ``DataStreamWriter`` per output, each a file sink with its
+    own checkpoint - Spark's file sink commits through its metadata log, so
+    every output is exactly-once even when a micro-batch is replayed.
+    """
+    from logspark.operators.enrich import ingest
 
-    return raw.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    res = ingest(raw)
+    writers = [
+        res.logs.writeStream.format("parquet").partitionBy("log_date").option("path", store_path)
+        .option("checkpointLocation", f"{checkpoint}/store"),
+        res.rejected.writeStream.format("parquet").option("path", rejected_path)
+        .option("checkpointLocation", f"{checkpoint}/rejected"),
+    ]
+    if feed_path:
+        writers.append(change_feed(res.logs).writeStream.format("parquet").option("path", feed_path)
+                       .option("checkpointLocation", f"{checkpoint}/feed"))
+    return writers
