@@ -251,36 +251,54 @@ def run_available(df: DataFrame, name: str, output_mode: str = "append", keys: t
     return result.drop("stream_batch")
 
 
+def _tail_versions(spark: SparkSession, base: str) -> list[int]:
+    """Batch ids that have a written tail under ``base`` (from the folder)."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    out = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("tail-") and fs.exists(jvm.org.apache.hadoop.fs.Path(
+                st.getPath(), "_SUCCESS")):
+            out.append(int(name[5:]))
+    return sorted(out)
+
+
 def live_tail(created: DataFrame, deleted_ids: DataFrame | None, name: str, n: int = 100) -> DataFrame:
     """The newest ``n`` logs, deletes removing their id.
 
     ``foreachBatch`` merges each micro-batch into a bounded tail table (at
     most n rows plus the batch), removes deleted ids with an anti join
-    against the (small) tail, keeps the top n and writes a new version.
+    against the small tail, keeps the top n and writes it as the version of
+    that batch id.  The previous version is found in the folder (the newest
+    completed one below the batch id), so a restarted or replayed batch
+    rebuilds exactly the same tail.
     """
     spark = created.sparkSession
     base = _stream_dir(spark, name)
     cols = ["id", "title", "severity", "source", "created_at"]
-    feed = change_feed(created.select(*[c for c in created.columns]), deleted_ids)
-    state = {"version": -1}
+    feed = change_feed(created, deleted_ids)
 
     def sink(batch: DataFrame, epoch: int) -> None:
         adds = batch.filter(F.col("type") == "log_created").select(
             "id", F.get_json_object("data", "$.header.title").alias("title"), "severity", "source", "created_at")
         gone = batch.filter(F.col("type") == "log_deleted").select("id")
-        prev = spark.read.parquet(f"{base}/tail-{state['version']}") if state["version"] >= 0 \
-            else spark.createDataFrame([], adds.schema)
+        before = [v for v in _tail_versions(spark, base) if v < epoch]
+        prev = spark.read.parquet(f"{base}/tail-{before[-1]}") if before else spark.createDataFrame([], adds.schema)
         merged = prev.unionByName(adds).join(gone, "id", "left_anti")
         top = merged.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n)
         top.select(*cols).write.mode("overwrite").parquet(f"{base}/tail-{epoch}")
-        state["version"] = epoch
 
     q = feed.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint") \
         .trigger(availableNow=True).start()
     q.awaitTermination()
-    if state["version"] < 0:
+    versions = _tail_versions(spark, base)
+    if not versions:
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in cols]))
-    return spark.read.parquet(f"{base}/tail-{state['version']}")
+    return spark.read.parquet(f"{base}/tail-{versions[-1]}")
 
 
 def stats_snapshots(logs: DataFrame, name: str) -> DataFrame:

@@ -118,3 +118,27 @@ def test_no_python_in_batch_plans(spark):
     for df in (logs, S.pattern_stats(logs), S.detection_accuracy(logs), Q.flat_view(logs)):
         p = _plan(df)
         assert "Python" not in p and "ArrowEval" not in p
+
+
+def test_record_and_event_views(spark, raw_frame):
+    import datetime as dt
+
+    from logspark.streaming import stream as STR
+
+    raw = raw_frame([("Database connection failed", None, None, "BLUE", None, '{"b":2,"a":"x"}',
+                      dt.datetime(2024, 1, 2, 3, 4, 5))]).withColumn("id", F.lit(7).cast("long"))
+    logs = enrich(raw)
+    rec = json.loads(Q.record_json(logs).first().json)
+    assert rec["header"] == {"title": "Database connection failed", "severity": "error", "color": "blue"}
+    assert rec["body"] == {"a": "x", "b": 2} and rec["created_at"] == "2024-01-02T03:04:05Z"
+    assert rec["metadata"] == {"derived_severity": "error", "derived_source": "database-service",
+                               "derived_category": "database"}
+    ev = Q.event_view(logs).first()
+    assert ev.header.source == "" and ev.header.description == ""        # empty strings kept
+    feed = STR.change_feed(logs, logs.select("id", "severity", "derived_severity", "source", "created_at"))
+    kinds = sorted(r.type for r in feed.collect())
+    assert kinds == ["log_created", "log_deleted"]
+    bus = STR.feed_kafka_shape(feed).collect()
+    assert {r.key for r in bus} == {"7"} and all(json.loads(r.value)["type"] for r in bus)
+    receipt = Q.receipt(logs).first()
+    assert (receipt.severity, receipt.created_at) == ("error", "2024-01-02T03:04:05Z")
