@@ -52,12 +52,16 @@ def delete_ids(logs: DataFrame, ids: DataFrame, id_col: str = "id") -> Outcome:
 
 
 def cutoff_for(days: int, as_of) -> _dt.datetime:
+    """as_of - days; ``as_of`` is required (no wall clock), days >= 1
+    (the configured default is 90)."""
     if days is None or days < 1:
         raise ValueError("days must be at least 1")
+    if as_of is None:
+        raise ValueError("as_of is required")
     return parse_as_of(as_of) - _dt.timedelta(days=days)
 
 
-def apply_retention(logs: DataFrame, days: int, as_of) -> Outcome:
+def apply_retention(logs: DataFrame, days: int = 90, as_of=None) -> Outcome:
     """H3 + H4: drop rows created before as_of - days; report count, cutoff
     and message."""
     cutoff = cutoff_for(days, as_of)
@@ -135,7 +139,7 @@ def _rewrite_days(spark, path: str, kept: DataFrame, days: list, tag: str) -> No
     fs.delete(spark._jvm.org.apache.hadoop.fs.Path(stage), True)
 
 
-def cleanup_table(spark, path: str, days: int, as_of) -> dict:
+def cleanup_table(spark, path: str, days: int = 90, as_of=None) -> dict:
     """H3 on a stored table: drop every ``log_date`` partition before the
     cutoff day (a directory delete, no data read) and rewrite only the
     cutoff day itself.  Returns the H4 report as a dict."""
