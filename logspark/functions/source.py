@@ -25,9 +25,18 @@ def json_string_field(body_v, key: str) -> Column:
                   F.nullif(F.try_variant_get(v, "$", "string"), F.lit("")))
 
 
-def body_field_source(body_v, rules: Rules = DEFAULT_RULES) -> Column:
-    """First of service, source, app, ... holding a non-empty string."""
-    return F.coalesce(*[json_string_field(body_v, k) for k in rules.source_body_fields])
+def body_field_source(body_v, rules: Rules = DEFAULT_RULES, body_text=None) -> Column:
+    """First of service, source, app, ... holding a non-empty string.
+
+    With ``body_text`` (canonical body text) a field is only looked up when
+    its quoted name occurs in the text - exact, and it skips the typed
+    variant lookups for almost every body.
+    """
+    arms = []
+    for k in rules.source_body_fields:
+        v = json_string_field(body_v, k)
+        arms.append(v if body_text is None else F.when(_col(body_text).contains(f'"{k}"'), v))
+    return F.coalesce(*arms)
 
 
 def trim_space(c) -> Column:
@@ -73,17 +82,19 @@ def smart_source(text_lower, rules: Rules = DEFAULT_RULES) -> Column:
 
 def service_token(text_lower) -> Column:
     """First blank-separated token containing -service / _service,
-    surrounding punctuation trimmed."""
-    token = F.nullif(F.regexp_extract(_col(text_lower), _SERVICE_TOKEN, 1), F.lit(""))
-    return F.btrim(token, F.lit(SERVICE_TOKEN_TRIM))
+    surrounding punctuation trimmed (the regex only runs when one of the
+    two strings occurs)."""
+    t = _col(text_lower)
+    token = F.nullif(F.regexp_extract(t, _SERVICE_TOKEN, 1), F.lit(""))
+    return F.when(t.contains("-service") | t.contains("_service"), F.btrim(token, F.lit(SERVICE_TOKEN_TRIM)))
 
 
 def derive_source(source="source", body_v="body_v", title="title", text_lower="text_lower",
-                  rules: Rules = DEFAULT_RULES) -> Column:
+                  rules: Rules = DEFAULT_RULES, body_text=None) -> Column:
     """Header source, body field, title prefix, keywords, service token."""
     return F.coalesce(
         F.nullif(_col(source), F.lit("")),
-        body_field_source(body_v, rules),
+        body_field_source(body_v, rules, body_text),
         title_prefix_source(title),
         smart_source(text_lower, rules),
         service_token(text_lower),

@@ -97,7 +97,7 @@ def analysis(n: DataFrame, rules: Rules = DEFAULT_RULES, for_gate: bool = False)
     return t.select(
         *n.columns,
         A.decide("text", "text_lower", "duration_ms", "base_category", rules, severity_needed=needed).alias("verdict"),
-        S.derive_source("source", "body_v", "title", "text_lower", rules).alias("inferred_source"),
+        S.derive_source("source", "body_v", "title", "text_lower", rules, body_text="body").alias("inferred_source"),
     )
 
 
