@@ -4,9 +4,10 @@ Input: access records ``(id, path, status, duration_ms, ts)``.
 
 Exact rank percentiles are computed from a per-(group, value) histogram:
 partial aggregation collapses rows to distinct values before the shuffle,
-and the running count that locates rank k runs over the histogram (one row
-per distinct value), not over the rows - so a path holding a third of all
-requests costs no more than a path with few distinct latencies.
+and the running count that locates rank k runs over the histogram, split
+into value-range buckets per group (see ``_percentile_rows``) - so a path
+holding a third of all requests is spread over many tasks, and no task
+ever holds a whole group.
 """
 
 from __future__ import annotations
@@ -38,22 +39,46 @@ def last_n_per_key(df: DataFrame, key: str = "path", n: int = 100, order: tuple
     return df.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= n)
 
 
-def _percentile_rows(hist: DataFrame, by: list[str], pcts, extra: dict | None = None) -> DataFrame:
+PERCENTILE_BUCKETS = 64
+
+
+def _percentile_rows(hist: DataFrame, by: list[str], pcts, extra: dict | None = None,
+                     buckets: int = PERCENTILE_BUCKETS) -> DataFrame:
     """From a histogram (by..., v, c, ...) return (by..., p, value, n, max,
     extra...) with value = sorted[min(floor(N * p / 100), N - 1)] (0-based).
 
-    ``extra`` maps output names to window aggregates over the whole group.
+    The running count that locates rank k is split so that no group lands in
+    one task: approximate quantiles of each group's distinct values give
+    ``buckets - 1`` bounds, the running count runs inside each (group,
+    bucket), and per-bucket totals (at most ``buckets`` rows per group)
+    become the offsets.  Exact for any skew.  ``extra`` maps output names to
+    ``(function, column)`` with function one of sum / min / max, aggregated
+    over the whole group (per bucket first, then across buckets).
     """
-    w_run = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = Window.partitionBy(*by)
     extra = extra or {}
-    cum = hist.select(*by, "v", "c",
-                      F.sum("c").over(w_run).alias("upto"),
-                      F.sum("c").over(w_all).alias("n"),
-                      F.max("v").over(w_all).alias("max"),
-                      *[agg.over(w_all).alias(name) for name, agg in extra.items()])
-    ps = F.array(*[F.lit(int(p)) for p in pcts])
-    exploded = cum.select("*", F.explode(ps).alias("p"))
+    keys = list(by) if by else ["_g"]
+    h = hist if by else hist.withColumn("_g", F.lit(0))
+    fractions = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    # bounds only balance the buckets, so a coarse sketch is enough
+    bounds = h.groupBy(*keys).agg(F.percentile_approx("v", fractions, 1000).alias("_bounds"))
+    bucket = F.size(F.filter(F.col("_bounds"), lambda b: b <= F.col("v")))
+    tagged = h.join(bounds, keys, "inner").withColumn("_bucket", bucket).drop("_bounds")
+    per_bucket = tagged.groupBy(*keys, "_bucket").agg(
+        F.sum("c").alias("_bc"), F.max("v").alias("_bmax"),
+        *[getattr(F, fn)(col).alias(name) for name, (fn, col) in extra.items()])
+    w_before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    w_group = Window.partitionBy(*keys)
+    offsets = per_bucket.select(
+        *keys, "_bucket",
+        F.coalesce(F.sum("_bc").over(w_before), F.lit(0)).alias("_before"),
+        F.sum("_bc").over(w_group).alias("n"),
+        F.max("_bmax").over(w_group).alias("max"),
+        *[getattr(F, fn)(name).over(w_group).alias(name) for name, (fn, _) in extra.items()])
+    w_run = Window.partitionBy(*keys, "_bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = tagged.select(*keys, "_bucket", "v", "c", F.sum("c").over(w_run).alias("_local")) \
+        .join(offsets, keys + ["_bucket"], "inner")
+    upto = F.col("_before") + F.col("_local")
+    exploded = cum.select("*", upto.alias("upto"), F.explode(F.array(*[F.lit(int(p)) for p in pcts])).alias("p"))
     k = F.least(F.floor(F.col("n") * F.col("p") / 100), F.col("n") - 1)
     # rank k (0-based) lies in the value whose running count covers it
     hit = exploded.filter((F.col("upto") > k) & (F.col("upto") - F.col("c") <= k))
@@ -98,7 +123,7 @@ def delivery_report(access: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("c"),
         F.count_if(F.col("status") >= 400).alias("f"),
         F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    extra = {"failed": F.sum("f"), "first_ts": F.min("lo"), "last_ts": F.max("hi")}
+    extra = {"failed": ("sum", "f"), "first_ts": ("min", "lo"), "last_ts": ("max", "hi")}
     one = _pivot(_percentile_rows(hist, [], DEFAULT_PERCENTILES, extra), [], DEFAULT_PERCENTILES,
                  ["n", "max", "failed", "first_ts", "last_ts"])
     elapsed = (F.unix_micros(F.col("last_ts").cast("timestamp")) - F.unix_micros(F.col("first_ts").cast("timestamp"))) / 1e6

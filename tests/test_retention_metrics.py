@@ -157,3 +157,19 @@ def test_delete_from_table(spark, raw_frame):
     back = store.read_logs(spark, path)
     assert back.count() == 11
     assert dt.date(2024, 2, 3) not in H.partition_days(spark, path)
+
+
+def test_exact_percentiles_on_a_hot_group(spark):
+    import numpy as np
+
+    hot = spark.range(60000).select(F.lit("/hot").alias("path"), (F.col("id") * 7 % 100003).alias("duration_ms"))
+    small = spark.range(300).select(F.concat(F.lit("/p"), (F.col("id") % 7).cast("string")).alias("path"),
+                                    (F.col("id") % 13).alias("duration_ms"))
+    df = hot.unionByName(small)
+    got = {r.path: (r.p50, r.p95, r.p99, r.n, r.max)
+           for r in M.rank_percentiles(df, "duration_ms", (50, 95, 99), ("path",), ).collect()}
+    for path, g in df.toPandas().groupby("path"):
+        v = np.sort(g.duration_ms.values)
+        n = len(v)
+        want = tuple(int(v[min(n * p // 100, n - 1)]) for p in (50, 95, 99)) + (n, int(v[-1]))
+        assert got[path] == want, path
