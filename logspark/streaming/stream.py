@@ -169,12 +169,13 @@ def _ring_processor(n: int):
             self.buf = handle.getListState("buf", RING_STATE)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            frames = [pdf[["ts", "id", "duration_ms"]] for pdf in rows]
+            keep = None
             if self.buf.exists():
-                old = pd.DataFrame(list(self.buf.get()), columns=["ts", "id", "duration_ms"])
-                frames.append(old)
-            allrows = pd.concat(frames, ignore_index=True)
-            keep = allrows.sort_values(["ts", "id"], ascending=False).head(n)
+                keep = pd.DataFrame(list(self.buf.get()), columns=["ts", "id", "duration_ms"])
+            for pdf in rows:            # fold chunk by chunk: memory stays ~ chunk + n
+                chunk = pdf[["ts", "id", "duration_ms"]]
+                both = chunk if keep is None else pd.concat([keep, chunk], ignore_index=True)
+                keep = both.sort_values(["ts", "id"], ascending=False).head(n)
             self.buf.put([tuple(r) for r in keep.itertuples(index=False, name=None)])
             yield pd.DataFrame({
                 "path": [key[0]],
@@ -190,14 +191,34 @@ def _ring_processor(n: int):
     return LastDurations()
 
 
+RING_INPUT = T.StructType([T.StructField("path", T.StringType())] + RING_STATE.fields)
+
+
+def _partial_newest(n: int):
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep = None
+        for pdf in batches:
+            both = pdf if keep is None else pd.concat([keep, pdf], ignore_index=True)
+            keep = both.sort_values(["ts", "id"], ascending=False).groupby("path", sort=False).head(n)
+        if keep is not None:
+            yield keep[["path", "ts", "id", "duration_ms"]]
+    return reduce
+
+
 def last_durations(access: DataFrame, n: int = 100) -> DataFrame:
     """Per path, a ring buffer of the newest ``n`` durations kept as
     state (never more than ``n`` rows per path, however hot the path);
-    emits (path, buffered, avg_ms, max_ms, newest_ts) on every update."""
+    emits (path, buffered, avg_ms, max_ms, newest_ts) on every update.
+
+    Each input partition is first cut to its newest ``n`` rows per path
+    (a stateless partial top-n), so a hot path sends at most ``n`` rows per
+    task - not a third of the micro-batch - into the keyed state.
+    """
     spark = access.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return access.select("path", "ts", "id", "duration_ms").groupBy("path").transformWithStateInPandas(
+    partial = access.select("path", "ts", "id", "duration_ms").mapInPandas(_partial_newest(n), RING_INPUT)
+    return partial.groupBy("path").transformWithStateInPandas(
         statefulProcessor=_ring_processor(n), outputStructType=RING_OUTPUT,
         outputMode="Update", timeMode="None")
 
