@@ -71,3 +71,21 @@ def parse_as_of(value) -> _dt.datetime:
     if isinstance(value, _dt.datetime):
         return value
     return _dt.datetime.fromisoformat(str(value))
+
+
+def utc_instant(ntz) -> Column:
+    """The wall-clock TIMESTAMP_NTZ read as UTC, as a TIMESTAMP - independent
+    of the session time zone (a plain cast would shift by its offset)."""
+    text = F.concat(F.date_format(ntz, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" +00:00"))
+    return F.to_timestamp(text, "yyyy-MM-dd HH:mm:ss.SSSSSS XXX")
+
+
+def utc_wall_clock(instant) -> Column:
+    """Inverse of ``utc_instant``: the UTC wall clock of a TIMESTAMP as NTZ."""
+    secs = (F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(20,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
+
+
+def epoch_micros(ntz) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock TIMESTAMP_NTZ read as UTC."""
+    return F.unix_micros(utc_instant(_col(ntz)))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.functions.formatting import fixed3, rate_percent_text
+from logspark.functions.formatting import epoch_micros, fixed3, rate_percent_text
 
 DEFAULT_PERCENTILES = (50, 95, 99)
 
@@ -126,7 +126,7 @@ def delivery_report(access: DataFrame) -> DataFrame:
     extra = {"failed": ("sum", "f"), "first_ts": ("min", "lo"), "last_ts": ("max", "hi")}
     one = _pivot(_percentile_rows(hist, [], DEFAULT_PERCENTILES, extra), [], DEFAULT_PERCENTILES,
                  ["n", "max", "failed", "first_ts", "last_ts"])
-    elapsed = (F.unix_micros(F.col("last_ts").cast("timestamp")) - F.unix_micros(F.col("first_ts").cast("timestamp"))) / 1e6
+    elapsed = (epoch_micros(F.col("last_ts")) - epoch_micros(F.col("first_ts"))) / 1e6
     return one.select(
         F.col("n").alias("sent"),
         (F.col("n") - F.col("failed")).alias("success"),

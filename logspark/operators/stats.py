@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions import analyze as A
 from logspark.functions import normalize as N
-from logspark.functions.formatting import as_timestamp, month_ago, percent_text
+from logspark.functions.formatting import as_timestamp, epoch_micros, month_ago, percent_text
 from logspark.functions.rules import AGE_BUCKETS, DEFAULT_RULES, Rules
 
 ERROR_SEVERITIES = ("error", "critical")
@@ -215,7 +215,7 @@ def _hour_slots(logs: DataFrame, as_of, slots: int) -> DataFrame:
     """Row and error counts per hour slot before as_of: slot 0 = [as_of-1h,
     as_of), slot k = [as_of-(k+1)h, as_of-k h); zero-filled for 0..slots-1."""
     now = as_timestamp(as_of)
-    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp")))
+    age = epoch_micros(now) - epoch_micros(F.col("created_at"))
     slot = F.floor(age / F.lit(3_600_000_000)).cast("int")
     counts = logs.filter((F.col("created_at") < now) & (F.col("created_at") >= now - F.expr(f"INTERVAL {slots} HOURS"))) \
         .groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("total"),

@@ -324,12 +324,11 @@ def _tolerant(spark, sf):
 
 
 def _request_span(spark, sf):
-    from logspark.functions.formatting import duration_text
+    from logspark.functions.formatting import duration_text, epoch_micros
 
     a = access(spark, sf)
     span = a.groupBy("path").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    secs = ((F.unix_micros(F.col("last_ts").cast("timestamp")) - F.unix_micros(F.col("first_ts").cast("timestamp")))
-            / 1_000_000).cast("bigint")
+    secs = ((epoch_micros(F.col("last_ts")) - epoch_micros(F.col("first_ts"))) / 1_000_000).cast("bigint")
     return span.select("path", "first_ts", "last_ts", secs.alias("elapsed_s"), duration_text(secs).alias("elapsed"))
 
 

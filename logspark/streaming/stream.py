@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logspark.functions import normalize as N
+from logspark.functions.formatting import utc_instant, utc_wall_clock
 from logspark.operators.query import event_columns
 from logspark.schema import RAW_FLAT
 from logspark.session import checkpoint_dir
@@ -60,8 +61,9 @@ def raw_stream(spark: SparkSession, path: str, fmt: str = "json", schema: T.Stru
 
 
 def with_event_time(df: DataFrame, col: str = "created_at") -> DataFrame:
-    """Adds ``event_time`` (TIMESTAMP) for watermarks."""
-    return df.withColumn("event_time", F.col(col).cast("timestamp"))
+    """Adds ``event_time`` (TIMESTAMP) for watermarks; windows over it align
+    with wall-clock hours whatever the session time zone."""
+    return df.withColumn("event_time", utc_instant(F.col(col)))
 
 
 # ------------------------------------------------------------ change feed
@@ -122,7 +124,7 @@ def hourly_counts(logs: DataFrame, watermark: str = "2 hours") -> DataFrame:
     eff = N.effective_severity()
     return s.groupBy(F.window("event_time", "1 hour").alias("w")).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(eff.isin(*ERRORS)).alias("errors")
-    ).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "total", "errors")
+    ).select(utc_wall_clock(F.col("w.start")).alias("hour"), "total", "errors")
 
 
 def sliding_day_counts(logs: DataFrame, watermark: str = "2 hours") -> DataFrame:
@@ -130,8 +132,8 @@ def sliding_day_counts(logs: DataFrame, watermark: str = "2 hours") -> DataFrame
     s = with_event_time(logs).withWatermark("event_time", watermark)
     return s.groupBy(F.window("event_time", "24 hours", "1 hour").alias("w")).agg(
         F.count(F.lit(1)).alias("n")
-    ).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-             F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n")
+    ).select(utc_wall_clock(F.col("w.start")).alias("window_start"),
+             utc_wall_clock(F.col("w.end")).alias("window_end"), "n")
 
 
 def progress(access: DataFrame, watermark: str = "10 seconds") -> DataFrame:
@@ -141,7 +143,7 @@ def progress(access: DataFrame, watermark: str = "10 seconds") -> DataFrame:
         F.count(F.lit(1)).alias("sent"),
         F.count_if(F.col("status") >= 400).alias("errors"),
         F.percentile_approx("duration_ms", 0.95, 1000).alias("p95"),
-    ).select(F.col("w.start").cast("timestamp_ntz").alias("second"), "sent", "errors", "p95")
+    ).select(utc_wall_clock(F.col("w.start")).alias("second"), "sent", "errors", "p95")
 
 
 # ------------------------------------------------- per-path ring buffer

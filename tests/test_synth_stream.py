@@ -110,3 +110,17 @@ def test_stream_live_tail(spark, n):
     batch = enrich(raw_logs(read_table(spark, SF_SMALL, "events")))
     want = [r.id for r in batch.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n).collect()]
     assert [r.id for r in tail.orderBy(F.col("created_at").desc(), F.col("id").desc()).collect()] == want
+
+
+def test_time_helpers_ignore_session_zone(spark):
+    from logspark.functions.formatting import epoch_micros, utc_instant, utc_wall_clock
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("Asia/Kolkata", "America/New_York", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30, 0, 5),)], "t timestamp_ntz")
+            r = df.select(epoch_micros("t").alias("us"), utc_wall_clock(utc_instant("t")).alias("back")).first()
+            assert r.us == 1710037800000005 and r.back == dt.datetime(2024, 3, 10, 2, 30, 0, 5), tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
