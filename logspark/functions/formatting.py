@@ -48,7 +48,7 @@ def month_ago(ts) -> Column:
     overflow carried into the next month (31 Mar -> 31 Feb -> 2 or 3 Mar)."""
     t = _col(ts)
     day0 = F.date_add(F.add_months(F.trunc(t, "MM"), -1), F.dayofmonth(t) - 1)
-    return F.to_timestamp_ntz(day0.cast("string")) + (t - F.date_trunc("day", t).cast("timestamp_ntz"))
+    return day0.cast("timestamp_ntz") + (t - t.cast("date").cast("timestamp_ntz"))
 
 
 def month_ago_value(ts: _dt.datetime) -> _dt.datetime:
@@ -75,9 +75,28 @@ def parse_as_of(value) -> _dt.datetime:
 
 def utc_instant(ntz) -> Column:
     """The wall-clock TIMESTAMP_NTZ read as UTC, as a TIMESTAMP - independent
-    of the session time zone (a plain cast would shift by its offset)."""
-    text = F.concat(F.date_format(ntz, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" +00:00"))
-    return F.to_timestamp(text, "yyyy-MM-dd HH:mm:ss.SSSSSS XXX")
+    of the session time zone (a plain cast would shift by its offset, and a
+    date_format would go through the session zone, gaps included)."""
+    return F.concat(_col(ntz).cast("string"), F.lit("+00:00")).cast("timestamp")
+
+
+def trunc_ntz(ntz, unit: str) -> Column:
+    """Truncate a TIMESTAMP_NTZ to 'day', 'hour', 'minute' or 'second' on the
+    wall clock itself (``date_trunc`` would cast through the session zone)."""
+    t = _col(ntz)
+    if unit == "day":
+        return t.cast("date").cast("timestamp_ntz")
+    parts = {"hour": (F.hour(t), F.lit(0), F.lit(0)),
+             "minute": (F.hour(t), F.minute(t), F.lit(0)),
+             "second": (F.hour(t), F.minute(t), F.second(t))}[unit]
+    return F.make_timestamp_ntz(F.year(t), F.month(t), F.dayofmonth(t), *parts)
+
+
+def ntz_text(ntz, sep: str = " ", suffix: str = "") -> Column:
+    """yyyy-MM-dd<sep>HH:mm:ss<suffix> of a TIMESTAMP_NTZ, without the zone
+    conversion ``date_format`` applies."""
+    s = _col(ntz).cast("string")
+    return F.concat(F.substring(s, 1, 10), F.lit(sep), F.substring(s, 12, 8), F.lit(suffix))
 
 
 def utc_wall_clock(instant) -> Column:

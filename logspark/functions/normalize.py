@@ -89,12 +89,16 @@ def capitalized(c) -> Column:
 
 def rfc3339(ts) -> Column:
     """2006-01-02T15:04:05Z text of a UTC wall-clock timestamp."""
-    return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    from logspark.functions.formatting import ntz_text
+
+    return ntz_text(_col(ts), "T", "Z")
 
 
 def list_time(ts) -> Column:
     """Yyyy-MM-dd HH:mm:ss text."""
-    return F.date_format(_col(ts), "yyyy-MM-dd HH:mm:ss")
+    from logspark.functions.formatting import ntz_text
+
+    return ntz_text(_col(ts))
 
 
 def short_title(title, width: int = 50) -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.functions.formatting import epoch_micros, fixed3, rate_percent_text
+from logspark.functions.formatting import epoch_micros, fixed3, rate_percent_text, trunc_ntz
 
 DEFAULT_PERCENTILES = (50, 95, 99)
 
@@ -153,7 +153,7 @@ def exposition(access: DataFrame, prefix: str = "logspark") -> DataFrame:
 
 def progress(access: DataFrame) -> DataFrame:
     """J9 (batch form): per second of ts - sent, errors and approximate p95."""
-    sec = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz")
+    sec = trunc_ntz(F.col("ts"), "second")
     return access.groupBy(sec.alias("second")).agg(
         F.count(F.lit(1)).alias("sent"),
         F.count_if(F.col("status") >= 400).alias("errors"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions import analyze as A
 from logspark.functions import normalize as N
-from logspark.functions.formatting import as_timestamp, epoch_micros, month_ago, percent_text
+from logspark.functions.formatting import as_timestamp, epoch_micros, month_ago, percent_text, trunc_ntz
 from logspark.functions.rules import AGE_BUCKETS, DEFAULT_RULES, Rules
 
 ERROR_SEVERITIES = ("error", "critical")
@@ -117,7 +117,7 @@ def severity_breakdown(logs: DataFrame) -> DataFrame:
 def _bucket(as_of) -> Column:
     """Age bucket of a row relative to as_of (NULL for rows at or after as_of)."""
     now = as_timestamp(as_of)
-    d0 = F.date_trunc("day", now).cast("timestamp_ntz")
+    d0 = trunc_ntz(now, "day")
     c = F.col("created_at")
     return (
         F.when(c >= now, F.lit(None).cast("string"))
@@ -259,7 +259,7 @@ def hourly_error_series(logs: DataFrame) -> DataFrame:
     The window runs over the aggregated hourly series (one row per hour
     spanned), never over log rows, so its single partition stays small.
     """
-    hour = F.date_trunc("hour", F.col("created_at")).cast("timestamp_ntz")
+    hour = trunc_ntz(F.col("created_at"), "hour")
     counts = logs.groupBy(hour.alias("hour")).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(_eff_sev().isin(*ERROR_SEVERITIES)).alias("errors"))
