@@ -148,3 +148,21 @@ def test_hourly_distribution_zero_filled(spark, raw_frame):
             ("Log", None, None, None, None, None, T("2024-01-02 05:50:00"))]
     got = {r.hour: r.n for r in S.hourly_distribution(enrich(raw_frame(rows))).collect()}
     assert len(got) == 24 and got[5] == 2 and sum(got.values()) == 2
+
+
+def test_served_forms_and_orderings(spark, raw_frame):
+    now = T("2024-01-29 12:00:00")
+    rows = [("Log", s, src, None, None, None, now - dt.timedelta(hours=1))
+            for s, src in [("error", "api"), ("debug", "api"), ("critical", None), ("custom", "db")]]
+    logs = enrich(raw_frame(rows))
+    assert [r.severity for r in S.by_type(logs).collect()] == ["debug", "error", "critical", "custom"]
+    printed = [(r.kind, r.key) for r in S.stats_printout(logs, now).collect()]
+    assert printed == sorted(printed) and ("by_source", "unknown") in printed
+    opts = {(r.kind, r.value) for r in S.filter_options(logs).collect()}
+    assert ("severity", "custom") in opts and ("source", "db") in opts
+    br = {r.severity: (r.label, r.rank, r.percentage) for r in S.severity_breakdown(logs).collect()}
+    assert br["custom"] == ("Custom", 10, 25) and br["debug"] == ("Debug", 0, 25)
+    # rows exactly 1 h before as_of are in slot 1: no spike; no errors in the
+    # previous 24 h: no change line; 2 of 4 are errors: one rate line
+    alerts = [r.alert for r in S.alerts(logs, now).collect()]
+    assert alerts == ["High error rate: 50.000% in the last 24 hours"]
