@@ -142,3 +142,24 @@ def test_record_and_event_views(spark, raw_frame):
     assert {r.key for r in bus} == {"7"} and all(json.loads(r.value)["type"] for r in bus)
     receipt = Q.receipt(logs).first()
     assert (receipt.severity, receipt.created_at) == ("error", "2024-01-02T03:04:05Z")
+
+
+def test_enrich_splits_without_a_filter(spark):
+    plan = _plan(enrich(raw_logs(read_table(spark, SF_SMALL, "events"))))
+    assert "Generate" in plan and "inline" in plan
+    assert not re.findall(r"^\(\d+\) Filter", plan, flags=re.M)       # no body re-parse in a pushed filter
+
+
+def test_derived_table_written_once_and_spread_is_a_noop_when_split(spark):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(100).withColumn("x", F.col("id") * 2)
+
+    a = ST.derived_table(spark, "test-derived-once", build)
+    b = ST.derived_table(spark, "test-derived-once", build)
+    assert len(calls) == 1 and a.count() == b.count() == 100
+    wide = spark.range(0, 1000, 1, 16)
+    assert ST.spread(wide, 8) is wide
+    assert ST.spread(spark.range(0, 1000, 1, 1), 8).rdd.getNumPartitions() == 8
