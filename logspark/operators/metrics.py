@@ -40,6 +40,22 @@ def last_n_per_key(df: DataFrame, key: str = "path", n: int = 100, order: tuple
 
 
 PERCENTILE_BUCKETS = 64
+# largest number of distinct values per group that one window task may hold;
+# above it the running count is split into value-range buckets
+DIRECT_WINDOW_LIMIT = 200_000
+
+
+def _percentile_rows_direct(hist: DataFrame, by: list[str], pcts) -> DataFrame:
+    """Running count over each group's whole histogram (size-checked by the
+    caller: at most DIRECT_WINDOW_LIMIT rows per window partition)."""
+    w_run = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_all = Window.partitionBy(*by)
+    cum = hist.select(*by, "v", "c", F.sum("c").over(w_run).alias("upto"),
+                      F.sum("c").over(w_all).alias("n"), F.max("v").over(w_all).alias("max"))
+    exploded = cum.select("*", F.explode(F.array(*[F.lit(int(p)) for p in pcts])).alias("p"))
+    k = F.least(F.floor(F.col("n") * F.col("p") / 100), F.col("n") - 1)
+    hit = exploded.filter((F.col("upto") > k) & (F.col("upto") - F.col("c") <= k))
+    return hit.select(*by, "p", F.col("v").alias("value"), "n", "max")
 
 
 def _percentile_rows(hist: DataFrame, by: list[str], pcts, extra: dict | None = None,
@@ -92,13 +108,21 @@ def _pivot(rows: DataFrame, by: list[str], pcts, keep: list[str]) -> DataFrame:
     )
 
 
-def rank_percentiles(df: DataFrame, value: str, pcts=DEFAULT_PERCENTILES, by: tuple = ()) -> DataFrame:
+def rank_percentiles(df: DataFrame, value: str, pcts=DEFAULT_PERCENTILES, by: tuple = (),
+                     direct_limit: int = DIRECT_WINDOW_LIMIT) -> DataFrame:
     """F24 + F25 + G2 exact: one row per group with p<k> columns, the count
-    and the maximum.  NULL values are ignored."""
+    and the maximum.  NULL values are ignored.
+
+    The histogram's largest group (distinct values) is measured first: up
+    to ``direct_limit`` one window per group is used, beyond it the
+    bucketed, skew-proof running count.
+    """
     by = list(by)
     hist = df.filter(F.col(value).isNotNull()) \
         .groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    return _pivot(_percentile_rows(hist, by, pcts), by, pcts, ["n", "max"])
+    widest = (hist.groupBy(*by).count() if by else hist.groupBy().count()).agg(F.max("count")).first()[0] or 0
+    rows = _percentile_rows_direct(hist, by, pcts) if widest <= direct_limit else _percentile_rows(hist, by, pcts)
+    return _pivot(rows, by, pcts, ["n", "max"])
 
 
 def approx_percentiles(df: DataFrame, value: str, pcts=DEFAULT_PERCENTILES, by: tuple = (),
@@ -110,9 +134,9 @@ def approx_percentiles(df: DataFrame, value: str, pcts=DEFAULT_PERCENTILES, by:
     return g.select(*by, *[F.col("ps")[i].alias(f"p{p}") for i, p in enumerate(pcts)], "n")
 
 
-def latency_report(access: DataFrame) -> DataFrame:
+def latency_report(access: DataFrame, direct_limit: int = DIRECT_WINDOW_LIMIT) -> DataFrame:
     """F24 + F25 per path: exact p50/p95/p99, max and count."""
-    return rank_percentiles(access, "duration_ms", DEFAULT_PERCENTILES, ("path",))
+    return rank_percentiles(access, "duration_ms", DEFAULT_PERCENTILES, ("path",), direct_limit)
 
 
 def delivery_report(access: DataFrame) -> DataFrame:

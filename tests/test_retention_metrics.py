@@ -159,7 +159,8 @@ def test_delete_from_table(spark, raw_frame):
     assert dt.date(2024, 2, 3) not in H.partition_days(spark, path)
 
 
-def test_exact_percentiles_on_a_hot_group(spark):
+@pytest.mark.parametrize("direct_limit", [0, 10**9])     # bucketed path, direct path
+def test_exact_percentiles_on_a_hot_group(spark, direct_limit):
     import numpy as np
 
     hot = spark.range(60000).select(F.lit("/hot").alias("path"), (F.col("id") * 7 % 100003).alias("duration_ms"))
@@ -167,7 +168,7 @@ def test_exact_percentiles_on_a_hot_group(spark):
                                     (F.col("id") % 13).alias("duration_ms"))
     df = hot.unionByName(small)
     got = {r.path: (r.p50, r.p95, r.p99, r.n, r.max)
-           for r in M.rank_percentiles(df, "duration_ms", (50, 95, 99), ("path",), ).collect()}
+           for r in M.rank_percentiles(df, "duration_ms", (50, 95, 99), ("path",), direct_limit).collect()}
     for path, g in df.toPandas().groupby("path"):
         v = np.sort(g.duration_ms.values)
         n = len(v)
