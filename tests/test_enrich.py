@@ -2,10 +2,9 @@
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
-from logspark.operators.enrich import analysis, enrich, normalized, validate
+from logspark.operators.enrich import analysis, enrich, validate
 
 
 def analyse_titles(spark, raw_frame, rows):

@@ -3,7 +3,6 @@
 import csv
 import glob
 import json
-import os
 import re
 import tempfile
 
