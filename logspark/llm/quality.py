@@ -1,8 +1,10 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed word n-grams (one- and two-token grams,
-``BUCKETS`` buckets) are counted over whole tables: the target model over the
-documents labelled as good, the raw model over all documents.  A document's
+``BUCKETS`` buckets) are counted: the target model over up to ``TARGET_DOCS``
+documents labelled as good (drawn by a hash of their id), the raw model over
+all documents.  Texts are read where they lie and never shuffled; labels meet
+the scores, not the texts.  A document's
 log importance weight is the sum over its n-grams of log p_target - log p_raw.
 Adding Gumbel noise and taking the k largest keys draws k documents without
 replacement in proportion to their weights (Gumbel top-k).
@@ -37,6 +39,8 @@ BUCKETS = 1 << 14
 #: Resolution and range of the histogram of keys that k is read from.
 BIN, CLIP = 0.25, 400.0
 SEED = 20260
+#: Labelled documents that the target model is fitted on, at most.
+TARGET_DOCS = 20_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -60,21 +64,25 @@ def ngram_buckets(text: str, hashes: dict) -> np.ndarray:
     return (np.concatenate([one, two]) >> np.uint64(64 - 14)).astype(np.int64)
 
 
-def counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(target, raw) n-gram counts; ``docs`` has text and a boolean ``good``.
+def counts(docs: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(target, raw) n-gram counts of (doc_id, text); ``targets``: sorted ids.
     A task adds up its own counts, so at most BUCKETS rows leave it."""
+    held = docs.sparkSession.sparkContext.broadcast(targets)
+
     def count(batches):
         hashes, total = _Hashes(), np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            for text, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist()):
+            ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
+            good = np.isin(ids, held.value) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            for text, hit in zip(batch.column("text").to_pylist(), good):
                 c = np.bincount(ngram_buckets(text, hashes), minlength=BUCKETS)
                 total[1] += c
-                if good:
+                if hit:
                     total[0] += c
         b = np.flatnonzero(total[1])
         yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(total[0][b]), pa.array(total[1][b])], names=["b", "t", "r"])
 
-    rows = docs.select("text", "good").mapInArrow(count, "b long, t long, r long") \
+    rows = docs.select("doc_id", "text").mapInArrow(count, "b long, t long, r long") \
         .groupBy("b").agg(F.sum("t").alias("t"), F.sum("r").alias("r")).collect()  # BUCKETS rows at most
     target, raw = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for b, t, r in rows:
@@ -88,17 +96,17 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, good, bad, log_weight) of each row."""
+    """(doc_id, noise, log_weight) of each row."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def score(batches):
         hashes = _Hashes()
         for batch in pieces(batches):
             w = [float(held.value[ngram_buckets(t, hashes)].sum()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "good", "bad", "noise")),
-                                              pa.array(w, pa.float64())], names=["doc_id", "good", "bad", "noise", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("noise"), pa.array(w, pa.float64())],
+                                             names=["doc_id", "noise", "log_weight"])
 
-    return docs.mapInArrow(score, "doc_id long, good boolean, bad boolean, noise double, log_weight double")
+    return docs.mapInArrow(score, "doc_id long, noise double, log_weight double")
 
 
 def _gumbel(seed: int):
@@ -154,13 +162,16 @@ def kth_key(keyed: DataFrame, k: int) -> Cutoff:
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
     """(doc_id, log_weight, key, kept) of every row of ``docs``; ``labels`` has
     doc_id and quality (1 good, 0 bad)."""
-    marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id") \
-        .agg((F.max("quality") >= 1).alias("good"))
-    rows = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id")).join(marks, "doc_id", "left").select(
-        "doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"),
-        F.coalesce(~F.col("good"), F.lit(False)).alias("bad"), _gumbel(seed).alias("noise"))
-    target, raw = counts(rows)
-    keyed = stored(weigh(rows, log_ratio(target, raw)).withColumn("key", F.col("log_weight") + F.col("noise")))
+    marks = labels.filter("doc_id is not null and quality is not null") \
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") >= 1).alias("good"))
+    drawn = marks.filter("good").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(TARGET_DOCS).collect()
+    targets = np.sort(np.array([r[0] for r in drawn], np.int64))
+    rows = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", "text", _gumbel(seed).alias("noise"))
+    target, raw = counts(rows, targets)
+    scored = weigh(rows, log_ratio(target, raw)).withColumn("key", F.col("log_weight") + F.col("noise"))
+    keyed = stored(scored.join(marks, "doc_id", "left").select(
+        "doc_id", "log_weight", "key", F.coalesce("good", F.lit(False)).alias("good"),
+        F.coalesce(~F.col("good"), F.lit(False)).alias("bad")))
     cut = separating_key(keyed) if k is None else kth_key(keyed, k)
     if target.sum() == 0 and k is None:
         cut = Cutoff(None)
