@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logspark.llm.common import ship
+from logspark.llm.bpe import op6_trie_bpe
+from logspark.llm.jaccard import op9_minhash_jaccard_join
+from logspark.llm.lines import op3_line_dedup
+from logspark.llm.mixing import OP8_SQL, op8_weighted_mixing
 from logspark.llm.quality import op1_importance_resampling
 
 
@@ -18,8 +22,8 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_importance_resampling,)}
+    return {f.__name__: _shipped(f) for f in (op1_importance_resampling, op3_line_dedup, op6_trie_bpe, op8_weighted_mixing, op9_minhash_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_weighted_mixing": OP8_SQL}
