@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from logspark.llm.common import ship
 from logspark.llm.bpe import op6_trie_bpe
 from logspark.llm.jaccard import op9_minhash_jaccard_join
+from logspark.llm.lattice import op4_e8_lattice
 from logspark.llm.lines import op3_line_dedup
 from logspark.llm.mixing import OP8_SQL, op8_weighted_mixing
 from logspark.llm.pii import op2_bootstrapped_pii
 from logspark.llm.quality import op1_importance_resampling
+from logspark.llm.topk import OP7_SQL, op7_kd_tree_topk
+from logspark.llm.urls import OP5_SQL, op5_bloom_cascade
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,8 +26,8 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_importance_resampling, op2_bootstrapped_pii, op3_line_dedup, op6_trie_bpe, op8_weighted_mixing, op9_minhash_jaccard_join)}
+    return {f.__name__: _shipped(f) for f in (op1_importance_resampling, op2_bootstrapped_pii, op3_line_dedup, op4_e8_lattice, op5_bloom_cascade, op6_trie_bpe, op7_kd_tree_topk, op8_weighted_mixing, op9_minhash_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_weighted_mixing": OP8_SQL}
+    return {"op5_bloom_cascade": OP5_SQL, "op7_kd_tree_topk": OP7_SQL, "op8_weighted_mixing": OP8_SQL}
