@@ -20,7 +20,6 @@ encoded as such, as the file says; bytes that are no UTF-8 decode to U+FFFD.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +32,7 @@ from logspark.llm.common import pieces, texts_of
 
 #: The split pattern of byte-level vocabularies (a fixed value of the file format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Encoded words that a Python worker remembers between batches.
+#: Encoded words that a Python worker remembers between batches, twice.
 REMEMBERED = 1 << 18
 
 
@@ -75,6 +74,27 @@ def read_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(tokens, merges, special)
 
 
+class Remembered:
+    """Ids of words seen before, in two generations: what is not asked for
+    while the young one fills up is forgotten with the old one."""
+
+    def __init__(self, bound: int = REMEMBERED):
+        self.bound, self.young, self.old = bound, {}, {}
+
+    def of(self, words: set, learn) -> dict:
+        """A dictionary that holds all of ``words``; ``learn`` gets those not known."""
+        new = words.difference(self.young)
+        if len(self.young) + len(new) > self.bound:
+            self.old, self.young = self.young, {}
+            new = words
+        if new:
+            old = self.old
+            self.young |= {w: old[w] for w in new if w in old}
+            if missing := new.difference(old):
+                self.young |= learn(missing)
+        return self.young
+
+
 class Encoder:
     """Encodes words over one vocabulary."""
 
@@ -96,8 +116,8 @@ class Encoder:
             if self.rank[whole] == rank and self._beside(left, right, rank):
                 self.ids[self.tokens[whole]] = whole
         self.longest = max(map(len, self.ids), default=1)
-        self.beside: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.beside: dict[int, bool] = {}  # of left * 2^32 + right
+        self.words = Remembered()
         self.split = regex.compile(SPLIT)
         self.apart = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") \
             if self.special else None
@@ -117,13 +137,14 @@ class Encoder:
             else:
                 limit, b = rank[b] + 1, parts[b][0]
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encode distinct words: the trie, depth first."""
+    def learn(self, words: dict, kind: type = np.int32) -> dict:
+        """Key -> ids as bytes, of {key: word as bytes}: the trie, depth first."""
+        out = {}
         ids, beside, tokens, longest = self.ids, self.beside, self.tokens, self.longest
         path, state = b"", [-1]  # state[n]: last token of the first n bytes
         if len(beside) > 1 << 20:
             beside.clear()
-        for word, text in sorted((w.encode("utf-8", "replace"), w) for w in words):
+        for word, key in sorted((w, k) for k, w in words.items()):
             common, most = 0, min(len(path), len(word))
             while common < most and path[common] == word[common]:
                 common += 1
@@ -136,18 +157,18 @@ class Encoder:
                         continue
                     if not start:
                         break
-                    two = state[start], token
-                    fits = beside.get(two)
-                    if fits is None:
-                        fits = beside[two] = self._beside(*two)
-                    if fits:
+                    two = state[start] << 32 | token
+                    if two not in beside:
+                        beside[two] = self._beside(state[start], token)
+                    if beside[two]:
                         break
                 state.append(token)
-            out, at = [], len(word)
+            back, at = [], len(word)
             while at:
-                out.append(state[at])
+                back.append(state[at])
                 at -= len(tokens[state[at]])
-            self.words[text] = np.array(out[::-1], np.int32).tobytes()
+            out[key] = np.array(back[::-1], kind).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -155,10 +176,7 @@ class Encoder:
                if self.apart and any(s in t for s in self.special) else [(t, None)] for t in texts]
         cut = [[(self.split.findall(p) if p else [], s) for p, s in t] for t in cut]
         new = {w for t in cut for words, _ in t for w in words}
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-        self.learn(w for w in new if w not in self.words)
-        known = self.words
+        known = self.words.of(new, lambda words: self.learn({w: w.encode("utf-8", "replace") for w in words}))
         out = [np.frombuffer(b"".join(b"".join([known[w] for w in words]) if s is None else np.int32(s).tobytes()
                                       for words, s in t), np.int32) for t in cut]
         return out

@@ -11,6 +11,7 @@ from logspark.llm.bpe import op6_trie_bpe
 from logspark.llm.jaccard import op9_minhash_jaccard_join
 from logspark.llm.lattice import op4_e8_lattice
 from logspark.llm.lines import op3_line_dedup
+from logspark.llm.lm import op10_attention_lm
 from logspark.llm.mixing import OP8_SQL, op8_weighted_mixing
 from logspark.llm.pii import op2_bootstrapped_pii
 from logspark.llm.quality import op1_importance_resampling
@@ -26,7 +27,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_importance_resampling, op2_bootstrapped_pii, op3_line_dedup, op4_e8_lattice, op5_bloom_cascade, op6_trie_bpe, op7_kd_tree_topk, op8_weighted_mixing, op9_minhash_jaccard_join)}
+    return {f.__name__: _shipped(f) for f in (op1_importance_resampling, op2_bootstrapped_pii, op3_line_dedup, op4_e8_lattice, op5_bloom_cascade, op6_trie_bpe, op7_kd_tree_topk, op8_weighted_mixing, op9_minhash_jaccard_join, op10_attention_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
