@@ -209,3 +209,28 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def op9_minhash_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP9_SQL = r"""
+with recursive words as (
+  select doc_id, [w for w in regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+')
+           if w <> ''] as w
+  from documents where doc_id is not null),
+grams as (
+  select distinct doc_id, unnest([array_to_string(w[i:i + 4], ' ') for i in range(1, greatest(len(w) - 4, 1) + 1)]) as g
+  from words where len(w) > 0),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+common as (
+  select a.doc_id as u, b.doc_id as w, count(*) as c
+  from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+links as (
+  select u, w from common join sizes x on x.doc_id = u join sizes y on y.doc_id = w where c >= 0.8 * (x.n + y.n - c)),
+reach(u, w) as (
+  select doc_id, doc_id from sizes union select r.u, l.w from reach r join links l on r.w = l.u),
+least as (select u, min(w) as class_id from reach group by u),
+degree as (select u, count(*) as n from links group by u)
+select d.doc_id, coalesce(l.class_id, d.doc_id) as class_id, coalesce(g.n, 0)::bigint as n_links,
+       coalesce(l.class_id, d.doc_id) = d.doc_id as kept
+from documents d left join least l on d.doc_id = l.u left join degree g on d.doc_id = g.u
+"""

@@ -182,3 +182,23 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, **how) -> DataFr
 
 def op4_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP4_SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len([1 for x in embedding if x is null or not isfinite(x)]) = 0
+    and len([1 for x in embedding if x <> 0]) > 0),
+links as (
+  select a.vec_id as u, b.vec_id as w
+  from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(u, w) as (
+  select vec_id, vec_id from v union select r.u, l.w from reach r join links l on r.w = l.u),
+least as (select u, min(w) as component_id from reach group by u),
+degree as (select u, count(distinct w) as n from links group by u)
+select e.vec_id, coalesce(d.n, 0)::bigint as n_links, coalesce(l.component_id, e.vec_id) as component_id,
+       coalesce(l.component_id, e.vec_id) = e.vec_id as kept
+from embeddings e left join degree d on e.vec_id = d.u left join least l on e.vec_id = l.u
+"""

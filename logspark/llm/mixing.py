@@ -98,8 +98,7 @@ def mix(docs: DataFrame, weights: DataFrame) -> DataFrame:
         F.coalesce(F.sum("held").over(Window.partitionBy("source").orderBy("bin")
                                       .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     inside = Window.partitionBy("source", "bin").orderBy("key", "doc_id")  # equal rows are peers
-    summed = binned.withColumn("within", F.sum("size").over(inside)).withColumn(
-        "last", F.col("size"))
+    summed = binned.withColumn("within", F.sum("size").over(inside))
     placed = summed.join(starts, summed["source"].eqNullSafe(starts["_source"]) & (summed["bin"] == starts["_bin"]))
     chosen = F.col("start") + F.col("within") - F.col("size") / 2 <= F.col("rest")
     copies = (F.col("epochs") + F.when(chosen & (F.col("rest") > 0), 1).otherwise(0)).cast("long")
@@ -109,10 +108,10 @@ def mix(docs: DataFrame, weights: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, weights: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
-    times = mix(docs, weights).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies") \
-        .groupBy("_id", "_source").agg(F.max("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    return docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]) & docs["source"].eqNullSafe(times["_source"])) \
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    times = mix(docs, weights).groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source")) \
+        .agg(F.max("copies").cast("int").alias("__mix_copies")).filter("__mix_copies > 0")
+    return docs.join(times, docs["doc_id"].eqNullSafe(times["__mix_id"]) & docs["source"].eqNullSafe(times["__mix_source"])) \
+        .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_copy")).drop("__mix_copy")
 
 
 def op8_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
