@@ -2,8 +2,8 @@
 
 Entry points: ``operators.enrich.ingest`` / ``enrich`` (write path),
 ``sources.store`` (stored table), ``operators.query`` / ``stats`` /
-``metrics`` / ``retention`` / ``export`` (read path), ``streaming.stream``
-(Structured Streaming) and ``operators.synth`` (seeded generator).
+``metrics`` / ``retention`` / ``export`` (read path) and ``streaming.stream``
+(Structured Streaming).
 """
 
 __version__ = "0.1.0"

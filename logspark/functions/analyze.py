@@ -39,11 +39,18 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def shortest(patterns) -> list[str]:
+    """The patterns without those that contain another one: a text with one
+    of these has the other as well."""
+    ps = list(dict.fromkeys(patterns))
+    return [p for p in ps if not any(o != p and o in p for o in ps)]
+
+
 def contains_any(text, patterns) -> Column:
     """True when ``text`` contains at least one of the literal patterns."""
     t = _col(text)
     out = None
-    for p in patterns:
+    for p in shortest(patterns):
         hit = t.contains(p)
         out = hit if out is None else (out | hit)
     return out if out is not None else F.lit(False)
@@ -54,19 +61,45 @@ def first_match(text, pairs, wrap=None) -> Column:
     contains, in declaration order; NULL when none does."""
     t = _col(text)
     out = None
+    seen: list[str] = []
     for pattern, value in pairs:
+        if any(o in pattern for o in seen):
+            continue  # an earlier pattern is part of it and decides first
+        seen.append(pattern)
         v = wrap(value) if wrap is not None else F.lit(value)
         out = F.when(t.contains(pattern), v) if out is None else out.when(t.contains(pattern), v)
     return out if out is not None else F.lit(None)
 
 
+def parsed_body(body) -> Column:
+    """struct(whole, v): whether a body text is one JSON value and nothing
+    else, and that value.  The text is parsed once, as the first element of an
+    array whose second one is a hash of the text: whatever follows the value
+    either breaks the array or moves the hash.  Of equal keys the last wins
+    (``enrich`` sets the parser's option)."""
+    b = _col(body)
+    mark = F.xxhash64(b).cast("string")
+    v = F.try_parse_json(F.concat(F.lit("["), b, F.lit(',"'), mark, F.lit('"]')))
+    return F.struct(v.alias("v"), mark.alias("mark"))
+
+
+def whole_body(parsed) -> Column:
+    """The value of a ``parsed_body``, NULL unless it is all of the text."""
+    p = _col(parsed)
+    same = F.try_variant_get(p["v"], "$[1]", "string") == p["mark"]
+    return F.when(same, F.try_variant_get(p["v"], "$[0]", "variant"))
+
+
 def escaped_json(canonical) -> Column:
-    """Text form of a canonical JSON object with <, > and & escaped as
-    \\u003c, \\u003e and \\u0026 (the stored and matched form)."""
+    """Stored and matched text of a canonical JSON object: <, >, & and the line
+    separators U+2028 and U+2029 as escapes, whole numbers without a fraction
+    (strings are stepped over, so only numbers change)."""
     c = _col(canonical)
-    c = F.replace(c, F.lit("<"), F.lit("\\u003c"))
-    c = F.replace(c, F.lit(">"), F.lit("\\u003e"))
-    return F.replace(c, F.lit("&"), F.lit("\\u0026"))
+    numbers = F.regexp_replace(c, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|([0-9])\.0(?=[,}\]])', "$1$2")
+    c = F.when(c.contains(".0"), numbers).otherwise(c)
+    for ch, text in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
+        c = F.replace(c, F.lit(ch), F.lit(text))
+    return c
 
 
 def searchable_text(title="title", description="description", body="body") -> Column:

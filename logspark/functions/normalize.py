@@ -102,6 +102,8 @@ def list_time(ts) -> Column:
 
 
 def short_title(title, width: int = 50) -> Column:
-    """Titles longer than ``width`` are cut to width-3 characters + '...'."""
+    """Titles of more than ``width`` bytes are cut to width-3 bytes + '...'
+    (a character that the cut goes through shows as U+FFFD)."""
     col = _col(title)
-    return F.when(F.length(col) > width, F.concat(F.substring(col, 1, width - 3), F.lit("..."))).otherwise(col)
+    cut = F.make_valid_utf8(F.substring(col.cast("binary"), 1, width - 3).cast("string"))
+    return F.when(F.octet_length(col) > width, F.concat(cut, F.lit("..."))).otherwise(col)

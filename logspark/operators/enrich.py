@@ -30,6 +30,7 @@ def _opt(df: DataFrame, name: str, dtype: str = "string") -> Column:
 def normalized(raw: DataFrame) -> DataFrame:
     """A4 + A5: normalised header, canonical body text, parsed body and the
     reason a record is rejected (NULL when it is accepted)."""
+    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys wins
     parsed = raw.select(
         _opt(raw, "id", "bigint").alias("id"),
         _opt(raw, "created_at", "timestamp_ntz").alias("created_at"),
@@ -39,8 +40,9 @@ def normalized(raw: DataFrame) -> DataFrame:
         N.color_normalized("color").alias("color"),
         N.blank_to_null("description").alias("description"),
         F.col("body").alias("body_raw"),
-        F.try_parse_json("body").alias("body_v"),
+        A.parsed_body("body").alias("_parsed"),
     )
+    parsed = parsed.select("*", A.whole_body("_parsed").alias("body_v")).drop("_parsed")
     kind = F.schema_of_variant("body_v")
     is_object = kind.startswith("OBJECT")
     reason = (
@@ -113,7 +115,7 @@ def analysis(n: DataFrame, rules: Rules = DEFAULT_RULES, for_gate: bool = False)
     )
 
 
-def gate(analysed: DataFrame) -> DataFrame:
+def gate(analysed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """C17: keep an inferred severity only when the header says info and the
     inference is not info; an inferred source only when the header has none."""
     v = F.col("verdict")
@@ -124,6 +126,7 @@ def gate(analysed: DataFrame) -> DataFrame:
         v.category.alias("derived_category"),
         "created_at",
         F.to_date("created_at").alias("log_date"),
+        *keep,
     )
 
 
@@ -133,6 +136,15 @@ def ingest(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> Ingested:
     return Ingested(gate(analysis(good, rules, for_gate=True)).select(*LOG_COLUMNS), bad)
 
 
+def ingest_marked(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """All records in one pass: the stored columns and ``reason``, which is
+    NULL for accepted records (the other columns only count for those)."""
+    n = normalized(raw)
+    analysed = analysis(n, rules, for_gate=True)
+    stored = gate(analysed, keep=("reject_reason",))
+    return stored.select(*LOG_COLUMNS, F.col("reject_reason").alias("reason"))
+
+
 def enrich(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Accepted records, enriched to the stored ``LOGS`` shape."""
     return ingest(raw, rules).logs

@@ -1,7 +1,7 @@
 """Exports (I1-I4): JSON lines of record views, CSV files.
 
-Writers are distributed (one file per task); the newest-first cap is a
-top-k, so no task ever sorts the whole table.
+Writers are distributed (one file per task).  An export holds every matching
+row; a limit is only applied when the request names one, as a top-k.
 """
 
 from __future__ import annotations
@@ -15,28 +15,26 @@ from logspark.functions import normalize as N
 from logspark.operators.query import LogFilter, newest_first, page, record_json, search
 
 FORMATS = ("csv", "json")
-DEFAULT_EXPORT_LIMIT = 10_000
-MAX_EXPORT_LIMIT = 100_000
 
 
 class ExportRequest(NamedTuple):
     format: str
-    limit: int
+    limit: int | None
     filters: LogFilter
 
 
 def export_request(fmt: str, limit: int | None = None, filters: LogFilter = LogFilter()) -> ExportRequest:
-    """Format must be csv or json; limit default 10 000, cap 100 000;
-    offset is always 0."""
+    """Format must be csv or json; ``limit`` (newest rows first) is optional
+    and has no upper bound."""
     if fmt not in FORMATS:
         raise ValueError(f"invalid export format: {fmt} (must be csv or json)")
-    lim = limit if limit and limit > 0 else DEFAULT_EXPORT_LIMIT
-    return ExportRequest(fmt, min(lim, MAX_EXPORT_LIMIT), filters)
+    return ExportRequest(fmt, limit if limit and limit > 0 else None, filters)
 
 
 def export_rows(logs: DataFrame, req: ExportRequest) -> DataFrame:
-    """The newest ``req.limit`` matching rows."""
-    return page(search(logs, req.filters), req.limit, 0)
+    """All matching rows, or the newest ``req.limit`` of them."""
+    rows = search(logs, req.filters)
+    return rows if req.limit is None else page(rows, req.limit, 0)
 
 
 def csv_rows(logs: DataFrame) -> DataFrame:
@@ -55,7 +53,7 @@ def dashboard_csv_rows(logs: DataFrame) -> DataFrame:
 
 
 def export_json(logs: DataFrame, path: str, req: ExportRequest | None = None) -> None:
-    """JSON lines of record views (newest first within the cap)."""
+    """JSON lines of record views, newest first."""
     req = req or export_request("json")
     rows = newest_first(record_json(export_rows(logs, req)))
     rows.select("json").write.mode("overwrite").text(path)

@@ -4,18 +4,18 @@ Input: access records ``(id, path, status, duration_ms, ts)``.
 
 Exact rank percentiles are computed from a per-(group, value) histogram:
 partial aggregation collapses rows to distinct values before the shuffle,
-and the running count that locates rank k runs over the histogram, split
-into value-range buckets per group (see ``_percentile_rows``) - so a path
-holding a third of all requests is spread over many tasks, and no task
-ever holds a whole group.
+and the running count that locates rank k runs over the histogram, split into
+value-range buckets (see ``_percentile_rows``) - so a path holding a third
+of all requests is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.functions.formatting import epoch_micros, fixed3, rate_percent_text, trunc_ntz
+from logspark.functions.formatting import epoch_micros, rate_percent_text, trunc_ntz
+from logspark.session import staged
 
 DEFAULT_PERCENTILES = (50, 95, 99)
 
@@ -40,22 +40,6 @@ def last_n_per_key(df: DataFrame, key: str = "path", n: int = 100, order: tuple
 
 
 PERCENTILE_BUCKETS = 64
-# largest number of distinct values per group that one window task may hold;
-# above it the running count is split into value-range buckets
-DIRECT_WINDOW_LIMIT = 200_000
-
-
-def _percentile_rows_direct(hist: DataFrame, by: list[str], pcts) -> DataFrame:
-    """Running count over each group's whole histogram (size-checked by the
-    caller: at most DIRECT_WINDOW_LIMIT rows per window partition)."""
-    w_run = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = Window.partitionBy(*by)
-    cum = hist.select(*by, "v", "c", F.sum("c").over(w_run).alias("upto"),
-                      F.sum("c").over(w_all).alias("n"), F.max("v").over(w_all).alias("max"))
-    exploded = cum.select("*", F.explode(F.array(*[F.lit(int(p)) for p in pcts])).alias("p"))
-    k = F.least(F.floor(F.col("n") * F.col("p") / 100), F.col("n") - 1)
-    hit = exploded.filter((F.col("upto") > k) & (F.col("upto") - F.col("c") <= k))
-    return hit.select(*by, "p", F.col("v").alias("value"), "n", "max")
 
 
 def _percentile_rows(hist: DataFrame, by: list[str], pcts, extra: dict | None = None,
@@ -63,41 +47,43 @@ def _percentile_rows(hist: DataFrame, by: list[str], pcts, extra: dict | None =
     """From a histogram (by..., v, c, ...) return (by..., p, value, n, max,
     extra...) with value = sorted[min(floor(N * p / 100), N - 1)] (0-based).
 
-    The running count that locates rank k is split so that no group lands in
-    one task: approximate quantiles of each group's distinct values give
-    ``buckets - 1`` bounds, the running count runs inside each (group,
-    bucket), and per-bucket totals (at most ``buckets`` rows per group)
-    become the offsets.  Exact for any skew.  ``extra`` maps output names to
-    ``(function, column)`` with function one of sum / min / max, aggregated
-    over the whole group (per bucket first, then across buckets).
+    The histogram is written once.  Approximate quantiles of all distinct
+    values give one list of at most ``buckets - 1`` bounds for every group,
+    collected to the driver (64 numbers, whatever the data) and applied as a
+    literal: no join, so no key can gather rows.  Per (group, bucket) totals
+    are prefix-summed per group - at most ``buckets`` rows each - and only the
+    buckets that hold a wanted rank are looked into, by a running count
+    inside (group, bucket).  ``extra`` maps output names to ``(function,
+    column)`` with function one of sum / min / max over the whole group.
     """
     extra = extra or {}
     keys = list(by) if by else ["_g"]
-    h = hist if by else hist.withColumn("_g", F.lit(0))
-    fractions = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    # bounds only balance the buckets, so a coarse sketch is enough
-    bounds = h.groupBy(*keys).agg(F.percentile_approx("v", fractions, 1000).alias("_bounds"))
-    bucket = F.size(F.filter(F.col("_bounds"), lambda b: b <= F.col("v")))
-    tagged = h.join(bounds, keys, "inner").withColumn("_bucket", bucket).drop("_bounds")
+    h = staged(hist if by else hist.withColumn("_g", F.lit(0)), "histogram")
+    fractions = [i / buckets for i in range(1, buckets)]
+    found = h.agg(F.percentile_approx("v", F.array(*[F.lit(f) for f in fractions]), 1000)).first()[0]
+    bounds = sorted(set(found or []))
+    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("v"))) if bounds else F.lit(0)
+    tagged = h.withColumn("_bucket", bucket)
     per_bucket = tagged.groupBy(*keys, "_bucket").agg(
         F.sum("c").alias("_bc"), F.max("v").alias("_bmax"),
         *[getattr(F, fn)(col).alias(name) for name, (fn, col) in extra.items()])
     w_before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     w_group = Window.partitionBy(*keys)
     offsets = per_bucket.select(
-        *keys, "_bucket",
+        *keys, "_bucket", "_bc",
         F.coalesce(F.sum("_bc").over(w_before), F.lit(0)).alias("_before"),
         F.sum("_bc").over(w_group).alias("n"),
         F.max("_bmax").over(w_group).alias("max"),
         *[getattr(F, fn)(name).over(w_group).alias(name) for name, (fn, _) in extra.items()])
+    ranks = F.array(*[F.struct(F.lit(int(p)).alias("p"), F.least(F.floor(F.col("n") * int(p) / 100), F.col("n") - 1).alias("k"))
+                      for p in pcts])
+    # the bucket in which rank k lies: one row per group and percentile
+    wanted = offsets.select("*", F.inline(ranks)) \
+        .filter((F.col("k") >= F.col("_before")) & (F.col("k") < F.col("_before") + F.col("_bc")))
     w_run = Window.partitionBy(*keys, "_bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = tagged.select(*keys, "_bucket", "v", "c", F.sum("c").over(w_run).alias("_local")) \
-        .join(offsets, keys + ["_bucket"], "inner")
+    run = tagged.select(*keys, "_bucket", "v", "c", F.sum("c").over(w_run).alias("_local"))
     upto = F.col("_before") + F.col("_local")
-    exploded = cum.select("*", upto.alias("upto"), F.explode(F.array(*[F.lit(int(p)) for p in pcts])).alias("p"))
-    k = F.least(F.floor(F.col("n") * F.col("p") / 100), F.col("n") - 1)
-    # rank k (0-based) lies in the value whose running count covers it
-    hit = exploded.filter((F.col("upto") > k) & (F.col("upto") - F.col("c") <= k))
+    hit = run.join(wanted, keys + ["_bucket"]).filter((upto > F.col("k")) & (upto - F.col("c") <= F.col("k")))
     return hit.select(*by, "p", F.col("v").alias("value"), "n", "max", *extra.keys())
 
 
@@ -108,21 +94,13 @@ def _pivot(rows: DataFrame, by: list[str], pcts, keep: list[str]) -> DataFrame:
     )
 
 
-def rank_percentiles(df: DataFrame, value: str, pcts=DEFAULT_PERCENTILES, by: tuple = (),
-                     direct_limit: int = DIRECT_WINDOW_LIMIT) -> DataFrame:
+def rank_percentiles(df: DataFrame, value: str, pcts=DEFAULT_PERCENTILES, by: tuple = ()) -> DataFrame:
     """F24 + F25 + G2 exact: one row per group with p<k> columns, the count
-    and the maximum.  NULL values are ignored.
-
-    The histogram's largest group (distinct values) is measured first: up
-    to ``direct_limit`` one window per group is used, beyond it the
-    bucketed, skew-proof running count.
-    """
+    and the maximum.  NULL values are ignored."""
     by = list(by)
     hist = df.filter(F.col(value).isNotNull()) \
         .groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    widest = (hist.groupBy(*by).count() if by else hist.groupBy().count()).agg(F.max("count")).first()[0] or 0
-    rows = _percentile_rows_direct(hist, by, pcts) if widest <= direct_limit else _percentile_rows(hist, by, pcts)
-    return _pivot(rows, by, pcts, ["n", "max"])
+    return _pivot(_percentile_rows(hist, by, pcts), by, pcts, ["n", "max"])
 
 
 def approx_percentiles(df: DataFrame, value: str, pcts=DEFAULT_PERCENTILES, by: tuple = (),
@@ -134,9 +112,9 @@ def approx_percentiles(df: DataFrame, value: str, pcts=DEFAULT_PERCENTILES, by:
     return g.select(*by, *[F.col("ps")[i].alias(f"p{p}") for i, p in enumerate(pcts)], "n")
 
 
-def latency_report(access: DataFrame, direct_limit: int = DIRECT_WINDOW_LIMIT) -> DataFrame:
+def latency_report(access: DataFrame) -> DataFrame:
     """F24 + F25 per path: exact p50/p95/p99, max and count."""
-    return rank_percentiles(access, "duration_ms", DEFAULT_PERCENTILES, ("path",), direct_limit)
+    return rank_percentiles(access, "duration_ms", DEFAULT_PERCENTILES, ("path",))
 
 
 def delivery_report(access: DataFrame) -> DataFrame:
@@ -184,7 +162,3 @@ def progress(access: DataFrame) -> DataFrame:
         F.percentile_approx("duration_ms", 0.95, 1000).alias("p95"),
     )
 
-
-def float_text(c) -> Column:
-    """F22 float text (three truncated decimals) for reports."""
-    return fixed3(c)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions import normalize as N
+from logspark.functions.analyze import escaped_json
 from logspark.functions.formatting import as_timestamp
 
 
@@ -180,7 +181,7 @@ def record_view(logs: DataFrame) -> DataFrame:
 
 def record_json(logs: DataFrame) -> DataFrame:
     """B9 as JSON text per record."""
-    return record_view(logs).select("id", F.to_json(F.struct("*")).alias("json"))
+    return record_view(logs).select("id", escaped_json(F.to_json(F.struct("*"))).alias("json"))
 
 
 def event_columns() -> list[Column]:

@@ -1,9 +1,9 @@
 """Deletes and retention (H1-H4).
 
-Every operation returns ``(kept, report)``: the rows that remain and a
-one-row report.  ``rewrite_table`` persists a result as a new version
-directory (never overwriting a path that is being read); retention drops
-whole ``log_date`` partitions by pruning and only filters the boundary day.
+On a frame every operation returns ``(kept, report)``: the rows that remain
+and a one-row report.  On a stored table retention drops whole ``log_date``
+partitions and rewrites the cutoff day alone; deletes rewrite the days that
+hold a listed id (``sources.store.replace_days``).
 """
 
 from __future__ import annotations
@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 
 from logspark.functions.formatting import as_timestamp, parse_as_of
 
-# size above which a delete-id list is joined by shuffle instead of broadcast
-BROADCAST_ID_LIMIT = 2_000_000
-
-
 class Outcome(NamedTuple):
     kept: DataFrame
     report: DataFrame
@@ -33,21 +29,21 @@ def delete_id(logs: DataFrame, log_id: int) -> Outcome:
     return Outcome(kept, report)
 
 
-def delete_ids(logs: DataFrame, ids: DataFrame, id_col: str = "id") -> Outcome:
-    """H2: drop every listed id (missing ids ignored, repeats count once).
-
-    The id list is deduplicated and broadcast only when its measured size is
-    below ``BROADCAST_ID_LIMIT``; beyond that it is joined by shuffle.
-    """
+def _wanted(ids: DataFrame, id_col: str) -> DataFrame:
     wanted = ids.select(F.col(id_col).cast("bigint").alias("id")).filter(F.col("id").isNotNull()).distinct()
-    n_wanted = wanted.count()
-    if n_wanted == 0:
+    if wanted.isEmpty():
         raise ValueError("at least one id is required")
-    side = F.broadcast(wanted) if n_wanted <= BROADCAST_ID_LIMIT else wanted
-    kept = logs.join(side, "id", "left_anti")
-    deleted = logs.join(side, "id", "left_semi").agg(F.count(F.lit(1)).alias("deleted"))
-    report = deleted.select(F.lit(n_wanted).cast("bigint").alias("requested"), "deleted",
-                            (F.lit(n_wanted) - F.col("deleted")).alias("missing"))
+    return wanted
+
+
+def delete_ids(logs: DataFrame, ids: DataFrame, id_col: str = "id") -> Outcome:
+    """H2: drop every listed id (missing ids ignored, repeats count once).
+    Adaptive execution picks the join from the sizes it meets."""
+    wanted = _wanted(ids, id_col)
+    kept = logs.join(wanted, "id", "left_anti")
+    deleted = logs.join(wanted, "id", "left_semi").agg(F.count(F.lit(1)).alias("deleted"))  # one row each
+    report = wanted.agg(F.count(F.lit(1)).alias("requested")).join(F.broadcast(deleted)) \
+        .select("requested", "deleted", (F.col("requested") - F.col("deleted")).alias("missing"))
     return Outcome(kept, report)
 
 
@@ -72,7 +68,8 @@ def apply_retention(logs: DataFrame, days: int = 90, as_of=None) -> Outcome:
         kept = logs.filter((F.col("log_date") >= F.lit(cutoff.date())) & (F.col("created_at") >= c))
     else:
         kept = logs.filter(F.col("created_at") >= c)
-    n = logs.agg(F.count_if(old).alias("deleted"))
+    candidates = logs.filter(F.col("log_date") <= F.lit(cutoff.date())) if "log_date" in logs.columns else logs
+    n = candidates.agg(F.count_if(old).alias("deleted"))
     msg = F.when(F.col("deleted") > 0,
                  F.format_string(f"Cleaned up %d logs older than {days} days", F.col("deleted"))) \
         .otherwise(F.lit(f"No logs older than {days} days to clean up"))
@@ -80,17 +77,6 @@ def apply_retention(logs: DataFrame, days: int = 90, as_of=None) -> Outcome:
     return Outcome(kept, report)
 
 
-def rewrite_table(kept: DataFrame, new_path: str) -> str:
-    """Persist a delete / retention result as a new table version.
-
-    Only partitions that still hold rows are written; the caller swaps the
-    table pointer to ``new_path`` afterwards (a reader of the old version is
-    never disturbed).
-    """
-    kept.write.mode("overwrite").partitionBy("log_date").parquet(new_path)
-    return new_path
-
-
 # ------------------------------------------------------ table maintenance
 def _fs(spark, path: str):
     jvm = spark._jvm
@@ -114,37 +100,13 @@ def partition_days(spark, path: str) -> dict:
     return out
 
 
-def _rewrite_days(spark, path: str, kept: DataFrame, days: list, tag: str) -> None:
-    """Replace the given ``log_date`` partitions of the table with ``kept``
-    (rows of those days only).  The rows are first written to a staging
-    folder - a partition is never overwritten while it is being read - and
-    then moved in with a dynamic partition overwrite; a day left without
-    rows is removed."""
-    import uuid
-
-    from logspark.schema import LOG_COLUMNS, LOGS
-    from logspark.session import checkpoint_dir
-
-    stage = f"{checkpoint_dir(spark).rstrip('/')}/logspark-staging/{tag}-{uuid.uuid4().hex}"
-    kept.select(*LOG_COLUMNS).write.mode("overwrite").partitionBy("log_date").parquet(stage)
-    staged = spark.read.schema(LOGS).parquet(stage)
-    still = {r.log_date for r in staged.select("log_date").distinct().collect()}   # at most len(days) rows
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("log_date").parquet(path))
-    existing = partition_days(spark, path)
-    fs, _ = _fs(spark, path)
-    for d in days:
-        if d not in still and d in existing:
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(existing[d]), True)
-    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(stage), True)
-
-
 def cleanup_table(spark, path: str, days: int = 90, as_of=None) -> dict:
     """H3 on a stored table: drop every ``log_date`` partition before the
     cutoff day (a directory delete, no data read) and rewrite only the
     cutoff day itself.  Returns the H4 report as a dict."""
-    from logspark.sources.store import read_logs
+    from logspark.sources.store import finish_swaps, read_logs, replace_days
 
+    finish_swaps(spark, path)
     cutoff = cutoff_for(days, as_of)
     c = as_timestamp(cutoff)
     logs = read_logs(spark, path)
@@ -156,7 +118,7 @@ def cleanup_table(spark, path: str, days: int = 90, as_of=None) -> dict:
             fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p), True)
     if cutoff.date() in parts:
         boundary = logs.filter((F.col("log_date") == F.lit(cutoff.date())) & (F.col("created_at") >= c))
-        _rewrite_days(spark, path, boundary, [cutoff.date()], "retention")
+        replace_days(spark, path, boundary, [cutoff.date()])
     message = (f"Cleaned up {deleted} logs older than {days} days" if deleted > 0
                else f"No logs older than {days} days to clean up")
     return {"deleted": deleted, "cutoff": cutoff, "days": days, "message": message}
@@ -164,19 +126,16 @@ def cleanup_table(spark, path: str, days: int = 90, as_of=None) -> dict:
 
 def delete_from_table(spark, path: str, ids: DataFrame, id_col: str = "id") -> dict:
     """H2 on a stored table: rewrite only the days that hold a listed id."""
-    from logspark.sources.store import read_logs
+    from logspark.sources.store import finish_swaps, read_logs, replace_days
 
+    finish_swaps(spark, path)
     logs = read_logs(spark, path)
-    wanted = ids.select(F.col(id_col).cast("bigint").alias("id")).filter(F.col("id").isNotNull()).distinct()
-    n_wanted = wanted.count()
-    if n_wanted == 0:
-        raise ValueError("at least one id is required")
-    side = F.broadcast(wanted) if n_wanted <= BROADCAST_ID_LIMIT else wanted
-    hit = logs.join(side, "id", "left_semi").groupBy("log_date").agg(F.count(F.lit(1)).alias("n"))
+    wanted = _wanted(ids, id_col)
+    hit = logs.join(wanted, "id", "left_semi").groupBy("log_date").agg(F.count(F.lit(1)).alias("n"))
     per_day = {r.log_date: r.n for r in hit.collect()}          # one row per affected day
     if per_day:
         affected = list(per_day)
-        kept = logs.filter(F.col("log_date").isin(affected)).join(side, "id", "left_anti")
-        _rewrite_days(spark, path, kept, affected, "delete")
-    deleted = sum(per_day.values())
-    return {"requested": n_wanted, "deleted": deleted, "missing": n_wanted - deleted}
+        kept = logs.filter(F.col("log_date").isin(affected)).join(wanted, "id", "left_anti")
+        replace_days(spark, path, kept, affected)
+    deleted, requested = sum(per_day.values()), wanted.count()
+    return {"requested": requested, "deleted": deleted, "missing": requested - deleted}

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions import analyze as A
 from logspark.functions import normalize as N
-from logspark.functions.formatting import as_timestamp, epoch_micros, month_ago, percent_text, trunc_ntz
+from logspark.functions.formatting import as_timestamp, epoch_micros, month_ago, parse_as_of, percent_text, trunc_ntz
 from logspark.functions.rules import AGE_BUCKETS, DEFAULT_RULES, Rules
 
 ERROR_SEVERITIES = ("error", "critical")
@@ -29,6 +29,16 @@ def _recent(as_of, hours: int = 24) -> Column:
     return F.col("created_at") >= as_timestamp(as_of) - F.expr(f"INTERVAL {hours} HOURS")
 
 
+def since(logs: DataFrame, as_of, hours: int) -> DataFrame:
+    """Rows of the last ``hours`` before as_of and later; on a stored table the
+    implied ``log_date`` bound prunes the partitions before."""
+    out = logs.filter(_recent(as_of, hours))
+    if "log_date" in logs.columns:
+        first = parse_as_of(as_of) - _dt.timedelta(hours=hours)
+        out = out.filter(F.col("log_date") >= F.lit(first.date()))
+    return out
+
+
 def total(logs: DataFrame) -> DataFrame:
     """F1."""
     return logs.agg(F.count(F.lit(1)).alias("total"))
@@ -78,16 +88,21 @@ def stats_long(logs: DataFrame, as_of) -> DataFrame:
     return agg.select(F.inline(rows))
 
 
-def stats(logs: DataFrame, as_of) -> DataFrame:
-    """F5 as served: one row (total, last_24_hours, by_severity map, by_source map)."""
-    long = stats_long(logs, as_of)
+def _object(kind: str) -> Column:
+    """JSON object {key: n} of one grouping, keys in order."""
     entry = F.struct("key", "n")
-    return long.agg(
+    rows = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, entry)))
+    return F.to_json(F.map_from_entries(rows)).alias(kind)
+
+
+def stats(logs: DataFrame, as_of) -> DataFrame:
+    """F5 as served: one row (total, last_24_hours, by_severity and by_source
+    as JSON objects).  The objects hold one entry per name; for groupings too
+    large for one record use ``stats_long``."""
+    return stats_long(logs, as_of).agg(
         F.max(F.when(F.col("kind") == "total", F.col("n"))).alias("total"),
         F.max(F.when(F.col("kind") == "last_24_hours", F.col("n"))).alias("last_24_hours"),
-        F.map_from_entries(F.collect_list(F.when(F.col("kind") == "by_severity", entry))).alias("by_severity"),
-        F.map_from_entries(F.collect_list(F.when(F.col("kind") == "by_source", entry))).alias("by_source"),
-    )
+        _object("by_severity"), _object("by_source"))
 
 
 def stats_printout(logs: DataFrame, as_of) -> DataFrame:
@@ -107,8 +122,9 @@ def error_rate(logs: DataFrame) -> DataFrame:
 def severity_breakdown(logs: DataFrame) -> DataFrame:
     """F8 + G3: count, share rounded half up, display rank and label."""
     counts = severity_counts(logs)
-    share = F.col("n").cast("double") / F.sum("n").over(Window.partitionBy()).cast("double") * 100.0
-    return counts.select(
+    whole = counts.agg(F.sum("n").alias("_all"))  # one row
+    share = F.col("n").cast("double") / F.col("_all").cast("double") * 100.0
+    return counts.join(F.broadcast(whole)).select(
         "severity", N.capitalized("severity").alias("label"), N.severity_rank("severity").alias("rank"), "n",
         F.floor(share + 0.5).cast("bigint").alias("percentage"),
     )
@@ -155,8 +171,8 @@ def by_color(logs: DataFrame) -> DataFrame:
 
 def error_rate_24h(logs: DataFrame, as_of) -> DataFrame:
     """error share of the last 24 hours as percent text."""
-    r = _recent(as_of)
-    agg = logs.agg(F.count_if(r).alias("total"), F.count_if(r & _eff_sev().isin(*ERROR_SEVERITIES)).alias("errors"))
+    agg = since(logs, as_of, 24).agg(F.count(F.lit(1)).alias("total"),
+                                     F.count_if(_eff_sev().isin(*ERROR_SEVERITIES)).alias("errors"))
     rate = F.col("errors").cast("double") / F.col("total").cast("double") * 100.0
     return agg.select("total", "errors", F.when(F.col("total") > 0, percent_text(rate))
                       .otherwise(F.lit("0.00%")).alias("error_rate_24h"))
@@ -217,8 +233,10 @@ def _hour_slots(logs: DataFrame, as_of, slots: int) -> DataFrame:
     now = as_timestamp(as_of)
     age = epoch_micros(now) - epoch_micros(F.col("created_at"))
     slot = F.floor(age / F.lit(3_600_000_000)).cast("int")
-    counts = logs.filter((F.col("created_at") < now) & (F.col("created_at") >= now - F.expr(f"INTERVAL {slots} HOURS"))) \
-        .groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("total"),
+    recent = since(logs, as_of, slots).filter(F.col("created_at") < now)
+    if "log_date" in logs.columns:
+        recent = recent.filter(F.col("log_date") <= F.lit(parse_as_of(as_of).date()))
+    counts = recent.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("total"),
                                           F.count_if(_eff_sev().isin(*ERROR_SEVERITIES)).alias("errors"))
     grid = logs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
     # both sides are bounded by ``slots`` rows
@@ -253,27 +271,33 @@ def trends(logs: DataFrame, as_of) -> DataFrame:
 
 
 def hourly_error_series(logs: DataFrame) -> DataFrame:
-    """Per clock hour, the error count and the trailing 24-hour mean and
-    standard deviation (frame rowsBetween(-24, -1)) over a zero-filled series.
-
-    The window runs over the aggregated hourly series (one row per hour
-    spanned), never over log rows, so its single partition stays small.
+    """Per clock hour, the error count and the mean and standard deviation
+    of the 24 hours before it (those since the first hour, empty ones as 0).
+
+    Every hour with rows adds its count to the 24 hours after it, so the
+    trailing sums are one grouping by hour: no window over all hours, and no
+    grid from the first to the last one.  Hours that have neither rows nor
+    rows in the day before them are left out (all their values are 0), so a
+    stray timestamp far off adds 25 rows, not the years in between.
     """
     hour = trunc_ntz(F.col("created_at"), "hour")
-    counts = logs.groupBy(hour.alias("hour")).agg(
+    counts = logs.filter(F.col("created_at").isNotNull()).groupBy(hour.alias("hour")).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(_eff_sev().isin(*ERROR_SEVERITIES)).alias("errors"))
-    span = counts.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
-    grid = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("hour"))
-    series = grid.join(counts, "hour", "left").select(
-        "hour", F.coalesce("total", F.lit(0)).cast("bigint").alias("total"),
-        F.coalesce("errors", F.lit(0)).cast("bigint").alias("errors"))
-    w = Window.orderBy("hour").rowsBetween(-24, -1)
-    e = F.col("errors").cast("double")
-    return series.select(
-        "hour", "total", "errors",
-        F.avg(e).over(w).alias("trailing_mean"),
-        F.stddev_pop(e).over(w).alias("trailing_stddev"),
+    span = counts.agg(F.min("hour").alias("_first"), F.max("hour").alias("_last"))  # one row
+    after = F.col("hour") + F.col("k") * F.expr("INTERVAL 1 HOUR")
+    own = F.col("k") == 0
+    sums = counts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(24)))).groupBy(after.alias("hour")).agg(
+        F.sum(F.when(own, F.col("total")).otherwise(0)).alias("total"),
+        F.sum(F.when(own, F.col("errors")).otherwise(0)).alias("errors"),
+        F.sum(F.when(~own, F.col("errors")).otherwise(0)).alias("s1"),
+        F.sum(F.when(~own, F.col("errors") * F.col("errors")).otherwise(0)).alias("s2"))
+    age = (epoch_micros(F.col("hour")) - epoch_micros(F.col("_first"))) / 3_600_000_000
+    n = F.least(F.lit(24.0), age)
+    mean = F.when(n > 0, F.col("s1") / n)
+    spread = F.when(n > 0, F.sqrt(F.greatest(F.lit(0.0), n * F.col("s2") - F.col("s1") * F.col("s1"))) / n)
+    return sums.join(F.broadcast(span)).filter(F.col("hour") <= F.col("_last")).select(
+        "hour", "total", "errors", mean.alias("trailing_mean"), spread.alias("trailing_stddev"),
     ).withColumn("spike", F.col("errors").cast("double") > F.col("trailing_mean") + 3.0 * F.col("trailing_stddev"))
 
 

@@ -8,6 +8,7 @@ page or a top-k report is the feature.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.functions import normalize as N
+from logspark.functions.analyze import parsed_body, whole_body
 from logspark.functions.rules import AGE_BUCKETS, AUTO_COLORS, COLORS, SEVERITY_RANK
 from logspark.operators import export as X
 from logspark.operators import metrics as M
@@ -24,7 +26,8 @@ from logspark.operators import stats as S
 from logspark.operators.enrich import enrich, ingest
 from logspark.plans import oracle as O
 from logspark.sources import adapters as AD
-from logspark.sources.store import assign_ids, derived_table, spread, stored_logs
+from logspark.session import checkpoint_dir
+from logspark.sources.store import append, assign_ids, read_logs, stored_logs
 
 AS_OF = "2024-01-29 12:00:00"
 AS_OF_LATER = "2024-02-10 12:00:00"
@@ -50,7 +53,7 @@ def enriched(spark: SparkSession, sf: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf: str) -> DataFrame:
     """The stored log table: events enriched once per session, then scanned."""
-    return stored_logs(spark, f"logs:{sf}", lambda: enrich(AD.raw_logs(spread(events(spark, sf)))))
+    return stored_logs(spark, f"logs:{sf}", lambda: enrich(AD.raw_logs(events(spark, sf))))
 
 
 def access(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +62,12 @@ def access(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_logs(spark: SparkSession, sf: str) -> DataFrame:
     return stored_logs(spark, f"documents:{sf}",
-                       lambda: enrich(AD.document_logs(spread(AD.read_table(spark, sf, "documents")))))
+                       lambda: enrich(AD.document_logs(AD.read_table(spark, sf, "documents"))))
+
+
+def conversation_logs(spark: SparkSession, sf: str) -> DataFrame:
+    return stored_logs(spark, f"conversations:{sf}",
+                       lambda: enrich(AD.conversation_logs(AD.read_table(spark, sf, "conversations"))))
 
 
 # ---------------------------------------------------------------- SQL helpers
@@ -188,37 +196,59 @@ def _doc_search(spark, sf):
     return Q.total(Q.search(doc_logs(spark, sf), Q.LogFilter(search="the")))
 
 
-def _doc_counts(spark, sf):
-    d = doc_logs(spark, sf)
+def _text_counts(d):
     return d.groupBy(N.effective_severity().alias("severity"), F.col("derived_category").alias("category"),
                      F.col("derived_source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _generated(spark, sf):
-    """One synthetic log per event, keyed by event_id and stamped with its ts."""
-    from logspark.operators.synth import generate_for
+def _approx(spark, sf):
+    return M.approx_percentiles(access(spark, sf), "duration_ms", M.DEFAULT_PERCENTILES, ("path",))
 
-    ids = events(spark, sf).select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
-    return generate_for(ids, seed=42)
 
+def _approx_bounds(spark, sf):
+    """Per path and percentile: whether the approximate value lies within one
+    hundredth of the ranks around the exact one."""
+    acc = access(spark, sf).filter(F.col("duration_ms").isNotNull())
+    approx = _approx(spark, sf)
+    ranked = acc.join(approx, "path")
+    out = ranked.groupBy("path").agg(
+        F.max("n").alias("n"),
+        *[F.count_if(F.col("duration_ms") < F.col(f"p{p}")).alias(f"below{p}") for p in M.DEFAULT_PERCENTILES],
+        *[F.count_if(F.col("duration_ms") <= F.col(f"p{p}")).alias(f"upto{p}") for p in M.DEFAULT_PERCENTILES])
+    ok = [((F.col(f"below{p}") <= F.col("n") * (p / 100 + 0.01)) & (F.col(f"upto{p}") >= F.col("n") * (p / 100 - 0.01)))
+          .alias(f"p{p}_within") for p in M.DEFAULT_PERCENTILES]
+    return out.select("path", "n", *ok)
 
-def _generated_categories(spark, sf):
-    """Generate -> store the raw dataset -> ingest -> store -> count."""
-    raw = derived_table(spark, f"generated-raw:{sf}", lambda: spread(_generated(spark, sf)))
-    stored = stored_logs(spark, f"generated:{sf}", lambda: enrich(raw))
-    return S.category_counts(stored)
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one run of a streaming query."""
+    return f"{checkpoint_dir(spark)}/logspark-{name}-{uuid.uuid4().hex}"
 
-def _approx(spark, sf):
-    return M.approx_percentiles(access(spark, sf), "duration_ms", M.DEFAULT_PERCENTILES, ("path",))
+
+#: The events arrive in three parts, cut at these times.
+CUTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
 
 
-_RUNS = {"n": 0}
+def _part(frame: DataFrame, i: int) -> DataFrame:
+    lo, hi = (None, *CUTS)[i], (*CUTS, None)[i]
+    t = F.col("ts")
+    if lo:
+        frame = frame.filter(t >= F.lit(lo).cast("timestamp_ntz"))
+    return frame.filter(t < F.lit(hi).cast("timestamp_ntz")) if hi else frame
 
 
-def _run_name(base: str) -> str:
-    _RUNS["n"] += 1
-    return f"{base}-{_RUNS['n']}"
+def _arriving(spark: SparkSession, sf: str, base: str, i: int, kind: str = "events") -> None:
+    """Part ``i`` of the events (or of the error events) arrives as files."""
+    part = _part(events(spark, sf), i)
+    if kind == "deletes":
+        part = part.filter(F.col("event_type") == "error")
+    part.write.mode("append").parquet(f"{base}/{kind}")
+
+
+def _arrived(spark: SparkSession, base: str, kind: str = "events") -> DataFrame:
+    from logspark.streaming import stream as ST
+
+    return ST.events_stream(spark, f"{base}/{kind}", glob="*.parquet")
 
 
 def _stream_logs(spark, sf):
@@ -237,66 +267,117 @@ def _stream_deleted(spark, sf):
 def _stream_enriched(spark, sf):
     from logspark.streaming import stream as ST
 
-    return ST.run_available(_stream_logs(spark, sf), _run_name("enrich"), "append")
+    return ST.run_available(_stream_logs(spark, sf), _fresh(spark, "enrich")).result
 
 
 def _stream_running(spark, sf):
     from logspark.streaming import stream as ST
 
     feed = ST.change_feed(_stream_logs(spark, sf), _stream_deleted(spark, sf))
-    return ST.run_available(ST.running_stats(feed), _run_name("running"), "update", ("kind", "key"))
-
-
-def _stream_hourly(spark, sf):
-    from logspark.streaming import stream as ST
-
-    return ST.run_available(ST.hourly_counts(_stream_logs(spark, sf)), _run_name("hourly"), "update", ("hour",))
+    return ST.run_available(ST.running_stats(feed), _fresh(spark, "running"), "update", ("kind", "key")).result
 
 
-def _stream_sliding(spark, sf):
-    from logspark.streaming import stream as ST
+def _windowed(counts, keys, order, watermark):
+    """A windowed count over the three parts, each its own micro-batch, with
+    the number of rows that came too late in a column of its own."""
+    def build(spark, sf):
+        from logspark.streaming import stream as ST
 
-    return ST.run_available(ST.sliding_day_counts(_stream_logs(spark, sf)), _run_name("sliding"), "update",
-                            ("window_start",))
+        base, dropped, result = _fresh(spark, "windows"), 0, None
+        for i in order:
+            _arriving(spark, sf, base, i)
+            result, late = ST.run_available(getattr(ST, counts)(enrich(AD.raw_logs(_arrived(spark, base))), watermark),
+                                            f"{base}/run", "update", keys)
+            dropped += late
+        return result.withColumn("dropped", F.lit(dropped).cast("bigint"))
+    return build
 
 
 def _stream_ring(spark, sf):
     from logspark.streaming import stream as ST
 
     acc = AD.access_logs(ST.events_stream(spark, sf))
-    return ST.run_available(ST.last_durations(acc, 100), _run_name("ring"), "update", ("path",))
+    return ST.run_available(ST.last_durations(acc, 100), _fresh(spark, "ring"), "update", ("path",)).result
 
 
 def _stream_progress(spark, sf):
+    """Per second, the parts in order of time (a second never spans two)."""
     from logspark.streaming import stream as ST
 
-    acc = AD.access_logs(ST.events_stream(spark, sf))
-    return ST.run_available(ST.progress(acc), _run_name("progress"), "update", ("second",))
+    base, result = _fresh(spark, "progress"), None
+    for i in range(3):
+        _arriving(spark, sf, base, i)
+        result = ST.run_available(ST.progress(AD.access_logs(_arrived(spark, base)), "10 seconds"),
+                                  f"{base}/run", "update", ("second",)).result
+    return result
 
 
 def _stream_tail(spark, sf):
+    """Logs arrive in order of time, the deletes of error events the other way
+    round: those of the last part before their logs, those of the first after."""
     from logspark.streaming import stream as ST
 
-    gone = _stream_deleted(spark, sf).select("id")
-    return ST.live_tail(_stream_logs(spark, sf), gone, _run_name("tail"), 100)
+    base, tail = _fresh(spark, "tail"), None
+    for i in range(3):
+        _arriving(spark, sf, base, i)
+        _arriving(spark, sf, base, 2 - i, "deletes")
+        gone = enrich(AD.raw_logs(_arrived(spark, base, "deletes"))).select("id")
+        tail = ST.live_tail(enrich(AD.raw_logs(_arrived(spark, base))), gone, f"{base}/run", 100)
+    return tail
 
 
 def _stream_snapshots(spark, sf):
+    """The snapshot after each of the three parts."""
     from logspark.streaming import stream as ST
 
-    return ST.stats_snapshots(_stream_logs(spark, sf), _run_name("snapshots"))
+    base, out = _fresh(spark, "snapshots"), None
+    for i in range(3):
+        _arriving(spark, sf, base, i)
+        out = ST.stats_snapshots(enrich(AD.raw_logs(_arrived(spark, base))), f"{base}/run")
+    return out
+
+
+def _ingested(spark, sf):
+    from logspark.streaming import stream as ST
+
+    base = _fresh(spark, "ingest")
+    for i in range(3):
+        _arriving(spark, sf, base, i)
+        ST.ingest_stream(AD.raw_logs(_arrived(spark, base)), f"{base}/run", f"{base}/store")
+    return base
 
 
 def _stream_ingest(spark, sf):
+    return read_logs(spark, f"{_ingested(spark, sf)}/store")
+
+
+def _stream_rejected(spark, sf):
+    return spark.read.parquet(f"{_ingested(spark, sf)}/run/rejected").select("id", "created_at", "title", "reason")
+
+
+def _stream_feed(spark, sf):
+    return spark.read.parquet(f"{_ingested(spark, sf)}/run/feed").select("type", "id", "severity", "source", "created_at", "title", "data")
+
+
+def _store_maintained(spark, sf):
+    """One table: streamed into, appended to, deleted from, streamed into again,
+    expired, and a last run of the stream that finds nothing new."""
     from logspark.streaming import stream as ST
 
-    base = ST._stream_dir(spark, _run_name("ingest"))
-    raw = AD.raw_logs(ST.events_stream(spark, sf))
-    writers = ST.ingest_stream(raw, f"{base}/store", f"{base}/rejected", f"{base}/checkpoint", f"{base}/feed")
-    for q in [w.trigger(availableNow=True).start() for w in writers]:
-        q.awaitTermination()
-    from logspark.schema import LOGS
-    return spark.read.schema(LOGS).parquet(f"{base}/store")
+    base = _fresh(spark, "maintained")
+    store = f"{base}/store"
+    for i in range(3):
+        _arriving(spark, sf, base, i)
+        ST.ingest_stream(AD.raw_logs(_arrived(spark, base)), f"{base}/run", store)
+        if i == 0:
+            extra = enrich(AD.raw_logs(events(spark, sf).filter(F.col("event_type") == "view")))
+            append(extra.withColumn("id", -F.col("id") - 1), store)
+        if i == 1:
+            H.delete_from_table(spark, store, events(spark, sf).filter(F.col("event_type") == "error")
+                                .select(F.col("event_id").alias("id")))
+    H.cleanup_table(spark, store, 20, AS_OF)
+    ST.ingest_stream(AD.raw_logs(_arrived(spark, base)), f"{base}/run", store)
+    return read_logs(spark, store).select("id", "title", "created_at", "log_date")
 
 
 def _nested_ingest(spark, sf):
@@ -309,7 +390,7 @@ def _nested_ingest(spark, sf):
     raw = AD.raw_logs(events(spark, sf))
     as_json_string = F.regexp_extract(F.to_json(F.array("body")), r"^\[(.*)\]$", 1)
     body_part = (F.when(F.col("body").isNull(), F.lit(""))
-                 .when(F.try_parse_json("body").isNotNull(), F.concat(F.lit(',"body":'), F.col("body")))
+                 .when(whole_body(parsed_body("body")).isNotNull(), F.concat(F.lit(',"body":'), F.col("body")))
                  .otherwise(F.concat(F.lit(',"body":'), as_json_string)))
     header = F.to_json(F.struct("title", "severity", "source", "color", "description"))
     line = F.concat(F.lit('{"header":'), header, body_part, F.lit("}"))
@@ -344,13 +425,30 @@ def _event_feed(spark, sf):
     return ST.change_feed(lg, gone)
 
 
-def _arrivals(spark, sf):
-    import datetime as _dt
+def _json(x: str) -> str:
+    """JSON string of a text, with the escapes of the stored form."""
+    out = f"CAST(to_json({x}) AS VARCHAR)"
+    for ch, text in (("'<'", "u003c"), ("'>'", "u003e"), ("'&'", "u0026"), ("chr(8232)", "u2028"), ("chr(8233)", "u2029")):
+        out = f"replace({out}, {ch}, '\\{text}')"
+    return out
+
+
+def _field(name: str, value: str) -> str:
+    return f"""'"{name}":' || {_json(value)}"""
+
 
-    from logspark.operators.synth import with_arrival_times
+def record_sql(empty: bool) -> str:
+    """JSON of the record view; ``empty``: of the event view, which keeps empty
+    optional fields."""
+    opt = (lambda c: f"coalesce({c}, '')") if empty else (lambda c: c)
+    header = ", ".join([_field("title", "title"), _field("severity", EFF), _field("source", opt("source")),
+                        _field("color", eff_color_sql()), _field("description", opt("description"))])
+    meta = ", ".join(_field(c, opt(c)) for c in ("derived_severity", "derived_source", "derived_category"))
+    return (f"""'{{"id":' || id || ',"header":{{' || concat_ws(',', {header}) || '}},"body":' || body || ',"metadata":{{' """
+            f"""|| concat_ws(',', {meta}) || '}},' || {_field("created_at", RFC3339)} || '}}'""")
 
-    ids = events(spark, sf).select(F.col("event_id").alias("id"))
-    return with_arrival_times(ids, _dt.datetime(2024, 1, 1), 3, 30, seed=42)
+
+CREATED_SQL = f"SELECT 'log_created' AS type, id, {EFF} AS severity, source, created_at, title, {record_sql(True)} AS data FROM logs"
 
 
 def build_registry() -> list[Registered]:
@@ -379,8 +477,10 @@ def build_registry() -> list[Registered]:
         "A8")
     reg("nested_json_ingest", _nested_ingest, O.with_logs("SELECT * FROM logs"), "A1")
     reg("tolerant_scan", _tolerant, O.with_logs("SELECT * FROM logs"), "A7")
-    reg("record_json", _record_json, None, "B9 (JSON text)")
-    reg("change_feed_batch", _event_feed, None, "B10 J2 (batch form)")
+    reg("record_json", _record_json, O.with_logs(f"SELECT id, {record_sql(False)} AS json FROM logs"), "B9 (JSON text)")
+    reg("change_feed_batch", _event_feed, O.with_logs(CREATED_SQL + f"""
+UNION ALL SELECT 'log_deleted', id, {EFF}, source, created_at, NULL, '{{"id":' || id || '}}' FROM logs
+WHERE id IN (SELECT id FROM {DELETE_LIST_SQL} d)"""), "B10 J2 (batch form)")
     reg("lookup_one", lambda s, sf: Q.lookup(logs(s, sf), 4242), O.with_logs("SELECT * FROM logs WHERE id = 4242"), "A11")
 
     # --- statistics
@@ -391,7 +491,16 @@ def build_registry() -> list[Registered]:
     reg("stats_bundle", lambda s, sf: S.stats_long(logs(s, sf), AS_OF), O.with_logs(f"""SELECT 'total' AS kind, CAST(NULL AS VARCHAR) AS key, count(*) AS n FROM logs
 UNION ALL SELECT 'last_24_hours', NULL, count(*) FILTER (WHERE created_at >= {ts(AS_OF)} - INTERVAL 24 HOUR) FROM logs
 UNION ALL SELECT 'by_severity', {EFF}, count(*) FROM logs GROUP BY 2
-UNION ALL SELECT 'by_source', coalesce(source, 'unknown'), count(*) FROM logs GROUP BY 2"""), "F1 F2 F5 F6")
+UNION ALL SELECT 'by_source', coalesce(source, 'unknown'), count(*) FROM logs GROUP BY 2"""), "F1 F2 F5")
+    reg("stats_served", lambda s, sf: S.stats(logs(s, sf), AS_OF), O.with_logs(f""", sev AS (
+  SELECT {EFF} AS k, count(*) AS n FROM logs GROUP BY 1), src AS (SELECT coalesce(source, 'unknown') AS k, count(*) AS n FROM logs GROUP BY 1)
+SELECT (SELECT count(*) FROM logs) AS total,
+  (SELECT count(*) FROM logs WHERE created_at >= {ts(AS_OF)} - INTERVAL 24 HOUR) AS last_24_hours,
+  (SELECT '{{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}}' FROM sev) AS by_severity,
+  (SELECT '{{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}}' FROM src) AS by_source"""), "F5 (served form)")
+    reg("stats_printout", lambda s, sf: S.stats_printout(logs(s, sf), AS_OF), O.with_logs(f"""SELECT * FROM (
+SELECT 'by_severity' AS kind, {EFF} AS key, count(*) AS n FROM logs GROUP BY 2
+UNION ALL SELECT 'by_source', coalesce(source, 'unknown'), count(*) FROM logs GROUP BY 2) ORDER BY kind, key"""), "F6")
     reg("category_counts", lambda s, sf: S.category_counts(logs(s, sf)),
         O.with_logs("SELECT derived_category AS category, count(*) AS n FROM logs GROUP BY 1"), "F28")
     reg("error_rate", lambda s, sf: S.error_rate(logs(s, sf)), O.with_logs(f""", c AS (
@@ -450,7 +559,8 @@ w AS (SELECT hour, total, errors,
         avg(CAST(errors AS DOUBLE)) OVER win AS m, stddev_pop(CAST(errors AS DOUBLE)) OVER win AS sd
       FROM s WINDOW win AS (ORDER BY hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
 SELECT hour, total, errors, round(m, 9) AS trailing_mean, round(sd, 9) AS trailing_stddev,
-  CAST(errors AS DOUBLE) > m + 3.0 * sd AS spike FROM w"""), "G4")
+  CAST(errors AS DOUBLE) > m + 3.0 * sd AS spike FROM w
+WHERE EXISTS (SELECT 1 FROM c WHERE c.hour <= w.hour AND c.hour >= w.hour - INTERVAL 24 HOUR)"""), "G4")
     reg("filter_options", lambda s, sf: S.filter_options(logs(s, sf)), O.with_logs(f"""SELECT DISTINCT 'severity' AS kind, {EFF} AS value FROM logs
 UNION ALL SELECT DISTINCT 'source', coalesce(source, 'unknown') FROM logs"""), "E16")
 
@@ -476,7 +586,7 @@ v AS (SELECT total, 25 AS "limit", 50 AS "offset", 3 AS page, CAST(ceil(total /
 SELECT *, CASE WHEN 50 > 0 OR total > shown THEN 'Showing ' || 51 || '-' || (50 + shown) || ' of ' || total || ' logs' END AS summary FROM v"""),
         "E13 E14 E15")
     reg("list_view", lambda s, sf: Q.list_view(logs(s, sf)), O.with_logs(f"""SELECT id, {EFF} AS severity, coalesce(source, '-') AS source,
-  CASE WHEN length(title) > 50 THEN substr(title, 1, 47) || '...' ELSE title END AS title,
+  CASE WHEN strlen(title) > 50 THEN substr(title, 1, 47) || '...' ELSE title END AS title,
   strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM logs"""), "B13")
     reg("flat_view", lambda s, sf: Q.flat_view(logs(s, sf)), O.with_logs(f"""SELECT id, title, {EFF} AS severity, source, {eff_color_sql()} AS color,
   description, body, derived_severity, derived_source, derived_category, {RFC3339} AS created_at FROM logs"""), "B9 B12")
@@ -484,7 +594,12 @@ SELECT *, CASE WHEN 50 > 0 OR total > shown THEN 'Showing ' || 51 || '-' || (50
         O.with_logs(f"SELECT id, title, {EFF} AS severity, {RFC3339} AS created_at FROM logs"), "B11")
     reg("export_csv_rows", lambda s, sf: X.csv_rows(X.export_rows(logs(s, sf), X.export_request("csv"))),
         O.with_logs(f"""SELECT id, {EFF} AS severity, coalesce(source, '') AS source, title, coalesce(description, '') AS description,
-  {RFC3339} AS created_at FROM logs {NEWEST} LIMIT 10000"""), "I1 I2 I3")
+  {RFC3339} AS created_at FROM logs"""), "I2 I3")
+    reg("export_csv_newest", lambda s, sf: X.csv_rows(X.export_rows(logs(s, sf), X.export_request("csv", 500))),
+        O.with_logs(f"""SELECT id, {EFF} AS severity, coalesce(source, '') AS source, title, coalesce(description, '') AS description,
+  {RFC3339} AS created_at FROM logs {NEWEST} LIMIT 500"""), "I3 (a named limit)")
+    reg("export_json_rows", lambda s, sf: Q.record_json(X.export_rows(logs(s, sf), X.export_request("json"))),
+        O.with_logs(f"SELECT id, {record_sql(False)} AS json FROM logs"), "I1")
     reg("export_dashboard_rows", lambda s, sf: X.dashboard_csv_rows(logs(s, sf)),
         O.with_logs(f"""SELECT id AS "ID", {RFC3339} AS "Timestamp", {EFF} AS "Severity", title AS "Title",
   coalesce(source, '') AS "Source", coalesce(description, '') AS "Description" FROM logs"""), "I4")
@@ -493,6 +608,8 @@ SELECT *, CASE WHEN 50 > 0 OR total > shown THEN 'Showing ' || 51 || '-' || (50
     reg("delete_one", lambda s, sf: H.delete_id(logs(s, sf), 1234).report,
         O.with_logs("SELECT CAST(1234 AS BIGINT) AS id, count(*) FILTER (WHERE id = 1234) AS deleted, count(*) FILTER (WHERE id = 1234) > 0 AS found FROM logs"),
         "H1")
+    reg("delete_one_kept", lambda s, sf: H.delete_id(logs(s, sf), 1234).kept.select("id", "title", "created_at"),
+        O.with_logs("SELECT id, title, created_at FROM logs WHERE id <> 1234"), "H1 (kept rows)")
     reg("delete_list_report", lambda s, sf: H.delete_ids(logs(s, sf), _delete_list(s, sf)).report,
         O.with_logs(f""", w AS (SELECT DISTINCT id FROM {DELETE_LIST_SQL} d),
 r AS (SELECT (SELECT count(*) FROM w) AS requested, (SELECT count(*) FROM logs WHERE id IN (SELECT id FROM w)) AS deleted)
@@ -521,6 +638,9 @@ r AS (SELECT path, duration_ms AS v, row_number() OVER (PARTITION BY path ORDER
 SELECT path, {', '.join(f'max(CASE WHEN rn = least(n * {p} // 100, n - 1) THEN v END) AS p{p}' for p in M.DEFAULT_PERCENTILES)},
   max(n) AS n, max(v) AS max FROM r GROUP BY path""", "F24 F25 G2")
     reg("latency_report_approx", _approx, None, "F24 approximate")
+    reg("latency_approx_bounds", _approx_bounds, f"""WITH a AS ({acc})
+SELECT path, count(*) AS n, true AS p50_within, true AS p95_within, true AS p99_within FROM a
+WHERE duration_ms IS NOT NULL GROUP BY path""", "F24 approximate, within its bounds")
     reg("delivery_report", lambda s, sf: M.delivery_report(access(s, sf)), f"""WITH a AS ({acc}),
 r AS (SELECT duration_ms AS v, status, ts, row_number() OVER (ORDER BY duration_ms) - 1 AS rn, count(*) OVER () AS n
       FROM a WHERE duration_ms IS NOT NULL),
@@ -545,19 +665,34 @@ s AS (SELECT path, min(ts) AS first_ts, max(ts) AS last_ts,
 SELECT *, CASE WHEN elapsed_s // 3600 > 0 THEN (elapsed_s // 3600) || 'h ' || (elapsed_s // 60 % 60) || 'm ' || (elapsed_s % 60) || 's'
                WHEN elapsed_s // 60 % 60 > 0 THEN (elapsed_s // 60 % 60) || 'm ' || (elapsed_s % 60) || 's'
                ELSE (elapsed_s % 60) || 's' END AS elapsed FROM s""", "F23")
-    reg("progress_per_second", lambda s, sf: M.progress(access(s, sf)), None, "J9 (batch)")
+    progress_sql = f"""WITH a AS ({acc}),
+r AS (SELECT date_trunc('second', ts) AS second, status, duration_ms,
+        row_number() OVER (PARTITION BY date_trunc('second', ts) ORDER BY duration_ms) AS rn,
+        count(*) OVER (PARTITION BY date_trunc('second', ts)) AS n FROM a)
+SELECT second, count(*) AS sent, count(*) FILTER (WHERE status >= 400) AS errors,
+  max(duration_ms) FILTER (WHERE rn = ceil(n * 0.95)) AS p95 FROM r GROUP BY second"""
+    reg("progress_per_second", lambda s, sf: M.progress(access(s, sf)), progress_sql, "J9 (batch)")
 
     # --- documents as logs: whole texts through search and enrichment
     reg("document_search_total", _doc_search,
         O.with_logs(f"SELECT count(*) AS total FROM logs WHERE {search_sql('the')}", O.document_logs_sql()), "E1 on long texts")
-    reg("document_enrich_counts", _doc_counts, O.with_logs(
+    reg("conversation_enrich_counts", lambda s, sf: _text_counts(conversation_logs(s, sf)), O.with_logs(
+        f"SELECT {EFF} AS severity, derived_category AS category, derived_source AS source, count(*) AS n FROM logs GROUP BY 1, 2, 3",
+        O.conversation_logs_sql()), "C D on whole turns")
+    reg("document_enrich_counts", lambda s, sf: _text_counts(doc_logs(s, sf)), O.with_logs(
         f"SELECT {EFF} AS severity, derived_category AS category, derived_source AS source, count(*) AS n FROM logs GROUP BY 1, 2, 3",
         O.document_logs_sql()), "C D on long texts")
 
     # --- streaming (availableNow over the events table, read back as batch)
     deleted_ids = "(SELECT event_id FROM events WHERE event_type = 'error')"
     reg("stream_enriched_logs", _stream_enriched, O.with_logs("SELECT * FROM logs"), "J1 A10")
-    reg("stream_ingest_store", _stream_ingest, O.with_logs("SELECT * FROM logs"), "A10 A9 I5")
+    reg("stream_ingest_store", _stream_ingest, O.with_logs("SELECT * FROM logs"), "A10 A9")
+    reg("stream_ingest_rejected", _stream_rejected, O.with_logs("SELECT * FROM rejected"), "A10 A3")
+    reg("stream_ingest_feed", _stream_feed, O.with_logs(CREATED_SQL), "I5 J2 B10")
+    reg("stream_store_maintained", _store_maintained, O.with_logs(f""", t AS (
+  SELECT id, title, created_at, log_date FROM logs WHERE NOT (id IN {deleted_ids} AND created_at < {ts(CUTS[1])})
+  UNION ALL SELECT -id - 1, title, created_at, log_date FROM logs WHERE id IN (SELECT event_id FROM events WHERE event_type = 'view'))
+SELECT * FROM t WHERE created_at >= {ts('2024-01-09 12:00:00')}"""), "A9 A10 H2 H3 (one table)")
     reg("stream_running_stats", _stream_running, O.with_logs(f"""SELECT 'total' AS kind, CAST(NULL AS VARCHAR) AS key, count(*) AS n
   FROM logs WHERE id NOT IN {deleted_ids}
 UNION ALL SELECT 'by_severity', {EFF}, count(*) FROM logs WHERE id NOT IN {deleted_ids} GROUP BY 2
@@ -567,24 +702,33 @@ UNION ALL SELECT DISTINCT 'by_severity', {EFF}, 0 FROM logs WHERE id IN {deleted
 UNION ALL SELECT DISTINCT 'by_source', coalesce(source, 'unknown'), 0 FROM logs WHERE id IN {deleted_ids}
   AND coalesce(source, 'unknown') NOT IN (SELECT coalesce(source, 'unknown') FROM logs WHERE id NOT IN {deleted_ids})"""),
         "J2 J3")
-    reg("stream_hourly_counts", _stream_hourly, O.with_logs(f"""SELECT date_trunc('hour', created_at) AS hour, count(*) AS total,
-  count(*) FILTER (WHERE {EFF} IN ('error', 'critical')) AS errors FROM logs GROUP BY 1"""), "J7")
-    reg("stream_sliding_day_counts", _stream_sliding, O.with_logs("""SELECT date_trunc('hour', created_at) - to_hours(k) AS window_start,
-  date_trunc('hour', created_at) - to_hours(k) + INTERVAL 24 HOUR AS window_end, count(*) AS n
-FROM logs, range(24) r(k) GROUP BY 1, 2"""), "J8")
+    hourly_sql = O.with_logs(f"""SELECT date_trunc('hour', created_at) AS hour, count(*) AS total,
+  count(*) FILTER (WHERE {EFF} IN ('error', 'critical')) AS errors, CAST(0 AS BIGINT) AS dropped FROM logs GROUP BY 1""")
+    sliding_sql = O.with_logs("""SELECT date_trunc('hour', created_at) - to_hours(k) AS window_start,
+  date_trunc('hour', created_at) - to_hours(k) + INTERVAL 24 HOUR AS window_end, count(*) AS n, CAST(0 AS BIGINT) AS dropped
+FROM logs, range(24) r(k) GROUP BY 1, 2""")
+    late = "40 days"  # longer than the events are apart
+    reg("stream_hourly_counts", _windowed("hourly_counts", ("hour",), (0, 1, 2), "2 hours"), hourly_sql, "J7")
+    reg("stream_hourly_counts_newest_first", _windowed("hourly_counts", ("hour",), (2, 1, 0), late), hourly_sql, "J7 (out of order)")
+    reg("stream_sliding_day_counts", _windowed("sliding_day_counts", ("window_start",), (0, 1, 2), "2 hours"), sliding_sql, "J8")
+    reg("stream_sliding_newest_first", _windowed("sliding_day_counts", ("window_start",), (2, 0, 1), late), sliding_sql,
+        "J8 (out of order)")
     reg("stream_ring_buffer", _stream_ring, f"""WITH a AS ({O.access_logs_sql()}),
 r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, id DESC) AS rn FROM a)
 SELECT path, count(*) AS buffered, sum(CAST(duration_ms AS DOUBLE)) / count(*) AS avg_ms, max(duration_ms) AS max_ms,
   max(ts) AS newest_ts FROM r WHERE rn <= 100 GROUP BY path""", "J6 G1")
-    reg("stream_progress", _stream_progress, None, "J9")
+    reg("stream_progress", _stream_progress, progress_sql, "J9")
     reg("stream_live_tail", _stream_tail, O.with_logs(f"""SELECT id, title, {EFF} AS severity, source, created_at FROM logs
 WHERE id NOT IN {deleted_ids} {NEWEST} LIMIT 100"""), "J5")
-    reg("stream_stats_snapshots", _stream_snapshots, None, "J4")
-
-    # --- synthetic generation (rows-only: hash-seeded values)
-    reg("generated_logs", _generated, None, "K1-K12")
-    reg("generated_category_counts", _generated_categories, None, "K1 F28")
-    reg("generated_arrivals", _arrivals, None, "K14")
+    cuts = [ts(CUTS[0]), ts(CUTS[1]), "TIMESTAMP '9999-01-01 00:00:00'"]
+    parts = "\nUNION ALL ".join(f"""SELECT kind, key, n, CAST({i} AS BIGINT) AS batch, 'stats_updated' AS type FROM (
+  SELECT 'total' AS kind, CAST(NULL AS VARCHAR) AS key, count(*) AS n FROM logs WHERE created_at < {c}
+  UNION ALL SELECT 'last_24_hours', NULL, count(*) FROM logs WHERE created_at < {c}
+    AND created_at >= (SELECT max(created_at) FROM logs WHERE created_at < {c}) - INTERVAL 24 HOUR
+  UNION ALL SELECT 'by_severity', {EFF}, count(*) FROM logs WHERE created_at < {c} GROUP BY 2
+  UNION ALL SELECT 'by_source', coalesce(source, 'unknown'), count(*) FROM logs WHERE created_at < {c} GROUP BY 2) x{i}"""
+                             for i, c in enumerate(cuts))
+    reg("stream_stats_snapshots", _stream_snapshots, O.with_logs(parts), "J4")
     return R
 
 

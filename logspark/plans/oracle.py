@@ -50,22 +50,28 @@ def case_index(expr: str, values) -> str:
 
 def raw_logs_sql(events: str = "events") -> str:
     d = "CAST(floor(value * 20) AS BIGINT)"
+    g, k = "(event_id // 8)", "json_extract_string(props, '$.k')"
+    words = f"([{', '.join(lit(w) for w in AD.RULE_WORDS)}])[{g} % {len(AD.RULE_WORDS)} + 1]"
     body = (
-        "CASE event_id % 40 "
-        f"WHEN 19 THEN '{{\"duration_ms\":' || {d} || ',\"user_id\":' || user_id || '}}' "
-        f"WHEN 20 THEN '{{\"elapsed_ms\":\"' || {d} || '\"}}' "
-        "WHEN 29 THEN '{\"service\":\"my-service\"}' "
-        "WHEN 30 THEN '{\"service\":123}' "
-        f"WHEN 34 THEN '{{\"bytes\":' || {d} || ',\"method\":\"GET\",\"path\":\"/api/orders\",\"status\":503}}' "
-        "WHEN 39 THEN 'not json' END"
+        "CASE WHEN event_id % 8 IN (3, 5) THEN props "
+        f"WHEN event_id % 8 = 7 THEN CASE {g} % 16 "
+        f"WHEN 2 THEN '{{\"k\":0,\"k\":' || {k} || '}}' "
+        f"WHEN 5 THEN '{{\"duration_ms\":' || {d} || ',\"user_id\":' || user_id || '}}' "
+        f"WHEN 6 THEN '{{\"elapsed_ms\":\"' || {d} || '\"}}' "
+        "WHEN 7 THEN '{\"service\":\"' || event_type || '-desk\"}' "
+        f"WHEN 9 THEN '{{\"bytes\":' || {d} || ',\"status\":' || (user_id % 600) || '}}' "
+        + " ".join(f"WHEN {i} THEN {lit(b)}" for i, b in enumerate(AD.BODY_CYCLE) if b is not None) + " END END"
     )
-    g = "(event_id // 40)"
     return f"""SELECT event_id AS id, ts AS created_at,
-  {case_index('event_id % 40', AD.TITLE_TEMPLATES)} AS title,
+  CASE WHEN event_id % 2 = 0 THEN event_type || ' ' || event_id || ': ' || {words}
+       WHEN event_id % 8 = 1 THEN event_type || ' returned ' || ({g} % 500 + 100)
+       WHEN event_id % 8 = 3 THEN '[' || event_type || '] user ' || user_id
+       WHEN event_id % 8 = 5 THEN event_type || ': step ' || {k} || ' of user ' || user_id
+       WHEN {g} % 16 = 0 THEN '' ELSE event_type || ' ' || event_id END AS title,
   {case_index(f'{g} % 7', AD.SEVERITY_CYCLE)} AS severity,
   CASE WHEN {g} % 3 = 0 THEN 'api' WHEN {g} % 3 = 1 AND {g} % 2 = 0 THEN 'unknown' END AS source,
   {case_index(f'{g} % 5', AD.COLOR_CYCLE)} AS color,
-  {case_index(f'{g} % 4', AD.DESCRIPTION_CYCLE)} AS description,
+  CASE WHEN {g} % 4 = 0 THEN 'props ' || props WHEN {g} % 4 = 1 THEN '' END AS description,
   {body} AS body
 FROM {events}"""
 
@@ -86,6 +92,22 @@ def document_logs_sql(documents: str = "documents", created_at: str = "2024-01-1
 FROM {documents}"""
 
 
+def conversation_logs_sql(created_at: str = "2024-01-15 00:00:00") -> str:
+    return f"""SELECT conv_id * 1000 + turn AS id, TIMESTAMP '{created_at}' AS created_at,
+  role || ' turn ' || turn AS title,
+  CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS color,
+  text AS description, CAST(NULL AS VARCHAR) AS body
+FROM conversations"""
+
+
+#: A JSON object in its stored form: white space gone, the last of equal keys
+#: (the two shapes of the adapter that have such keys, by pattern),
+#: whole numbers without a fraction, and the escapes of the stored text.
+CANONICAL = r"""replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(CAST(json(body) AS VARCHAR), '"(?:k":0,("k":)|a":1,("a":))', '\1\2'), '([0-9])\.0([,}\]])', '\1\2', 'g'),
+  '<', '\u003c'), '>', '\u003e'), '&', '\u0026'), chr(8232), '\u2028'), chr(8233), '\u2029')"""
+
+
 def _duration_sql(body: str = "body") -> str:
     arms = []
     for k in R.DURATION_FIELDS:
@@ -175,7 +197,7 @@ norm AS (
          WHEN body IS NOT NULL AND coalesce(body_type NOT IN ('OBJECT', 'NULL'), true)
          THEN 'body must be a JSON object' END AS reject_reason,
     CASE WHEN body_type = 'OBJECT'
-         THEN replace(replace(replace(body, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')
+         THEN {CANONICAL}
          ELSE '{{}}' END AS body
   FROM raw_typed),
 accepted AS (SELECT * EXCLUDE (reject_reason, body_raw) FROM norm WHERE reject_reason IS NULL),

@@ -49,12 +49,3 @@ LOGS = T.StructType([
 ])
 
 LOG_COLUMNS = [f.name for f in LOGS.fields]
-
-# Access records that request metrics are computed from.
-ACCESS_LOGS = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("status", T.IntegerType()),
-    T.StructField("duration_ms", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()),
-])

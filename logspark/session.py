@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +18,6 @@ RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -43,25 +42,31 @@ def local_session(cores: int = 8, app: str = "logspark", shuffle_partitions: int
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a scratch
-    folder is created for this process.
+    Read from the session.  Only a local master may go without: it gets one
+    scratch folder per application.  Any other master without it is an
+    error, since executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
-    current = sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        jdir = sc._jsc.sc().getCheckpointDir()
-        current = jdir.get() if jdir.isDefined() else None
-    if not current:
-        current = tempfile.mkdtemp(prefix="logspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(current)
-    return current
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: with master {sc.master} the driver and the "
+                           "executors need a shared folder for tables that are written in between")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="logspark-shared-")
+    return _LOCAL[sc.applicationId]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives the
-    loss of executors, unlike a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """``df`` written once to a new folder in the shared folder and read back:
+    every reader sees the same rows, and a lost executor repeats nothing."""
+    path = f"{checkpoint_dir(df.sparkSession)}/logspark-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,13 +1,14 @@
 """Stored log table: scan, id assignment, append.
 
-The table is Parquet partitioned by ``log_date``.  Appends never rewrite
-existing files; deletes and retention (see ``operators.retention``) write a
-new version directory and never overwrite a path that is being read.
+The table is Parquet partitioned by ``log_date`` and, inside a day, by the
+batch that wrote the rows.  Batch and streaming writers and the maintenance
+in ``operators.retention`` all work on this one layout: a writer only adds
+folders of its own, maintenance replaces whole folders.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,16 +17,13 @@ from pyspark.sql.types import StructType
 
 from logspark.functions.analyze import escaped_json
 from logspark.schema import LOG_COLUMNS, LOGS
-from logspark.session import checkpoint_dir
-
-# row index inside a partition lives in the low 33 bits of monotonically_increasing_id
-_ROW_BITS = 33
+from logspark.session import checkpoint_dir, staged
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Scan with the fixed schema (no inference); Catalyst prunes
     columns and ``log_date`` partitions."""
-    return spark.read.schema(LOGS).parquet(path)
+    return spark.read.schema(LOGS).parquet(path).select(*LOG_COLUMNS)
 
 
 def tolerant(logs: DataFrame) -> DataFrame:
@@ -36,50 +34,158 @@ def tolerant(logs: DataFrame) -> DataFrame:
 
 
 def assign_ids(df: DataFrame, start_after: int = 0, order=("created_at",)) -> DataFrame:
-    """Dense increasing ids start_after+1, start_after+2, ... in
-    ``order`` (ties broken by the input row position), without moving all
-    rows into one partition.
-
-    Rows are range-partitioned and sorted on ``order``; the only data that
-    is gathered is one count per partition (bounded by the partition
-    count), turned into offsets and broadcast back.
+    """Dense increasing ids start_after+1, start_after+2, ... in ``order``;
+    ties are broken by a hash of the whole row, so rows that still tie are
+    equal and any order of them is the same.
+
+    The rows are range-partitioned and written once with their range number.
+    Counts and rows are then read from that one table: a second evaluation of
+    the range split could sample other bounds and number rows twice or not at
+    all.  What is gathered is one count per range.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    staged = df.withColumn("_seq", F.monotonically_increasing_id())
-    ranged = staged.repartitionByRange(*cols, "_seq").sortWithinPartitions(*cols, "_seq") \
-        .withColumn("_pid", F.spark_partition_id()) \
-        .withColumn("_pos", F.monotonically_increasing_id())
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
-    # one row per partition: a size bound that does not grow with the data volume
-    joined = ranged.join(F.broadcast(offsets), "_pid", "inner")
-    local = F.col("_pos") - F.shiftleft(F.col("_pid").cast("bigint"), _ROW_BITS)
-    new_id = F.lit(start_after) + F.coalesce(F.col("_before"), F.lit(0)) + local + 1
-    return joined.withColumn("id", new_id.cast("bigint")).drop("_seq", "_pid", "_pos", "_before")
-
-
-def append(logs: DataFrame, path: str) -> None:
-    """Append enriched records, partitioned by log_date."""
-    logs.select(*LOG_COLUMNS).write.mode("append").partitionBy("log_date").parquet(path)
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    ranged = staged(df.withColumn("_tie", tie).repartitionByRange(*cols, "_tie")
+                    .withColumn("_range", F.spark_partition_id()), "ids")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_range", before.alias("_before"))  # one row per range of the shuffle
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*cols, "_tie"))
+    return ranged.withColumn("_place", place).join(F.broadcast(offsets), "_range") \
+        .withColumn("id", (F.lit(start_after) + F.col("_before") + F.col("_place")).cast("bigint")) \
+        .drop("_range", "_tie", "_place", "_before")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, Path class) that hold ``path``."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, make = _hadoop(spark, path)
+    return fs.exists(make(path))
+
+
+def folders(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """Sub-folders of ``path`` whose name starts with ``prefix``: their names
+    after the prefix, or whole paths without one."""
+    fs, make = _hadoop(spark, path)
+    if not fs.exists(make(path)):
+        return []
+    found = [st.getPath() for st in fs.listStatus(make(path)) if st.isDirectory() and not st.getPath().getName().startswith("_")]
+    return [f.getName()[len(prefix):] for f in found if f.getName().startswith(prefix)] if prefix else [f.toString() for f in found]
+
+
+def epochs(spark: SparkSession, path: str, prefix: str = "batch=") -> list[int]:
+    """Batch ids with a completed folder below ``path``, in order."""
+    return sorted(int(e) for e in folders(spark, path, prefix) if exists(spark, f"{path}/{prefix}{e}/_SUCCESS"))
+
+
+def _write(logs: DataFrame, path: str, batch: str, mode: str) -> None:
+    """Rows of one batch, rebalanced by day: a day's rows meet in few files,
+    and adaptive execution splits a heavy day."""
+    (logs.select(*LOG_COLUMNS).hint("rebalance", "log_date").withColumn("batch", F.lit(batch)).write.mode(mode)
+     .option("partitionOverwriteMode", "dynamic").partitionBy("log_date", "batch").parquet(path))
+
+
+def append(logs: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append enriched records.  The table is partitioned by log_date and,
+    inside a day, by the batch that wrote it."""
+    finish_swaps(logs.sparkSession, path)
+    _write(logs, path, batch or f"b-{uuid.uuid4().hex}", "append")
+
+
+def append_once(logs: DataFrame, path: str, writer: str, epoch: int) -> str:
+    """A10: append a micro-batch; written again after a failure it replaces its
+    own folders, and once it is committed a replay leaves the table alone -
+    also when its rows have been deleted or compacted since."""
+    spark = logs.sparkSession
+    finish_swaps(spark, path)
+    fs, make = _hadoop(spark, path)
+    batch = f"s-{writer}-{epoch}"
+    done = make(f"{path}/_committed/{batch}")
+    if not fs.exists(done):
+        _write(logs, path, batch, "overwrite")
+        fs.create(done, True).close()
+    return batch
+
+
+def replace_days(spark: SparkSession, path: str, kept: DataFrame, days: list) -> None:
+    """Put ``kept`` (rows of ``days`` read from this table) in the place of
+    what those days hold now.  The new rows are written aside; then a list of
+    the folders to drop marks the swap as ready, and ``finish_swaps`` carries
+    it out.  A failure before the mark changes nothing; after it, the next
+    write finishes the swap.  Folders that other batches add meanwhile stay.
+    One maintenance job at a time."""
+    fs, make = _hadoop(spark, path)
+    old = [st.getPath().toString() for d in days if fs.exists(make(f"{path}/log_date={d}"))
+           for st in fs.listStatus(make(f"{path}/log_date={d}")) if st.isDirectory()]
+    aside = f"{path}/_swap-{uuid.uuid4().hex}"
+    _write(kept, f"{aside}/data", f"m-{uuid.uuid4().hex}", "append")
+    out = fs.create(make(f"{aside}/_writing"), True)
+    out.write(bytearray("\n".join(old).encode()))
+    out.close()
+    fs.rename(make(f"{aside}/_writing"), make(f"{aside}/_ready"))
+    finish_swaps(spark, path)
+
+
+def finish_swaps(spark: SparkSession, path: str) -> None:
+    """Carry out the swaps that are marked as ready; each step can be repeated."""
+    fs, make = _hadoop(spark, path)
+    if not fs.exists(make(path)):
+        return
+    for st in fs.listStatus(make(path)):
+        aside = st.getPath()
+        ready = make(aside, "_ready")
+        if not aside.getName().startswith("_swap-") or not fs.exists(ready):
+            continue
+        stream = fs.open(ready)
+        old = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        stream.close()
+        for folder in filter(None, old.split("\n")):
+            fs.delete(make(folder), True)
+            if not fs.listStatus(make(folder).getParent()):
+                fs.delete(make(folder).getParent(), True)
+        data = make(aside, "data")
+        for day in fs.listStatus(data) if fs.exists(data) else []:
+            if not day.isDirectory():
+                continue
+            for batch in fs.listStatus(day.getPath()):
+                target = make(make(path, day.getPath().getName()), batch.getPath().getName())
+                fs.mkdirs(target.getParent())
+                if not fs.exists(target):
+                    fs.rename(batch.getPath(), target)
+        fs.delete(aside, True)
 
 
 def max_id(spark: SparkSession, path: str) -> int:
-    """Largest stored id (0 for an empty table)."""
-    try:
-        row = read_logs(spark, path).agg(F.max("id").alias("m")).first()
-    except Exception:  # noqa: BLE001 - a missing table is an empty table
+    """Largest stored id (0 for a table that does not exist or is empty); any
+    other failure to read is raised."""
+    if not exists(spark, path):
         return 0
+    row = read_logs(spark, path).agg(F.max("id").alias("m")).first()
     return int(row.m) if row and row.m is not None else 0
 
 
-_WRITTEN: dict[tuple[str, str], tuple[str, StructType]] = {}
+_WRITTEN: dict[tuple, tuple[str, StructType]] = {}
+
+
+def _inputs(df: DataFrame) -> tuple:
+    """What a frame is made from: its plan, its files and their times."""
+    spark = df.sparkSession
+    files = []
+    for f in sorted(df.inputFiles()):
+        fs, make = _hadoop(spark, f)
+        st = fs.getFileStatus(make(f))
+        files.append((f, st.getModificationTime(), st.getLen()))
+    return (df.semanticHash(), tuple(files))
 
 
 def derived_table(spark: SparkSession, key: str, build: Callable[[], DataFrame],
                   partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``build()`` once per application into the shared checkpoint
-    folder and return a scan of it.
+    """Write ``build()`` into the shared folder and return a scan of it; an
+    application writes it once for the same plan over unchanged files.
 
     This is where enrichment happens "at write time": queries then read the
     stored table, so their filters reach the Parquet scan (pushed filters,
@@ -87,27 +193,23 @@ def derived_table(spark: SparkSession, key: str, build: Callable[[], DataFrame],
     into - the enrichment projections.  The written table also cuts the
     lineage, so a lost executor never re-runs the enrichment.
     """
-    app = spark.sparkContext.applicationId
-    k = (app, key)
+    df = build()
+    k = (spark.sparkContext.applicationId, key, *_inputs(df))
     if k not in _WRITTEN:
-        digest = hashlib.sha1(key.encode()).hexdigest()[:16]
-        path = f"{checkpoint_dir(spark).rstrip('/')}/logspark-tables/{app}/{digest}"
-        df = build()
-        writer = df.write.mode("overwrite")
+        path = f"{checkpoint_dir(spark)}/logspark-table-{uuid.uuid4().hex}"
+        writer = df.write
         if partition_by:
-            writer = writer.partitionBy(*partition_by)
+            writer = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
         writer.parquet(path)
         _WRITTEN[k] = (path, df.schema)
     path, schema = _WRITTEN[k]
     return spark.read.schema(schema).parquet(path)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over at least ``min_partitions`` tasks when the
-    input has fewer splits (a few large files); a no-op on a cluster-sized
-    input, where the scan already yields more splits than cores."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """Round-robin over ``partitions`` tasks: for callers (bench, tests) that
+    know their input has fewer splits than cores."""
+    return df.repartition(partitions)
 
 
 def stored_logs(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:

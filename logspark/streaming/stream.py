@@ -7,24 +7,34 @@ bounded state: counters per (window, key), at most ``n`` rows per key for
 the ring buffer and the tail.
 
 ``run_available`` runs a stream to completion (``availableNow``) into an
-upsert log under the shared checkpoint folder and returns the final result
-as a batch DataFrame, so stream results can be compared with batch results.
+upsert log and returns the final result as a batch DataFrame, so stream
+results can be compared with batch results.  Every runner takes its folder
+from the caller: a job that is restarted with the same folder, under any
+application id, goes on where it stopped.
+
+Watermarks are required arguments: they decide which late rows a window still
+takes.  ``run_available`` reports how many rows were later than that.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from logspark.functions import normalize as N
+from logspark.functions.analyze import escaped_json
 from logspark.functions.formatting import utc_instant, utc_wall_clock
+from logspark.operators.enrich import ingest_marked
 from logspark.operators.query import event_columns
-from logspark.schema import RAW_FLAT
-from logspark.session import checkpoint_dir
+from logspark.schema import LOGS, RAW_FLAT
+from logspark.sources.store import append_once, epochs, exists, folders
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -40,24 +50,29 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 # ------------------------------------------------------------------ sources
-def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """The ``events`` table of a scale directory as a file stream."""
-    reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
+def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None,
+                  glob: str = "events.parquet") -> DataFrame:
+    """The ``events`` table of a scale directory as a file stream; files are
+    taken in the order of their times, ``max_files_per_trigger`` at a time."""
+    reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.parquet(sf_dir)
 
 
-def raw_stream(spark: SparkSession, path: str, fmt: str = "json", schema: T.StructType = RAW_FLAT,
-               **options) -> DataFrame:
-    """A10: flat raw records arriving as files (JSON lines by default);
-    undecodable lines are dropped (DROPMALFORMED)."""
-    reader = spark.readStream.schema(schema).format(fmt)
-    if fmt == "json":
-        reader = reader.option("mode", "DROPMALFORMED")
+CORRUPT = "undecodable"
+UNDECODABLE = "record is not JSON of the expected form"
+
+
+def raw_stream(spark: SparkSession, path: str, schema: T.StructType = RAW_FLAT, **options) -> DataFrame:
+    """A10: flat raw records arriving as files of JSON lines.  A line that
+    cannot be decoded arrives as a record whose text is in ``undecodable``;
+    ``ingest_stream`` puts it into the quarantine."""
+    with_text = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = spark.readStream.schema(with_text).option("columnNameOfCorruptRecord", CORRUPT)
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.load(path)
+    return reader.json(path)
 
 
 def with_event_time(df: DataFrame, col: str = "created_at") -> DataFrame:
@@ -70,8 +85,8 @@ def with_event_time(df: DataFrame, col: str = "created_at") -> DataFrame:
 def _created_events(created: DataFrame) -> DataFrame:
     return created.select(
         F.lit("log_created").alias("type"), F.col("id"),
-        N.effective_severity().alias("severity"), F.col("source"), F.col("created_at"),
-        F.to_json(F.struct(*event_columns())).alias("data"),
+        N.effective_severity().alias("severity"), F.col("source"), F.col("created_at"), F.col("title"),
+        escaped_json(F.to_json(F.struct(*event_columns()))).alias("data"),
     )
 
 
@@ -82,7 +97,7 @@ def _deleted_events(deleted: DataFrame) -> DataFrame:
     ts = F.col("created_at") if "created_at" in has else F.lit(None).cast("timestamp_ntz")
     return deleted.select(
         F.lit("log_deleted").alias("type"), F.col("id"), sev.alias("severity"), src.alias("source"),
-        ts.alias("created_at"), F.to_json(F.struct(F.col("id"))).alias("data"),
+        ts.alias("created_at"), F.lit(None).cast("string").alias("title"), F.to_json(F.struct(F.col("id"))).alias("data"),
     )
 
 
@@ -117,7 +132,7 @@ def running_stats(feed: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------- windows
-def hourly_counts(logs: DataFrame, watermark: str = "2 hours") -> DataFrame:
+def hourly_counts(logs: DataFrame, watermark: str) -> DataFrame:
     """Per event-time hour, total and error counts (effective severity);
     rows later than the watermark are dropped."""
     s = with_event_time(logs).withWatermark("event_time", watermark)
@@ -127,7 +142,7 @@ def hourly_counts(logs: DataFrame, watermark: str = "2 hours") -> DataFrame:
     ).select(utc_wall_clock(F.col("w.start")).alias("hour"), "total", "errors")
 
 
-def sliding_day_counts(logs: DataFrame, watermark: str = "2 hours") -> DataFrame:
+def sliding_day_counts(logs: DataFrame, watermark: str) -> DataFrame:
     """Rows in every 24-hour window sliding by one hour."""
     s = with_event_time(logs).withWatermark("event_time", watermark)
     return s.groupBy(F.window("event_time", "24 hours", "1 hour").alias("w")).agg(
@@ -136,7 +151,7 @@ def sliding_day_counts(logs: DataFrame, watermark: str = "2 hours") -> DataFrame
              utc_wall_clock(F.col("w.end")).alias("window_end"), "n")
 
 
-def progress(access: DataFrame, watermark: str = "10 seconds") -> DataFrame:
+def progress(access: DataFrame, watermark: str) -> DataFrame:
     """Per second - sent, errors (status >= 400) and approximate p95."""
     s = with_event_time(access, "ts").withWatermark("event_time", watermark)
     return s.groupBy(F.window("event_time", "1 second").alias("w")).agg(
@@ -239,134 +254,184 @@ def last_durations_batch(access: DataFrame, n: int = 100) -> DataFrame:
 
 
 # ------------------------------------------------------------- runners
-def _stream_dir(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{checkpoint_dir(spark).rstrip('/')}/logspark-streams/{app}/{name}"
+def _run(df: DataFrame, base: str, output_mode: str, sink) -> StreamingQuery:
+    """Everything available now through ``sink(batch, epoch)``."""
+    q = (df.writeStream.outputMode(output_mode).foreachBatch(sink)
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
 
+def dropped_late(q: StreamingQuery) -> int:
+    """Rows that came later than the watermark in this run of a query."""
+    return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
 
-def run_available(df: DataFrame, name: str, output_mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+
+class Available(NamedTuple):
+    result: DataFrame
+    dropped: int
+
+
+def run_available(df: DataFrame, base: str, output_mode: str = "append", keys: tuple[str, ...] = ()) -> Available:
     """Run a streaming DataFrame over everything available now.
 
     Each micro-batch is written to its own batch-id folder of an upsert log
-    in the shared checkpoint folder (a replayed batch overwrites its folder,
-    so the log is exactly-once); the result keeps, per ``keys``, the row of the
-    newest batch (update / complete modes) or every row (append mode with
-    no keys).  Restarting with the same name resumes from the checkpoint.
+    in ``base`` (a replayed batch overwrites its folder, so the log is
+    exactly-once); the result keeps, per ``keys``, the row of the newest batch
+    (update / complete modes) or every row (append mode with no keys).  With
+    the result comes the number of rows dropped as later than the watermark.
     """
     spark = df.sparkSession
-    base = _stream_dir(spark, name)
     out = f"{base}/log"
 
     def sink(batch: DataFrame, epoch: int) -> None:
         # one folder per batch id, overwritten on replay: idempotent
         batch.write.mode("overwrite").parquet(f"{out}/stream_batch={epoch}")
 
-    q = (df.writeStream.outputMode(output_mode).foreachBatch(sink)
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    try:
-        result = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no batch produced rows
-        return spark.createDataFrame([], df.schema)
+    q = _run(df, base, output_mode, sink)
+    if not exists(spark, out):  # no batch so far
+        return Available(spark.createDataFrame([], df.schema), dropped_late(q))
+    result = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("stream_batch", T.LongType())])).parquet(out)
     if keys:
         w = Window.partitionBy(*keys).orderBy(F.col("stream_batch").desc())
         result = result.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") == 1).drop("_rank")
-    return result.drop("stream_batch")
-
-
-def _tail_versions(spark: SparkSession, base: str) -> list[int]:
-    """Batch ids that have a written tail under ``base`` (from the folder)."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(base)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    out = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("tail-") and fs.exists(jvm.org.apache.hadoop.fs.Path(
-                st.getPath(), "_SUCCESS")):
-            out.append(int(name[5:]))
-    return sorted(out)
-
-
-def live_tail(created: DataFrame, deleted_ids: DataFrame | None, name: str, n: int = 100) -> DataFrame:
-    """The newest ``n`` logs, deletes removing their id.
-
-    ``foreachBatch`` merges each micro-batch into a bounded tail table (at
-    most n rows plus the batch), removes deleted ids with an anti join
-    against the small tail, keeps the top n and writes it as the version of
-    that batch id.  The previous version is found in the folder (the newest
-    completed one below the batch id), so a restarted or replayed batch
-    rebuilds exactly the same tail.
+    return Available(result.drop("stream_batch"), dropped_late(q))
+
+
+TAIL = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("title", T.StringType()), T.StructField("severity", T.StringType()),
+    T.StructField("source", T.StringType()), T.StructField("created_at", T.TimestampNTZType()),
+    T.StructField("day", T.DateType()),
+])
+
+
+def _days(spark: SparkSession, path: str) -> list[str]:
+    """Days that the batches below ``path`` hold, newest first."""
+    found = {d for e in folders(spark, path) for d in folders(spark, e, "day=")}
+    return sorted((d for d in found if not d.startswith("__")), reverse=True)
+
+
+def tail_of(spark: SparkSession, base: str, n: int = 100) -> DataFrame:
+    """The newest ``n`` created logs that no delete names, from the tables of
+    ``live_tail``.  Days are read from the newest on, twice as many each time,
+    until n rows are found."""
+    created, gone = f"{base}/created", f"{base}/deleted"
+    if not exists(spark, created):
+        return spark.createDataFrame([], TAIL).drop("day")
+    rows = spark.read.schema(TAIL).parquet(created).select(*TAIL.names)
+    if exists(spark, gone):
+        rows = rows.join(spark.read.schema("id long").parquet(gone).select("id").distinct(), "id", "left_anti")
+    days = _days(spark, created)
+    take = 1
+    while True:
+        first = days[min(take, len(days)) - 1] if days else None
+        top = rows.filter(F.col("day") >= F.lit(first)) if take < len(days) else rows
+        top = top.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n).drop("day")
+        if take >= len(days) or top.count() == n:
+            return top
+        take *= 2
+
+
+def live_tail(created: DataFrame, deleted_ids: DataFrame | None, base: str, n: int = 100) -> DataFrame:
+    """The newest ``n`` logs, deletes removing their id - whether they come
+    after, with or before the log they delete.
+
+    Each micro-batch adds what a tail shows of its logs to a table by day, and
+    the ids it deletes to a table of tombstones, both in folders of its batch
+    id (overwritten on replay).  Nothing is thrown away, so a delete brings
+    the next older log back into the tail.
     """
     spark = created.sparkSession
-    base = _stream_dir(spark, name)
-    cols = ["id", "title", "severity", "source", "created_at"]
     feed = change_feed(created, deleted_ids)
 
     def sink(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
         adds = batch.filter(F.col("type") == "log_created").select(
-            "id", F.get_json_object("data", "$.header.title").alias("title"), "severity", "source", "created_at")
-        gone = batch.filter(F.col("type") == "log_deleted").select("id")
-        before = [v for v in _tail_versions(spark, base) if v < epoch]
-        prev = spark.read.parquet(f"{base}/tail-{before[-1]}") if before else spark.createDataFrame([], adds.schema)
-        merged = prev.unionByName(adds).join(gone, "id", "left_anti")
-        top = merged.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n)
-        top.select(*cols).write.mode("overwrite").parquet(f"{base}/tail-{epoch}")
-
-    q = feed.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint") \
-        .trigger(availableNow=True).start()
-    q.awaitTermination()
-    versions = _tail_versions(spark, base)
-    if not versions:
-        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in cols]))
-    return spark.read.parquet(f"{base}/tail-{versions[-1]}")
+            "id", "title", "severity", "source", "created_at", F.to_date("created_at").alias("day"))
+        adds.write.mode("overwrite").partitionBy("day").parquet(f"{base}/created/epoch={epoch}")
+        batch.filter(F.col("type") == "log_deleted").select("id") \
+            .write.mode("overwrite").parquet(f"{base}/deleted/epoch={epoch}")
+        batch.unpersist()
 
+    _run(feed, base, "append", sink)
+    return tail_of(spark, base, n)
 
-def stats_snapshots(logs: DataFrame, name: str) -> DataFrame:
-    """One ``stats_updated`` snapshot per micro-batch - the F5 bundle of
-    that batch's rows with as_of = the batch's newest created_at."""
-    from logspark.operators.stats import stats_long
 
-    spark = logs.sparkSession
-    base = _stream_dir(spark, name)
-    out = f"{base}/snapshots"
+SNAPSHOT = "type string, kind string, key string, n long"
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        newest = batch.agg(F.max("created_at").alias("m")).first()
-        if newest is None or newest.m is None:
-            return
-        snap = stats_long(batch, newest.m).select(
-            F.lit("stats_updated").alias("type"), "kind", "key", "n")
-        snap.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
-
-    q = logs.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint") \
-        .trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(out)
 
+def stats_snapshots(logs: DataFrame, base: str) -> DataFrame:
+    """One ``stats_updated`` snapshot per micro-batch - the F5 bundle of all
+    rows so far, with as_of = the newest created_at so far (column ``batch``).
 
-def ingest_stream(raw: DataFrame, store_path: str, rejected_path: str, checkpoint: str,
-                  feed_path: str | None = None) -> list:
-    """A10 + I5: enrich every accepted record and append it to the store
-    (partitioned by log_date), quarantine rejected records and, optionally,
-    append ``log_created`` events to a feed table.
+    Counters are carried from snapshot to snapshot; the last 24 hours are
+    counted from a table of the rows' times by day, of which the newest two
+    days are read.
+    """
+    spark = logs.sparkSession
+    out, times = f"{base}/snapshots", f"{base}/times"
 
-    Returns one ``DataStreamWriter`` per output, each a file sink with its
-    own checkpoint - Spark's file sink commits through its metadata log, so
-    every output is exactly-once even when a micro-batch is replayed.
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        batch.select("created_at", F.to_date("created_at").alias("day")).filter("day is not null") \
+            .write.mode("overwrite").partitionBy("day").parquet(f"{times}/epoch={epoch}")
+        keyed = batch.select(F.explode(F.array(
+            F.struct(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("key")),
+            F.struct(F.lit("by_severity").alias("kind"), N.effective_severity().alias("key")),
+            F.struct(F.lit("by_source").alias("kind"), F.coalesce("source", F.lit("unknown")).alias("key")))).alias("k"),
+            F.lit(1).cast("bigint").alias("n"))
+        now = keyed.select("k.kind", "k.key", "n")
+        before = [e for e in epochs(spark, out) if e < epoch]
+        if before:
+            now = now.union(spark.read.schema(SNAPSHOT).parquet(f"{out}/batch={before[-1]}")
+                            .filter(F.col("kind") != "last_24_hours").select("kind", "key", "n"))
+        counters = now.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+        days = _days(spark, times)
+        seen = spark.read.schema("created_at timestamp_ntz, day date").parquet(times) if days else None
+        recent = None
+        if seen is not None:
+            newest = seen.filter(F.col("day") == F.lit(days[0])).agg(F.max("created_at").alias("m")).first().m
+            recent = seen.filter((F.col("day") >= F.lit((newest - _dt.timedelta(days=1)).date()))
+                                 & (F.col("created_at") >= F.lit(newest) - F.expr("INTERVAL 24 HOURS"))).count()
+        last = spark.createDataFrame([("last_24_hours", None, recent or 0)], "kind string, key string, n long")
+        counters.union(last).select(F.lit("stats_updated").alias("type"), "kind", "key", "n") \
+            .write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        batch.unpersist()
+
+    _run(logs, base, "append", sink)
+    return spark.read.schema(T.StructType.fromDDL(SNAPSHOT).add("batch", T.LongType())).parquet(out)
+
+
+def ingest_stream(raw: DataFrame, base: str, store_path: str, writer: str = "stream") -> None:
+    """A10 + I5: everything available now goes through the enrichment once;
+    accepted records are appended to the store, rejected ones (with the reason)
+    to ``base``/rejected, and the ``log_created`` events of what was stored to
+    ``base``/feed, each in folders of the micro-batch.
+
+    The store is the batch table of ``sources.store``: a replayed micro-batch
+    is appended once (``append_once``), and batch appends, deletes and
+    retention work on the same table.  ``writer`` names the stream in it.
     """
-    from logspark.operators.enrich import ingest
-
-    res = ingest(raw)
-    writers = [
-        res.logs.writeStream.format("parquet").partitionBy("log_date").option("path", store_path)
-        .option("checkpointLocation", f"{checkpoint}/store"),
-        res.rejected.writeStream.format("parquet").option("path", rejected_path)
-        .option("checkpointLocation", f"{checkpoint}/rejected"),
-    ]
-    if feed_path:
-        writers.append(change_feed(res.logs).writeStream.format("parquet").option("path", feed_path)
-                       .option("checkpointLocation", f"{checkpoint}/feed"))
-    return writers
+    spark = raw.sparkSession
+    if CORRUPT not in raw.columns:
+        raw = raw.withColumn(CORRUPT, F.lit(None).cast("string"))
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        bad_lines = batch.filter(F.col(CORRUPT).isNotNull())
+        marked = ingest_marked(batch.filter(F.col(CORRUPT).isNull())).persist()
+        name = append_once(marked.filter(F.col("reason").isNull()), store_path, writer, epoch)
+        rejected = marked.filter(F.col("reason").isNotNull()).select("id", "created_at", "title", "reason") \
+            .withColumn(CORRUPT, F.lit(None).cast("string"))
+        lost = bad_lines.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("timestamp_ntz").alias("created_at"),
+                                F.col("title"), F.lit(UNDECODABLE).alias("reason"), CORRUPT)
+        rejected.union(lost).write.mode("overwrite").parquet(f"{base}/rejected/epoch={epoch}")
+        mine = spark.read.schema(STORED).parquet(store_path) \
+            .filter(F.col("batch") == name)
+        if not exists(spark, f"{base}/feed/epoch={epoch}/_SUCCESS"):
+            change_feed(mine).write.mode("overwrite").parquet(f"{base}/feed/epoch={epoch}")
+        marked.unpersist()
+
+    _run(raw, base, "append", sink)
+
+
+STORED = T.StructType([*LOGS.fields, T.StructField("batch", T.StringType())])

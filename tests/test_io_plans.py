@@ -6,6 +6,7 @@ import json
 import re
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from logspark.operators import export as X
@@ -77,7 +78,8 @@ def test_exports_read_back(spark):
         raise AssertionError("xml accepted")
     except ValueError:
         pass
-    assert X.export_request("csv", 10**9).limit == 100_000 and X.export_request("json").limit == 10_000
+    assert X.export_request("csv", 10**9).limit == 10**9 and X.export_request("json").limit is None
+    assert X.export_rows(logs, X.export_request("csv")).count() == logs.count()
 
 
 def _plan(df) -> str:
@@ -149,16 +151,62 @@ def test_enrich_splits_without_a_filter(spark):
     assert not re.findall(r"^\(\d+\) Filter", plan, flags=re.M)       # no body re-parse in a pushed filter
 
 
-def test_derived_table_written_once_and_spread_is_a_noop_when_split(spark):
+def test_derived_table_follows_its_input(spark, tmp_path):
     calls = []
 
     def build():
-        calls.append(1)
-        return spark.range(100).withColumn("x", F.col("id") * 2)
-
-    a = ST.derived_table(spark, "test-derived-once", build)
-    b = ST.derived_table(spark, "test-derived-once", build)
-    assert len(calls) == 1 and a.count() == b.count() == 100
-    wide = spark.range(0, 1000, 1, 16)
-    assert ST.spread(wide, 8) is wide
-    assert ST.spread(spark.range(0, 1000, 1, 1), 8).rdd.getNumPartitions() == 8
+        return spark.read.parquet(f"{tmp_path}/in").withColumn("x", F.col("id") * 2)
+
+    spark.range(100).write.parquet(f"{tmp_path}/in")
+    a, b = (ST.derived_table(spark, "test", build) for _ in range(2))
+    assert a.inputFiles() == b.inputFiles() and a.count() == 100     # written once
+    spark.range(5).write.mode("append").parquet(f"{tmp_path}/in")
+    assert ST.derived_table(spark, "test", build).count() == 105 and not calls
+
+
+@pytest.mark.parametrize("merge", ["true", "false"])
+@pytest.mark.parametrize("partitions", ["8", "200"])
+def test_ids_of_a_million_rows(spark, merge, partitions):
+    """Row count, distinct ids, 1..N and the order are exact, whatever the split."""
+    n = 1_000_000
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        rows = spark.range(0, n, 1, 16).select(
+            (F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(n // 2)))).cast("timestamp_ntz").alias("created_at"),
+            F.col("id").alias("payload"))
+        ids = ST.assign_ids(rows, start_after=7)
+        r = ids.agg(F.count(F.lit(1)), F.countDistinct("id"), F.min("id"), F.max("id"), F.countDistinct("payload")).first()
+        assert tuple(r) == (n, n, 8, n + 7, n)
+        before = ids.select(F.col("id") + 1, F.col("created_at")).toDF("id", "previous")
+        assert ids.join(before, "id").filter(F.col("previous") > F.col("created_at")).count() == 0
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_recent_windows_prune_partitions(spark, tmp_path):
+    from logspark.operators import retention as H
+
+    ST.append(enrich(raw_logs(read_table(spark, SF_SMALL, "events"))), f"{tmp_path}/logs")
+    logs = ST.read_logs(spark, f"{tmp_path}/logs")
+    at = "2024-01-29 12:00:00"
+    for df in (S.error_rate_24h(logs, at), S.trends(logs, at), S.alerts(logs, at), H.apply_retention(logs, 20, at).report):
+        plan = _plan(df)
+        assert re.search(r"PartitionFilters: \[[^\]]*log_date", plan), plan[:3000]
+
+
+def test_few_files_for_each_day(spark, tmp_path):
+    ST.append(enrich(raw_logs(read_table(spark, SF_SMALL, "events").repartition(16))), f"{tmp_path}/logs")
+    days = glob.glob(f"{tmp_path}/logs/log_date=*")
+    assert len(days) >= 28 and all(len(glob.glob(f"{d}/batch=*/*.parquet")) <= 2 for d in days)
+
+
+def test_a_stray_hour_adds_a_day_of_rows(spark, raw_frame):
+    import datetime as dt
+
+    rows = [("an error", None, None, None, None, None, t) for t in (dt.datetime(2024, 1, 1, 5), dt.datetime(9998, 1, 1))]
+    got = S.hourly_error_series(enrich(raw_frame(rows))).orderBy("hour").collect()
+    assert len(got) == 26 and [r.total for r in got if r.total] == [1, 1]
+    assert got[0].trailing_mean is None and got[1].trailing_mean == 1.0 and got[24].trailing_mean == pytest.approx(1 / 24)

@@ -121,7 +121,7 @@ def _files(path):
     import glob
     import os
 
-    return {f: os.path.getmtime(f) for f in glob.glob(f"{path}/log_date=*/*.parquet")}
+    return {f: os.path.getmtime(f) for f in glob.glob(f"{path}/log_date=*/batch=*/*.parquet")}
 
 
 def test_cleanup_table_rewrites_only_the_boundary_day(spark, raw_frame):
@@ -159,8 +159,7 @@ def test_delete_from_table(spark, raw_frame):
     assert dt.date(2024, 2, 3) not in H.partition_days(spark, path)
 
 
-@pytest.mark.parametrize("direct_limit", [0, 10**9])     # bucketed path, direct path
-def test_exact_percentiles_on_a_hot_group(spark, direct_limit):
+def test_exact_percentiles_on_a_hot_group(spark):
     import numpy as np
 
     hot = spark.range(60000).select(F.lit("/hot").alias("path"), (F.col("id") * 7 % 100003).alias("duration_ms"))
@@ -168,9 +167,55 @@ def test_exact_percentiles_on_a_hot_group(spark, direct_limit):
                                     (F.col("id") % 13).alias("duration_ms"))
     df = hot.unionByName(small)
     got = {r.path: (r.p50, r.p95, r.p99, r.n, r.max)
-           for r in M.rank_percentiles(df, "duration_ms", (50, 95, 99), ("path",), direct_limit).collect()}
+           for r in M.rank_percentiles(df, "duration_ms", (50, 95, 99), ("path",)).collect()}
     for path, g in df.toPandas().groupby("path"):
         v = np.sort(g.duration_ms.values)
         n = len(v)
         want = tuple(int(v[min(n * p // 100, n - 1)]) for p in (50, 95, 99)) + (n, int(v[-1]))
         assert got[path] == want, path
+
+
+def test_percentile_plan_has_no_product_and_no_join_on_the_bare_group(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        acc = access_frame(spark, list(range(100)))
+        for df in (M.latency_report(acc), M.delivery_report(acc)):
+            plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+            assert plan.count("Scan parquet") <= 3 * 2  # the histogram is read, never the records
+            assert all("_bucket" in line for line in plan.split("\n") if line.startswith("Left keys"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_stopped_swap_is_finished_by_the_next_write(spark, raw_frame):
+    from logspark.sources import store
+
+    path = _table(spark, raw_frame, [dt.datetime(2024, 3, 1, h) for h in range(6)])
+    day = dt.date(2024, 3, 1)
+    kept = store.read_logs(spark, path).filter(F.col("created_at") >= dt.datetime(2024, 3, 1, 4))
+    done, store.finish_swaps = store.finish_swaps, lambda *a: None   # the job dies before the swap
+    try:
+        store.replace_days(spark, path, kept, [day])
+    finally:
+        store.finish_swaps = done
+    assert store.read_logs(spark, path).count() == 6                 # nothing has changed yet
+    store.append(stamped(raw_frame, [dt.datetime(2024, 3, 2)]), path)
+    assert store.read_logs(spark, path).count() == 3
+    assert store.read_logs(spark, path).filter(F.col("log_date") == day).count() == 2
+
+
+def test_rows_appended_during_a_rewrite_stay(spark, raw_frame):
+    from logspark.sources import store
+
+    path = _table(spark, raw_frame, [dt.datetime(2024, 3, 1, h) for h in range(6)])
+    kept = store.read_logs(spark, path).filter(F.col("created_at") >= dt.datetime(2024, 3, 1, 4))
+    done, store.finish_swaps = store.finish_swaps, lambda *a: None
+    try:
+        store.replace_days(spark, path, kept, [dt.date(2024, 3, 1)])
+        store.append(stamped(raw_frame, [dt.datetime(2024, 3, 1, 23)]), path)
+    finally:
+        store.finish_swaps = done
+    store.finish_swaps(spark, path)
+    assert store.read_logs(spark, path).count() == 3
