@@ -33,7 +33,7 @@ from logspark.llm.common import pieces, texts_of
 #: The split pattern of byte-level vocabularies (a fixed value of the file format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encoded words that a Python worker remembers between batches, twice.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 def tokenizer_path() -> str:
@@ -202,18 +202,22 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays])))
 
 
-def encode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` of ``docs`` and ids array<int> of the whole text."""
+def encode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",), back: bool = False) -> DataFrame:
+    """``columns`` of ``docs`` and ids array<int> of the whole text; with
+    ``back`` also text, decoded from these ids in the same pass."""
     held = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     rows = texts_of(docs, *columns)
 
     def run(batches):
         coder = _encoder(held, path)
-        for batch in pieces(batches, limit=1 << 21):
-            ids = _lists(coder.encode(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), ids], names=[*columns, "ids"])
+        for batch in pieces(batches):
+            ids = coder.encode(batch.column("text").to_pylist())
+            more = [pa.array([coder.decode(x) for x in ids], pa.string())] if back else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), _lists(ids), *more],
+                                             names=[*columns, "ids", "text"][:len(columns) + 1 + back])
 
-    return rows.mapInArrow(run, rows.drop("text").withColumn("ids", F.lit(None).cast("array<int>")).schema)
+    out = rows.drop("text").withColumn("ids", F.lit(None).cast("array<int>"))
+    return rows.mapInArrow(run, (out.withColumn("text", F.lit("")) if back else out).schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -235,7 +239,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
-    both = decode(encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path), path)
+    both = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, back=True)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -15,6 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logspark.session import checkpoint_dir
+
+#: Rows that a Python worker gets at a time.
+ROWS = 2000
 #: 64-bit words of a prefilter bitmap (2 MB): a fixed size, whatever the data.
 BITMAP_WORDS = 1 << 18
 
@@ -26,6 +30,8 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, so that
     executors need not have it installed."""
     sc = spark.sparkContext
+    # documents are large rows: small batches keep the workers' memory small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     if sc.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
         target = Path(tempfile.mkdtemp(prefix="logspark-ship-")) / f"{package.name}.zip"
@@ -36,24 +42,11 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names.  Only a local master
-    may go without; anything else must share a folder with its executors."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts
     the lineage, and a lost executor never repeats the work before it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -64,7 +57,7 @@ def texts_of(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``limit`` bytes of ``column``
     (a longer single row is a slice of its own)."""
     for batch in batches:
@@ -103,30 +96,35 @@ def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
 
 
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """Fixed-size bitmap of the mixed low bits of a long column.  It only
-    saves shuffling rows that cannot join: an exact join always follows, and
-    a full bitmap just lets every row through."""
-    slot = F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(BITMAP_WORDS * 64))
-    words = df.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")) \
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b"))
+    """Fixed-size bitmap of a long column.  It only saves shuffling rows that
+    cannot join: an exact join always follows, and a full bitmap just lets
+    every row through."""
+    def slots(batches):
+        bits = np.zeros(BITMAP_WORDS, np.uint64)
+        for batch in batches:
+            slot = _mixed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(BITMAP_WORDS * 64)
+            np.bitwise_or.at(bits, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], names=["w", "b"])
+
+    words = df.select(F.col(column).cast("bigint").alias("v")).filter("v is not null") \
+        .mapInArrow(slots, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros(BITMAP_WORDS, np.int64)
     for w, b in words.toLocalIterator():
         out[w] = b
     return out
 
 
-def in_bitmap(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be in ``bits``."""
-    held = df.sparkSession.sparkContext.broadcast(bits)
+def may_hold(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which 64-bit values may be in a bitmap."""
+    slot = _mixed(values.view(np.uint64)) % np.uint64(BITMAP_WORDS * 64)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)).astype(np.int64)) & 1 == 1
 
-    def keep(batches):
-        for batch in batches:
-            slot = batch.column("_slot").to_numpy(zero_copy_only=False)
-            hit = (held.value[slot >> 6] >> (slot & 63)) & 1
-            yield batch.drop_columns(["_slot"]).filter(pa.array(hit.astype(bool)))
 
-    slot = F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(BITMAP_WORDS * 64))
-    return df.withColumn("_slot", slot).mapInArrow(keep, df.schema)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def components(edges: DataFrame) -> DataFrame:

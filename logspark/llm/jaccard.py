@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm.common import pieces, stored, texts_of
+from logspark.llm.common import may_hold, pieces, stored, texts_of
 from logspark.llm.near import classes, links
 
 NGRAM = 5
@@ -58,7 +58,7 @@ class _Words(dict):
     """Word -> 64-bit hash, forgotten when it grows beyond a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 17:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -125,12 +125,15 @@ def _class(words: list[str]) -> int:
 
 def _gram_items(docs: DataFrame, weights: DataFrame, n: int) -> Callable:
     """Candidate classes with their number of documents and their n-gram sets."""
-    def items(keep):
+    def items(bits):
         def name(batches):
             for batch in pieces(batches):
                 text = batch.column("text").to_pylist()
                 ids = [_class(w) if (w := words_of(t)) else None for t in text]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("text")], names=["id", "text"])
+                known = np.flatnonzero([i is not None for i in ids])
+                at = known[may_hold(bits.value, np.array([ids[i] for i in known], np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), batch.column("text").take(pa.array(at))],
+                                                 names=["id", "text"])
 
         def grams(batches):
             hashes = _Words()
@@ -139,8 +142,7 @@ def _gram_items(docs: DataFrame, weights: DataFrame, n: int) -> Callable:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("weight"), pa.array(sets, pa.binary())],
                                                  names=["id", "weight", "payload"])
 
-        text = docs.select("text").mapInArrow(name, "id long, text string").filter("id is not null")
-        return keep(text).dropDuplicates(["id"]).join(weights, "id").select("id", "weight", "text") \
+        return docs.select("text").mapInArrow(name, "id long, text string").dropDuplicates(["id"]).join(weights, "id").select("id", "weight", "text") \
             .mapInArrow(grams, "id long, weight long, payload binary")
     return items
 

@@ -163,8 +163,8 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, **how) -> DataFr
     copies = stored(named.groupBy("id", "vec_id").agg(F.lit(1).alias("one")).groupBy("id")
                     .agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("first")))
 
-    def items(keep):
-        return keep(named.select("id", "payload")).dropDuplicates(["id"]).join(copies.select("id", "weight"), "id") \
+    def items(bits):  # all of them: a vector is a small row
+        return named.select("id", "payload").dropDuplicates(["id"]).join(copies.select("id", "weight"), "id") \
             .select("id", "weight", "payload")
 
     near = classes(links(named.select("id", "keys"), items, check_cosine(cosine)))

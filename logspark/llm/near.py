@@ -24,10 +24,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import bitmap, components, groups, in_bitmap, stored
+from logspark.llm.common import bitmap, components, groups, may_hold, stored
 
 #: Items in a block that one task checks.
 BLOCK = 256
@@ -77,19 +78,29 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = signed.select("id", F.explode("keys").alias("key"))
     shared = stored(rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"),
                                             F.count(F.lit(1)).alias("n")).filter("lo < hi"))
-    members = stored(in_bitmap(rows, "key", bitmap(shared, "key"))
+    held = signed.sparkSession.sparkContext.broadcast(bitmap(shared, "key"))
+
+    def may_share(batches):
+        for batch in batches:
+            keys = batch.column("keys")
+            flat, sizes = keys.flatten().to_numpy(zero_copy_only=False), np.diff(keys.offsets.to_numpy())
+            hit = may_hold(held.value, flat)
+            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(flat[hit])], names=["id", "key"])
+
+    members = stored(signed.filter(F.size("keys") > 0).select("id", "keys").mapInArrow(may_share, "id long, key long")
                      .join(shared.select("key", "lo"), "key").distinct())
     comp = stored(components(members.filter("id > lo").select(F.col("id").alias("u"), F.col("lo").alias("v"))))
     return shared, members.select("id", "key"), comp
 
 
-def links(signed: DataFrame, items: Callable[[Callable[[DataFrame], DataFrame]], DataFrame], check: Check) -> DataFrame:
+def links(signed: DataFrame, items: Callable[[Broadcast], DataFrame], check: Check) -> DataFrame:
     """(id, links, root) for every linked item, several rows of an id.
 
-    ``items(keep)`` returns (id, weight, payload), one row of an id, and calls
-    ``keep`` on a frame with a column ``id`` to drop early what is no
-    candidate.  Summing ``links`` by id counts each link once; (id, root)
-    are edges that connect exactly what the links connect.
+    ``items(bits)`` returns (id, weight, payload), one row of an id; it may
+    leave out ids that the bitmap does not hold (``common.may_hold``), which
+    are no candidates.  Summing ``links`` by id counts each link once;
+    (id, root) are edges that connect exactly what the links connect.
     """
     shared, members, comp = candidates(signed)
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -99,8 +110,8 @@ def links(signed: DataFrame, items: Callable[[Callable[[DataFrame], DataFrame]],
         "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"),
         (F.col("size") * F.ceil(F.col("size") / BLOCK) > 2 * F.col("pairs")).alias("loose")))
     named = stored(comp.join(plan, "component"))
-    bits = bitmap(comp, "id")
-    held = stored(items(lambda df: in_bitmap(df, "id", bits)).join(named, "id"))
+    bits = signed.sparkSession.sparkContext.broadcast(bitmap(comp, "id"))
+    held = stored(items(bits).join(named, "id"))
 
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dense = held.filter("not loose").withColumn("mine", mine) \

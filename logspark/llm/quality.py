@@ -48,7 +48,7 @@ class _Hashes(dict):
     """Token -> 32-bit hash, forgotten when it grows beyond a bound."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 17:
             self.clear()
         h = self[token] = zlib.crc32(token.encode("utf-8", "replace"))
         return h
@@ -71,7 +71,7 @@ def counts(docs: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
     def count(batches):
         hashes, total = _Hashes(), np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
             good = np.isin(ids, held.value) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             for text, hit in zip(batch.column("text").to_pylist(), good):

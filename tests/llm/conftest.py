@@ -6,10 +6,8 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 @pytest.fixture(scope="session")
-def sc(spark, tmp_path_factory):
-    """The session with a shared folder and this package on its workers."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+def sc(spark):
+    """The session with this package on its workers."""
     ship(spark)
     return spark
 

@@ -240,6 +240,12 @@ def test_bpe_is_the_tokenizers_own():
         assert mine.decode(got) == t.decode(want.ids, skip_special_tokens=False)
 
 
+def test_decode_is_its_own_step_too(docs_of):
+    rows = [(1, "a word"), (2, None), (3, "\u00e9t\u00e9 \U0001f600")]
+    got = bpe.decode(bpe.encode(docs_of(rows), bpe.tokenizer_path()), bpe.tokenizer_path()).collect()
+    assert {r.doc_id: r.text for r in got} == {i: t or "" for i, t in rows}
+
+
 def test_prefixes_are_encoded_once():
     coder = bpe.Encoder(bpe.read_vocabulary(bpe.tokenizer_path()))
     words = {w: w.encode() for w in ("walk", "walked", "walker", "walkers", "wall")}
