@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions.formatting import as_timestamp, parse_as_of
+from logspark.session import staged
 
 class Outcome(NamedTuple):
     kept: DataFrame
@@ -130,7 +131,7 @@ def delete_from_table(spark, path: str, ids: DataFrame, id_col: str = "id") -> d
 
     finish_swaps(spark, path)
     logs = read_logs(spark, path)
-    wanted = _wanted(ids, id_col)
+    wanted = staged(_wanted(ids, id_col), "wanted")     # the list may come from this very table
     hit = logs.join(wanted, "id", "left_semi").groupBy("log_date").agg(F.count(F.lit(1)).alias("n"))
     per_day = {r.log_date: r.n for r in hit.collect()}          # one row per affected day
     if per_day:

@@ -277,19 +277,19 @@ def _stream_running(spark, sf):
     return ST.run_available(ST.running_stats(feed), _fresh(spark, "running"), "update", ("kind", "key")).result
 
 
-def _windowed(counts, keys, order, watermark):
+def _windowed(counts, keys, count, windows, order, watermark):
     """A windowed count over the three parts, each its own micro-batch, with
     the number of rows that came too late in a column of its own."""
     def build(spark, sf):
         from logspark.streaming import stream as ST
 
-        base, dropped, result = _fresh(spark, "windows"), 0, None
+        base, entered, result = _fresh(spark, "windows"), 0, None
         for i in order:
             _arriving(spark, sf, base, i)
-            result, late = ST.run_available(getattr(ST, counts)(enrich(AD.raw_logs(_arrived(spark, base))), watermark),
+            result, more = ST.run_available(getattr(ST, counts)(enrich(AD.raw_logs(_arrived(spark, base))), watermark),
                                             f"{base}/run", "update", keys)
-            dropped += late
-        return result.withColumn("dropped", F.lit(dropped).cast("bigint"))
+            entered += more
+        return result.withColumn("dropped", F.lit(ST.not_counted(result, count, entered, windows)).cast("bigint"))
     return build
 
 
@@ -708,10 +708,10 @@ UNION ALL SELECT DISTINCT 'by_source', coalesce(source, 'unknown'), 0 FROM logs
   date_trunc('hour', created_at) - to_hours(k) + INTERVAL 24 HOUR AS window_end, count(*) AS n, CAST(0 AS BIGINT) AS dropped
 FROM logs, range(24) r(k) GROUP BY 1, 2""")
     late = "40 days"  # longer than the events are apart
-    reg("stream_hourly_counts", _windowed("hourly_counts", ("hour",), (0, 1, 2), "2 hours"), hourly_sql, "J7")
-    reg("stream_hourly_counts_newest_first", _windowed("hourly_counts", ("hour",), (2, 1, 0), late), hourly_sql, "J7 (out of order)")
-    reg("stream_sliding_day_counts", _windowed("sliding_day_counts", ("window_start",), (0, 1, 2), "2 hours"), sliding_sql, "J8")
-    reg("stream_sliding_newest_first", _windowed("sliding_day_counts", ("window_start",), (2, 0, 1), late), sliding_sql,
+    reg("stream_hourly_counts", _windowed("hourly_counts", ("hour",), "total", 1, (0, 1, 2), "2 hours"), hourly_sql, "J7")
+    reg("stream_hourly_counts_newest_first", _windowed("hourly_counts", ("hour",), "total", 1, (2, 1, 0), late), hourly_sql, "J7 (out of order)")
+    reg("stream_sliding_day_counts", _windowed("sliding_day_counts", ("window_start",), "n", 24, (0, 1, 2), "2 hours"), sliding_sql, "J8")
+    reg("stream_sliding_newest_first", _windowed("sliding_day_counts", ("window_start",), "n", 24, (2, 0, 1), late), sliding_sql,
         "J8 (out of order)")
     reg("stream_ring_buffer", _stream_ring, f"""WITH a AS ({O.access_logs_sql()}),
 r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, id DESC) AS rn FROM a)

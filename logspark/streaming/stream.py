@@ -13,7 +13,8 @@ from the caller: a job that is restarted with the same folder, under any
 application id, goes on where it stopped.
 
 Watermarks are required arguments: they decide which late rows a window still
-takes.  ``run_available`` reports how many rows were later than that.
+takes.  ``run_available`` reports how many rows entered, so what a windowed
+count has not taken is known (``not_counted``).
 """
 
 from __future__ import annotations
@@ -132,10 +133,18 @@ def running_stats(feed: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------- windows
+ENTERED = "entered"
+
+
+def _entering(df: DataFrame) -> DataFrame:
+    """Counts the rows that enter, seen in the query's progress."""
+    return df.observe(ENTERED, F.count(F.lit(1)).alias("rows"))
+
+
 def hourly_counts(logs: DataFrame, watermark: str) -> DataFrame:
     """Per event-time hour, total and error counts (effective severity);
     rows later than the watermark are dropped."""
-    s = with_event_time(logs).withWatermark("event_time", watermark)
+    s = _entering(with_event_time(logs)).withWatermark("event_time", watermark)
     eff = N.effective_severity()
     return s.groupBy(F.window("event_time", "1 hour").alias("w")).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(eff.isin(*ERRORS)).alias("errors")
@@ -144,7 +153,7 @@ def hourly_counts(logs: DataFrame, watermark: str) -> DataFrame:
 
 def sliding_day_counts(logs: DataFrame, watermark: str) -> DataFrame:
     """Rows in every 24-hour window sliding by one hour."""
-    s = with_event_time(logs).withWatermark("event_time", watermark)
+    s = _entering(with_event_time(logs)).withWatermark("event_time", watermark)
     return s.groupBy(F.window("event_time", "24 hours", "1 hour").alias("w")).agg(
         F.count(F.lit(1)).alias("n")
     ).select(utc_wall_clock(F.col("w.start")).alias("window_start"),
@@ -153,7 +162,7 @@ def sliding_day_counts(logs: DataFrame, watermark: str) -> DataFrame:
 
 def progress(access: DataFrame, watermark: str) -> DataFrame:
     """Per second - sent, errors (status >= 400) and approximate p95."""
-    s = with_event_time(access, "ts").withWatermark("event_time", watermark)
+    s = _entering(with_event_time(access, "ts")).withWatermark("event_time", watermark)
     return s.groupBy(F.window("event_time", "1 second").alias("w")).agg(
         F.count(F.lit(1)).alias("sent"),
         F.count_if(F.col("status") >= 400).alias("errors"),
@@ -262,14 +271,19 @@ def _run(df: DataFrame, base: str, output_mode: str, sink) -> StreamingQuery:
     return q
 
 
-def dropped_late(q: StreamingQuery) -> int:
-    """Rows that came later than the watermark in this run of a query."""
-    return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+def _entered(q: StreamingQuery) -> int:
+    return sum(p.observedMetrics[ENTERED]["rows"] or 0 for p in q.recentProgress if ENTERED in p.observedMetrics)
+
+
+def not_counted(result: DataFrame, count: str, entered: int, windows: int = 1) -> int:
+    """Rows (times the ``windows`` that each belongs to) that entered but were
+    too late for their windows."""
+    return entered * windows - (result.agg(F.sum(count)).first()[0] or 0)
 
 
 class Available(NamedTuple):
     result: DataFrame
-    dropped: int
+    entered: int
 
 
 def run_available(df: DataFrame, base: str, output_mode: str = "append", keys: tuple[str, ...] = ()) -> Available:
@@ -279,7 +293,8 @@ def run_available(df: DataFrame, base: str, output_mode: str = "append", keys: t
     in ``base`` (a replayed batch overwrites its folder, so the log is
     exactly-once); the result keeps, per ``keys``, the row of the newest batch
     (update / complete modes) or every row (append mode with no keys).  With
-    the result comes the number of rows dropped as later than the watermark.
+    the result comes the number of rows that this run read into a windowed
+    count.
     """
     spark = df.sparkSession
     out = f"{base}/log"
@@ -290,12 +305,12 @@ def run_available(df: DataFrame, base: str, output_mode: str = "append", keys: t
 
     q = _run(df, base, output_mode, sink)
     if not exists(spark, out):  # no batch so far
-        return Available(spark.createDataFrame([], df.schema), dropped_late(q))
+        return Available(spark.createDataFrame([], df.schema), _entered(q))
     result = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("stream_batch", T.LongType())])).parquet(out)
     if keys:
         w = Window.partitionBy(*keys).orderBy(F.col("stream_batch").desc())
         result = result.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") == 1).drop("_rank")
-    return Available(result.drop("stream_batch"), dropped_late(q))
+    return Available(result.drop("stream_batch"), _entered(q))
 
 
 TAIL = T.StructType([
