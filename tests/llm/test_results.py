@@ -182,7 +182,7 @@ def test_both_ways_of_checking_agree(sc, monkeypatch):
     np.fill_diagonal(link, False)
     for block in (4, 256):
         monkeypatch.setattr(near, "BLOCK", block)
-        got = {r.vec_id: r.n_links for r in lattice.near_vectors(df, tables=10, probes=8).collect()}
+        got = {r.vec_id: r.n_links for r in lattice.near_vectors(df, tables=16, probes=2).collect()}
         assert [got[i] for i in range(len(e))] == link.sum(axis=1).tolist()
 
 
