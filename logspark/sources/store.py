@@ -171,7 +171,7 @@ def max_id(spark: SparkSession, path: str) -> int:
 _WRITTEN: dict[tuple, tuple[str, StructType]] = {}
 
 
-def _inputs(df: DataFrame) -> tuple:
+def inputs_of(df: DataFrame) -> tuple:
     """What a frame is made from: its plan, its files and their times."""
     spark = df.sparkSession
     files = []
@@ -194,7 +194,7 @@ def derived_table(spark: SparkSession, key: str, build: Callable[[], DataFrame],
     lineage, so a lost executor never re-runs the enrichment.
     """
     df = build()
-    k = (spark.sparkContext.applicationId, key, *_inputs(df))
+    k = (spark.sparkContext.applicationId, key, *inputs_of(df))
     if k not in _WRITTEN:
         path = f"{checkpoint_dir(spark)}/logspark-table-{uuid.uuid4().hex}"
         writer = df.write

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from logspark.operators.enrich import analysis, enrich, validate
+from logspark.operators.enrich import analysis, enrich, ingest, validate
 
 
 def analyse_titles(spark, raw_frame, rows):
@@ -226,3 +226,28 @@ def test_enrich_is_one_stage_without_python(spark):
     plan = enrich(raw_logs(read_table(spark, SF_SMALL, "events")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_rule_tables_are_pinned():
+    """The oracle reads the same tables; a change to them must be meant."""
+    import hashlib
+    import json
+
+    from logspark.functions import rules as R
+
+    names = sorted(n for n in vars(R) if n.isupper() and n != "DEFAULT_RULES")
+    text = json.dumps({n: getattr(R, n) for n in names}, default=str, sort_keys=True)
+    assert hashlib.sha256(text.encode()).hexdigest() == "2e8f4e6e2fdad6ade0ef193b09fa24791d85e4c8f6133a075ca1cff682b48e66"
+
+
+def test_body_shapes(spark, raw_frame):
+    """One whole JSON object, the last of equal keys, the stored escapes."""
+    bodies = {
+        '{"a":1,"a":2}': '{"a":2}', '{"a":1} trailing': None, '{"a":1}{"b":2}': None, '{"a":1},{"b":2}': None,
+        '{"a":1}] x': None, "null": "{}", "[1]": None, "": None, ' {"b" : 1e3, "a":"5.0,"} ': '{"a":"5.0,","b":1000}',
+        '{"x":"\u2028\u2029<&>"}': '{"x":"\\u2028\\u2029\\u003c\\u0026\\u003e"}',
+    }
+    res = ingest(raw_frame([(f"t{i}", None, None, None, None, b) for i, b in enumerate(bodies)]))
+    got = {r.title: r.body for r in res.logs.collect()}
+    assert got == {f"t{i}": want for i, want in enumerate(bodies.values()) if want is not None}
+    assert res.rejected.count() == sum(want is None for want in bodies.values())
