@@ -4,14 +4,15 @@ Two generative models over hashed word n-grams (one- and two-token grams,
 ``BUCKETS`` buckets) are counted: the target model over up to ``TARGET_DOCS``
 documents labelled as good (drawn by a hash of their id), the raw model over
 all documents.  Texts are read where they lie and never shuffled; labels meet
-the scores, not the texts.  A document's
-log importance weight is the sum over its n-grams of log p_target - log p_raw.
-Adding Gumbel noise and taking the k largest keys draws k documents without
+the scores, not the texts.  A document's log importance weight is the sum over
+its n-grams of log p_target - log p_raw, by models that leave it out.  Adding
+Gumbel noise and taking the k largest keys draws k documents without
 replacement in proportion to their weights (Gumbel top-k).
 
-k is part of the request, or is taken from all labelled documents: it is then
+k is part of the request, or is taken from the labelled documents: it is then
 the number of documents above the key that separates good from bad labels
-best (balanced accuracy, read from a histogram of fixed size).
+best (shares of both, a lost good document weighing KEEP times, read from a
+histogram of fixed size).
 
 Defined results: a null text is empty; a document without n-grams has weight
 0; labels that are null, or that contradict each other for a doc_id, count as
@@ -39,6 +40,9 @@ BUCKETS = 1 << 14
 #: Resolution and range of the histogram of keys that k is read from.
 BIN, CLIP = 0.25, 400.0
 SEED = 20260
+#: N-grams a bucket that the raw model counts as in the target model, and how
+#: much more a good document that is lost counts than a bad one that is kept.
+PRIOR, KEEP = 20, 3
 #: Labelled documents that the target model is fitted on, at most.
 TARGET_DOCS = 20_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -64,6 +68,10 @@ def ngram_buckets(text: str, hashes: dict) -> np.ndarray:
     return (np.concatenate([one, two]) >> np.uint64(64 - 14)).astype(np.int64)
 
 
+def _among(ids: pa.Array, wanted: np.ndarray) -> np.ndarray:
+    return np.isin(ids.fill_null(-1).to_numpy(zero_copy_only=False), wanted) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
 def counts(docs: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(target, raw) n-gram counts of (doc_id, text); ``targets``: sorted ids.
     A task adds up its own counts, so at most BUCKETS rows leave it."""
@@ -72,9 +80,7 @@ def counts(docs: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     def count(batches):
         hashes, total = _Hashes(), np.zeros((2, BUCKETS), np.int64)
         for batch in pieces(batches):
-            ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            good = np.isin(ids, held.value) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            for text, hit in zip(batch.column("text").to_pylist(), good):
+            for text, hit in zip(batch.column("text").to_pylist(), _among(batch.column("doc_id"), held.value)):
                 c = np.bincount(ngram_buckets(text, hashes), minlength=BUCKETS)
                 total[1] += c
                 if hit:
@@ -90,19 +96,41 @@ def counts(docs: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return target, raw
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """log p_target - log p_raw by bucket, add-one smoothed."""
-    return np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
-
-
-def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+class Models(NamedTuple):
+    """n-gram counts of both models, and the sorted ids the target is made of."""
+    target: np.ndarray
+    raw: np.ndarray
+    ids: np.ndarray
+    target_total: int
+    raw_total: int
+
+    def log_weight(self, buckets: np.ndarray, own: bool) -> float:
+        """Sum over the n-grams of a document of log p_target - log p_raw, both
+        without the document itself: a model knows its own documents too well.
+        The raw model is add-one smoothed; the target model starts from it with
+        the weight of PRIOR n-grams a bucket, so that a few labels move it a
+        little and many move it freely."""
+        n = len(buckets)
+        if not n:
+            return 0.0
+        count = np.bincount(buckets, minlength=BUCKETS)
+        at = np.flatnonzero(count)
+        c = count[at]
+        p_raw = (self.raw[at] - c + 1) / (self.raw_total - n + BUCKETS)
+        prior = PRIOR * BUCKETS
+        p_target = (self.target[at] - c * own + prior * p_raw) / (self.target_total - n * own + prior)
+        return float((c * np.log(p_target / p_raw)).sum())
+
+
+def weigh(docs: DataFrame, models: Models) -> DataFrame:
     """(doc_id, noise, log_weight) of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(ratio)
+    held = docs.sparkSession.sparkContext.broadcast(models)
 
     def score(batches):
-        hashes = _Hashes()
+        hashes, m = _Hashes(), held.value
         for batch in pieces(batches):
-            w = [float(held.value[ngram_buckets(t, hashes)].sum()) for t in batch.column("text").to_pylist()]
+            w = [m.log_weight(ngram_buckets(t, hashes), hit)
+                 for t, hit in zip(batch.column("text").to_pylist(), _among(batch.column("doc_id"), m.ids))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("noise"), pa.array(w, pa.float64())],
                                              names=["doc_id", "noise", "log_weight"])
 
@@ -130,7 +158,7 @@ def separating_key(keyed: DataFrame) -> Cutoff:
         return Cutoff(None)
     best, at, below_g, below_b = -1.0, None, 0, 0
     for bin_, g, n in rows:
-        accuracy = (good - below_g) / good + below_b / bad
+        accuracy = KEEP * (good - below_g) / good + below_b / bad
         if accuracy > best + 1e-12:
             best, at = accuracy, bin_ * BIN
         below_g, below_b = below_g + g, below_b + n
@@ -168,7 +196,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     targets = np.sort(np.array([r[0] for r in drawn], np.int64))
     rows = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", "text", _gumbel(seed).alias("noise"))
     target, raw = counts(rows, targets)
-    scored = weigh(rows, log_ratio(target, raw)).withColumn("key", F.col("log_weight") + F.col("noise"))
+    scored = weigh(rows, Models(target, raw, targets, int(target.sum()), int(raw.sum()))).withColumn("key", F.col("log_weight") + F.col("noise"))
     keyed = stored(scored.join(marks, "doc_id", "left").select(
         "doc_id", "log_weight", "key", F.coalesce("good", F.lit(False)).alias("good"),
         F.coalesce(~F.col("good"), F.lit(False)).alias("bad")))
