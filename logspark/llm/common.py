@@ -110,7 +110,7 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
     words = df.select(F.col(column).cast("bigint").alias("v")).filter("v is not null") \
         .mapInArrow(slots, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros(BITMAP_WORDS, np.int64)
-    for w, b in words.toLocalIterator():
+    for w, b in words.collect():  # BITMAP_WORDS rows at most
         out[w] = b
     return out
 

@@ -66,23 +66,26 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 class Level(NamedTuple):
     words: np.ndarray  # int64 words of the bit array
     bits: int
-    hashes: int
+    hashes: range
 
 
-def _places(bits: int, hashes: int) -> Column:
+def _places(bits: int, hashes: range) -> Column:
     """Bit numbers of a key with hashes a, b."""
-    return F.array(*((F.col("a") + F.lit(i) * F.col("b")) % F.lit(bits) for i in range(hashes)))
+    return F.array(*((F.col("a") + F.lit(i) * F.col("b")) % F.lit(bits) for i in hashes))
 
 
-def build_level(keys: DataFrame, n: int, leak: float = LEAK) -> Level:
+def build_level(keys: DataFrame, n: int, number: int, leak: float = LEAK) -> Level:
     """Bloom filter of (a, b); the set bits are merged by word before they
-    reach the driver, whose array is as large as the filter."""
-    hashes = max(1, round(-math.log2(leak)))
-    bits = max(64, math.ceil(n * hashes / math.log(2)))
+    reach the driver, whose array is as large as the filter.  Each level has
+    hash functions and a size of its own: keys that one level takes for each
+    other must not meet again in all the following ones."""
+    k = max(1, round(-math.log2(leak)))
+    hashes = range(number * k, number * k + k)
+    bits = max(64, math.ceil(n * k / math.log(2))) + number
     place = keys.select(F.explode(_places(bits, hashes)).alias("p"))
     words = place.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
     out = np.zeros((bits + 63) // 64, np.int64)
-    for w, v in words.toLocalIterator():
+    for w, v in words.collect():  # as many rows as the filter has words
         out[w] = v
     return Level(out, bits, hashes)
 
@@ -90,7 +93,7 @@ def build_level(keys: DataFrame, n: int, leak: float = LEAK) -> Level:
 def holds(level: Level, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which keys the level holds, as far as it can tell."""
     out = np.ones(len(a), bool)
-    for i in range(level.hashes):
+    for i in level.hashes:
         p = (a + i * b) % level.bits
         out &= (level.words[p >> 6] >> (p & 63)) & 1 == 1
     return out
@@ -109,8 +112,8 @@ def listed_by(levels: list[Level], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def hashed(frame: DataFrame, key: str) -> DataFrame:
-    """Adds two hashes of 56 bits, so that a + i * b stays a long."""
-    return frame.withColumns({c: F.shiftrightunsigned(F.xxhash64(F.lit(c), F.col(key)), 8) for c in "ab"})
+    """Adds two hashes of 48 bits, so that a + i * b stays a long."""
+    return frame.withColumns({c: F.shiftrightunsigned(F.xxhash64(F.lit(c), F.col(key)), 16) for c in "ab"})
 
 
 def build_cascade(universe: DataFrame, leak: float = LEAK) -> list[Level]:
@@ -123,7 +126,7 @@ def build_cascade(universe: DataFrame, leak: float = LEAK) -> list[Level]:
         n = {r[0]: r[1] for r in rest.groupBy("listed").count().collect()}
         if not n.get(inserted):
             return levels
-        level = build_level(rest.filter(F.col("listed") == inserted), n[inserted], leak)
+        level = build_level(rest.filter(F.col("listed") == inserted), n[inserted], len(levels), leak)
         levels.append(level)
         if not n.get(not inserted):
             return levels
