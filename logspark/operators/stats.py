@@ -88,21 +88,18 @@ def stats_long(logs: DataFrame, as_of) -> DataFrame:
     return agg.select(F.inline(rows))
 
 
-def _object(kind: str) -> Column:
-    """JSON object {key: n} of one grouping, keys in order."""
-    entry = F.struct("key", "n")
-    rows = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, entry)))
-    return F.to_json(F.map_from_entries(rows)).alias(kind)
-
-
 def stats(logs: DataFrame, as_of) -> DataFrame:
-    """F5 as served: one row (total, last_24_hours, by_severity and by_source
-    as JSON objects).  The objects hold one entry per name; for groupings too
-    large for one record use ``stats_long``."""
+    """F5 as served: one row (total, last_24_hours, by_severity map, by_source
+    map).  The maps hold one entry per name; for groupings too large for one
+    record use ``stats_long``."""
+    def group(kind: str) -> Column:
+        entries = F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "n")))
+        return F.map_from_entries(F.sort_array(entries)).alias(kind)
+
     return stats_long(logs, as_of).agg(
         F.max(F.when(F.col("kind") == "total", F.col("n"))).alias("total"),
         F.max(F.when(F.col("kind") == "last_24_hours", F.col("n"))).alias("last_24_hours"),
-        _object("by_severity"), _object("by_source"))
+        group("by_severity"), group("by_source"))
 
 
 def stats_printout(logs: DataFrame, as_of) -> DataFrame:

@@ -500,7 +500,8 @@ WHERE id IN (SELECT id FROM {DELETE_LIST_SQL} d)"""), "B10 J2 (batch form)")
 UNION ALL SELECT 'last_24_hours', NULL, count(*) FILTER (WHERE created_at >= {ts(AS_OF)} - INTERVAL 24 HOUR) FROM logs
 UNION ALL SELECT 'by_severity', {EFF}, count(*) FROM logs GROUP BY 2
 UNION ALL SELECT 'by_source', coalesce(source, 'unknown'), count(*) FROM logs GROUP BY 2"""), "F1 F2 F5")
-    reg("stats_served", lambda s, sf: S.stats(logs(s, sf), AS_OF), O.with_logs(f""", sev AS (
+    reg("stats_served", lambda s, sf: S.stats(logs(s, sf), AS_OF).withColumns(
+        {c: F.to_json(c) for c in ("by_severity", "by_source")}), O.with_logs(f""", sev AS (
   SELECT {EFF} AS k, count(*) AS n FROM logs GROUP BY 1), src AS (SELECT coalesce(source, 'unknown') AS k, count(*) AS n FROM logs GROUP BY 1)
 SELECT (SELECT count(*) FROM logs) AS total,
   (SELECT count(*) FROM logs WHERE created_at >= {ts(AS_OF)} - INTERVAL 24 HOUR) AS last_24_hours,
