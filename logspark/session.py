@@ -9,11 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Settings this library's plans assume.  On a cluster they are normally in
 # spark-defaults.
-# The rule cascade compiles to one large generated method; HotSpot does not
-# JIT-compile methods over 8000 bytes of bytecode unless told to.  JVM
-# options must be given at launch (spark-defaults / spark-submit on a cluster).
-JVM_OPTIONS = "-XX:-DontCompileHugeMethods"
-
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -32,8 +27,6 @@ def local_session(cores: int = 8, app: str = "logspark", shuffle_partitions: int
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.extraJavaOptions", JVM_OPTIONS)
-        .config("spark.executor.extraJavaOptions", JVM_OPTIONS)
     )
     for k, v in RECOMMENDED.items():
         builder = builder.config(k, v)
