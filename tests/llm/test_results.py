@@ -378,3 +378,12 @@ def test_lm_learns_held_out_text(sc):
     assert sum(r.score for r in got) > -0.75 * uniform * 2.5 * sum(r.n_tokens for r in got)
 
 
+def test_lm_learns_from_every_training_document(docs_of):
+    """In a table said to be large, each document's ids move their rows of the model."""
+    rows = [(i, f"{c}{c} " * 9) for i, c in enumerate("bcdfghjklmnpqrstvwxz")]
+    path = bpe.tokenizer_path()
+    p = lm.train(docs_of(rows), 20_000_000, path)
+    coder, first = lm.Subwords(bpe.read_vocabulary(path)), lm.first_parameters()
+    for _, text in rows:
+        own = set(coder.coder.encode_ordinary(" " + text.strip()))
+        assert all((p["ids"][k] != first["ids"][k]).any() for k in own), text
