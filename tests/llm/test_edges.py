@@ -173,3 +173,15 @@ def test_pipeline_stages(sc, odd, labels, tmp_path):
     nothing = odd.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(sc, nothing, str(tmp_path)).count() == 0, name
+
+
+def test_lines_of_repeated_ids(docs_of):
+    """Texts under one id, or none, lose their own lines alone."""
+    a, b, c = ("one line that is said in two of the texts", "another line that has nothing like it", "a third line of quite other words here")
+    rows = [(None, f"{a}\n{b}"), (None, f"u\nv\n{c}\n{a}"), (None, "p\nq\nr\nclean and alone at that place"), (7, f"only\n{b}"), (7, f"x\n{b}")]
+    out = {r.text for r in lines.without_near_lines(docs_of(rows)).collect()}
+    assert out == {f"{a}\n{b}", f"u\nv\n{c}", "p\nq\nr\nclean and alone at that place", "only", "x"}
+    assert sorted((r.doc_id or 0, r.dropped) for r in lines.line_report(docs_of(rows)).collect()) == \
+        [(0, []), (0, []), (0, [3]), (7, [1]), (7, [1])]
+    two = {r.text for r in lines.without_near_lines(docs_of([(7, f"x\n{b}"), (7, f"y\n{b}")])).collect()}
+    assert two in ({f"x\n{b}", "y"}, {"x", f"y\n{b}"})
