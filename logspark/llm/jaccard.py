@@ -12,8 +12,10 @@ hashes of all n-grams).  A dense group is verified block against block inside
 tasks (``near``), so thousands of near copies make no rows of pairs.
 
 Defined results: a null or wordless text links with nothing, not even its
-like; rows that repeat a doc_id share its fate (links count distinct ids); a
-null doc_id takes no part: no class id, no links, kept.
+like; links count distinct ids; texts that share a doc_id are judged each on
+their own, told apart by a 64-bit hash; of a class's texts under its smallest
+doc_id ``one_of_each`` keeps one, in all rows that repeat it whole; a null
+doc_id takes no part: no class id, no links, kept.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.llm.common import may_hold, pieces, stored, texts_of
@@ -98,7 +100,7 @@ def band_keys(grams: np.ndarray, bands: int, rows: int, seed: int = 7) -> np.nda
 
 
 def signed_docs(docs: DataFrame, bands: int, rows: int, n: int = NGRAM) -> DataFrame:
-    """(doc_id, id, keys): the class of a document's words and its band keys;
+    """(doc_id, h, id, keys): the class of a document's words and its band keys;
     id is null for a text without words."""
     def sign(batches):
         hashes = _Words()
@@ -111,11 +113,11 @@ def signed_docs(docs: DataFrame, bands: int, rows: int, n: int = NGRAM) -> DataF
                     keys.append(band_keys(ngrams(words, hashes, n), bands, rows))
                 ends.append(ends[-1] + bands * bool(words))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(ids, pa.int64()),
+                batch.column("doc_id"), batch.column("h"), pa.array(ids, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))],
-                names=["doc_id", "id", "keys"])
+                names=["doc_id", "h", "id", "keys"])
 
-    return docs.mapInArrow(sign, "doc_id long, id long, keys array<long>")
+    return docs.mapInArrow(sign, "doc_id long, h long, id long, keys array<long>")
 
 
 def _class(words: list[str]) -> int:
@@ -179,24 +181,34 @@ def check_jaccard(similarity: float) -> Callable:
     return check
 
 
-def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, n: int = NGRAM, recall: float = RECALL) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id (smallest doc_id that
-    links or copies reach), n_links (other documents linked to it directly,
-    copies included), kept (it is its class's smallest)."""
+def _hash(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def _judged(docs: DataFrame, similarity: float, n: int, recall: float) -> DataFrame:
+    """(doc_id, h, id, class_id, class_h, n_links) of each row; class_id and
+    class_h are the first document of its class, null for one without."""
     bands, rows = banding(similarity, recall, HASHES)
-    text = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    text = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"), _hash().alias("h"))
     signed = stored(signed_docs(text, bands, rows, n))
     named = signed.filter("id is not null and doc_id is not null")
-    copies = stored(named.select("id", "doc_id").distinct().groupBy("id")
-                    .agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("first")))
+    copies = stored(named.groupBy("id", "doc_id").agg(F.min("h").alias("h")).groupBy("id")
+                    .agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "h")).alias("first")))
     found = links(named.select("id", "keys"), _gram_items(text, copies.select("id", "weight"), n), check_jaccard(similarity))
     near = classes(found)
     known = stored(copies.join(near, "id", "left").select(
         "id", "first", F.coalesce("component", "id").alias("component"),
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
-    least = known.groupBy("component").agg(F.min("first").alias("class_id"))
-    of_class = known.join(least, "component").select("id", "class_id", "n_links")
-    return signed.select("doc_id", "id").join(of_class, "id", "left").select(
+    least = known.groupBy("component").agg(F.min("first").alias("least"))
+    of_class = known.join(least, "component").select("id", F.col("least.doc_id").alias("class_id"), F.col("least.h").alias("class_h"), "n_links")
+    return signed.select("doc_id", "h", "id").join(of_class, "id", "left")
+
+
+def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, n: int = NGRAM, recall: float = RECALL) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id (smallest doc_id that
+    links or copies reach), n_links (other documents linked to it directly,
+    copies included), kept (it is its class's smallest)."""
+    return _judged(docs, similarity, n, recall).select(
         "doc_id",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
@@ -205,8 +217,9 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, n: int = NGRAM
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each class does."""
-    gone = jaccard_join(docs, similarity).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    gone = _judged(docs, similarity, NGRAM, RECALL).filter("doc_id <> class_id or h <> class_h") \
+        .select(F.col("doc_id").alias("__copy_of"), F.col("h").alias("__copy_h")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["__copy_of"]) & (_hash() == gone["__copy_h"]), "left_anti")
 
 
 def op9_minhash_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

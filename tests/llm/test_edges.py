@@ -185,3 +185,12 @@ def test_lines_of_repeated_ids(docs_of):
         [(0, []), (0, []), (0, [3]), (7, [1]), (7, [1])]
     two = {r.text for r in lines.without_near_lines(docs_of([(7, f"x\n{b}"), (7, f"y\n{b}")])).collect()}
     assert two in ({f"x\n{b}", "y"}, {"x", f"y\n{b}"})
+
+
+def test_one_of_each_of_repeated_ids(docs_of):
+    """A text is not lost with another one of its doc_id."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (2, f"{a} more"), (2, b), (3, b), (4, f"{b}  "), (4, b)]
+    got = sorted((r.doc_id, r.text) for r in jaccard.one_of_each(docs_of(rows)).collect())
+    assert got == [(1, a), (2, b)]
+    assert [r.doc_id for r in jaccard.one_of_each(docs_of([(4, f"{b}  "), (4, b)])).collect()] == [4]
