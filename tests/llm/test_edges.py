@@ -194,3 +194,11 @@ def test_one_of_each_of_repeated_ids(docs_of):
     got = sorted((r.doc_id, r.text) for r in jaccard.one_of_each(docs_of(rows)).collect())
     assert got == [(1, a), (2, b)]
     assert [r.doc_id for r in jaccard.one_of_each(docs_of([(4, f"{b}  "), (4, b)])).collect()] == [4]
+
+
+def test_emptied_documents_leave_the_pipeline(sc, docs_of):
+    a, b = "a line that is the only one of its documents", "some other line that only one document has"
+    rows = [(1, a), (2, a), (3, f"{a}\n\n"), (4, f"{a}\n{b}"), (5, ""), (6, " \n"), (7, None)]
+    got = corpus_pipeline.drop_lines(sc, docs_of(rows), "").collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.text) == [(1, a), (4, b), (6, " \n")]
+    assert {r.doc_id for r in got} == {1, 4, 5, 6, 7}
