@@ -51,7 +51,7 @@ CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
 #: Characters of context that are looked at on each side.
 AROUND = 64
-#: An added identifier has this many characters at least, two digits among them.
+#: An added identifier has this many characters at least.
 LEAST = 5
 
 
@@ -68,16 +68,26 @@ def valid(kind: str, m: Column) -> Column:
 
 
 def _matches(text: Column, tag: int, pattern: str, gate: Column) -> Column:
-    """array of (kind, no, gap, match, ahead): each match, the text between it
-    and the match before it, and how the text goes on."""
+    """array of (kind, no, gap, match, tail, ahead): each match, the length of
+    the text between it and the match before it, and the text on both sides."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    row = lambda x, i: F.struct(
-        F.lit(tag).alias("kind"), i.alias("no"), F.get(x["gaps"], i).alias("gap"), F.get(x["found"], i).alias("match"),
-        F.substring(F.get(x["gaps"], i + 1), 1, AROUND).alias("ahead"))
+    def part(x, i, ahead):  # one end of a gap or match, blank beyond the text
+        return F.coalesce(F.substring(F.get(x, i), *((1, AROUND) if ahead else (-AROUND, AROUND))), F.lit(""))
+
+    def row(x, i):  # what stands around is read from the text, across the matches beside
+        gaps, found = x["gaps"], x["found"]
+        tail = F.concat(part(gaps, i - 1, False), part(found, i - 1, False), part(gaps, i, False))
+        # a part cut off at its end goes on elsewhere: nothing is read behind it
+        whole = F.length(F.get(gaps, i + 1)) <= AROUND
+        ahead = F.concat(part(gaps, i + 1, True), F.when(whole, F.concat(part(found, i + 1, True), F.when(
+            F.length(F.get(found, i + 1)) <= AROUND, part(gaps, i + 2, True)).otherwise(""))).otherwise(""))
+        return F.struct(F.lit(tag).alias("kind"), i.alias("no"), F.length(F.get(gaps, i)).alias("gap"), F.get(found, i).alias("match"),
+                        F.substring(tail, -AROUND, AROUND).alias("tail"), F.substring(ahead, 1, AROUND).alias("ahead"))
+
     both = F.struct(found.alias("found"), gaps.alias("gaps"))
     one = F.transform(F.array(both), lambda x: F.transform(x["found"], lambda _, i: row(x, i)))
-    none = F.array().cast("array<array<struct<kind:int,no:int,gap:string,match:string,ahead:string>>>")
+    none = F.array().cast("array<array<struct<kind:int,no:int,gap:int,match:string,tail:string,ahead:string>>>")
     return F.flatten(F.when(gate, one).otherwise(none))
 
 
@@ -92,8 +102,7 @@ def matches(docs: DataFrame) -> DataFrame:
     rows = docs.filter(digit | text.contains("@")).select("doc_id", "h", F.inline(F.concat(*parts))) \
         .dropDuplicates(["doc_id", "h", "kind", "no"])
     upto = Window.partitionBy("doc_id", "h", "kind").orderBy("no")
-    sized = rows.select("doc_id", "h", "kind", "no", "match", F.length("match").alias("size"), F.length("gap").alias("gap"),
-                        F.substring("gap", -AROUND, AROUND).alias("tail"), "ahead")
+    sized = rows.select("doc_id", "h", "kind", "no", "match", F.length("match").alias("size"), "gap", "tail", "ahead")
     return sized.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto).cast("int")).select(
         "doc_id", "h", "kind", "match", "tail", "ahead", (F.col("end") - F.col("size")).alias("start"), "end")
 
@@ -163,7 +172,7 @@ def spans(docs: DataFrame) -> DataFrame:
     found = stored(matches(docs))
     base = found.filter(_tests()).select("doc_id", "h", "kind", "start", "end", F.lit(False).alias("added"))
     cases = stored(instances(found))
-    able = (F.length("value") >= LEAST) & (F.length(F.regexp_replace("value", "[^0-9]", "")) >= 2)
+    able = F.length("value") >= LEAST
     added = cases.filter(F.col("seed").isNull() & able).join(bootstrap(cases), "value") \
         .select("doc_id", "h", "kind", "start", "end", F.lit(True).alias("added"))
     return base.union(added)

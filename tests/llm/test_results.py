@@ -98,6 +98,17 @@ def test_pii_discovers_from_context(docs_of):
     assert got[52].spans == "ip:8:16"
 
 
+def test_pii_context_is_the_text_beside(docs_of):
+    """Identifiers without digits are added, and a word beside with a digit is context too."""
+    rows = [(i, f"some words w{chr(97 + i)} id7: person{i}@mail{i}.example.com x9 here") for i in range(12)]
+    rows += [(50, "see id7: jane@intranet x9 there"), (51, "see jane@elsewhere z there")]
+    got = {r.doc_id: r for r in pii.personal_data(docs_of(rows)).collect()}
+    assert got[50].spans == "email:9:22" and got[50].n_added == 1
+    assert got[51].n_added == 0
+    cases = pii.instances(pii.matches(docs_of([(1, "a x1 y2 b")]).selectExpr("doc_id", "1 as h", "text"))).collect()
+    assert {r.value: r.patterns for r in cases} == {"x1": ["l a", "r y9", "b a y9"], "y2": ["l x9", "r b", "b x9 b"]}
+
+
 # --- op3
 
 def _distance(a, b):
