@@ -8,6 +8,7 @@ optimizer keeps them apart because the shared columns are not cheap.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -85,34 +86,39 @@ def validate(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def with_text(n: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """C1, C2, C3 (without its security arm, see ``decide``), C7
-    materialised once per row."""
-    staged = n.select(
-        *n.columns,
-        A.searchable_text("title", "description", "body").alias("text"),
-    )
-    return staged.select(
-        *staged.columns,
-        F.lower("text").alias("text_lower"),
-        A.body_duration_ms("body_v", rules, body_text="body").alias("duration_ms"),
-    ).select(
-        "*",
-        A.base_category("text_lower", rules, include_security=False).alias("base_category"),
+class _Columns(NamedTuple):
+    text: Column
+    duration: Column
+    category: Column
+    verdict: Column
+    source: Column
+
+
+@lru_cache(maxsize=16)
+def _columns(application: str, rules: Rules, for_gate: bool) -> _Columns:
+    """The rule columns, built once per application and rules: they name their
+    inputs, so one tree serves every frame, and building it takes seconds."""
+    needed = (F.col("severity") == "info") if for_gate else None
+    return _Columns(
+        A.searchable_text("title", "description", "body"),
+        A.body_duration_ms("body_v", rules, body_text="body"),
+        A.base_category("text_lower", rules, include_security=False),
+        A.decide("text", "text_lower", "duration_ms", "base_category", rules, severity_needed=needed),
+        S.derive_source("source", "body_v", "title", "text_lower", rules, body_text="body"),
     )
 
 
 def analysis(n: DataFrame, rules: Rules = DEFAULT_RULES, for_gate: bool = False) -> DataFrame:
     """Analysis of normalised records: adds ``verdict`` = struct(severity,
-    category, rule) and ``inferred_source``.  With ``for_gate`` the keyword
-    severity is only computed where the gate keeps it (header severity info)."""
-    t = with_text(n, rules)
-    needed = (F.col("severity") == "info") if for_gate else None
-    return t.select(
-        *n.columns,
-        A.decide("text", "text_lower", "duration_ms", "base_category", rules, severity_needed=needed).alias("verdict"),
-        S.derive_source("source", "body_v", "title", "text_lower", rules, body_text="body").alias("inferred_source"),
-    )
+    category, rule) and ``inferred_source``; the text, its lower case, the body
+    duration and the base category (without its security arm, see ``decide``)
+    are materialised once per row.  With ``for_gate`` the keyword severity is
+    only computed where the gate keeps it (header severity info)."""
+    c = _columns(n.sparkSession.sparkContext.applicationId, rules, for_gate)
+    t = n.select(*n.columns, c.text.alias("text")) \
+        .select("*", F.lower("text").alias("text_lower"), c.duration.alias("duration_ms")) \
+        .select("*", c.category.alias("base_category"))
+    return t.select(*n.columns, c.verdict.alias("verdict"), c.source.alias("inferred_source"))
 
 
 def gate(analysed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -53,7 +53,7 @@ def enriched(spark: SparkSession, sf: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf: str) -> DataFrame:
     """The stored log table: events enriched once per session, then scanned."""
-    return stored_logs(spark, f"logs:{sf}", lambda: enrich(AD.raw_logs(events(spark, sf))))
+    return stored_logs(spark, events(spark, sf), AD.raw_logs)
 
 
 def access(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,13 +61,11 @@ def access(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_logs(spark: SparkSession, sf: str) -> DataFrame:
-    return stored_logs(spark, f"documents:{sf}",
-                       lambda: enrich(AD.document_logs(AD.read_table(spark, sf, "documents"))))
+    return stored_logs(spark, AD.read_table(spark, sf, "documents"), AD.document_logs)
 
 
 def conversation_logs(spark: SparkSession, sf: str) -> DataFrame:
-    return stored_logs(spark, f"conversations:{sf}",
-                       lambda: enrich(AD.conversation_logs(AD.read_table(spark, sf, "conversations"))))
+    return stored_logs(spark, AD.read_table(spark, sf, "conversations"), AD.conversation_logs)
 
 
 # ---------------------------------------------------------------- SQL helpers

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from logspark.functions.analyze import escaped_json
+from logspark.functions.rules import DEFAULT_RULES, Rules
+from logspark.operators.enrich import enrich
 from logspark.schema import LOG_COLUMNS, LOGS
 from logspark.session import checkpoint_dir, staged
 
@@ -182,10 +184,12 @@ def inputs_of(df: DataFrame) -> tuple:
     return (df.semanticHash(), tuple(files))
 
 
-def derived_table(spark: SparkSession, key: str, build: Callable[[], DataFrame],
+def derived_table(spark: SparkSession, key: tuple, source: DataFrame, build: Callable[[DataFrame], DataFrame],
                   partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``build()`` into the shared folder and return a scan of it; an
-    application writes it once for the same plan over unchanged files.
+    """Write ``build(source)`` into the shared folder and return a scan of it.
+    An application builds and writes it once for the same ``key`` (what
+    ``build`` does, with its rules) over the same source plan and unchanged
+    files; later calls only look it up.
 
     This is where enrichment happens "at write time": queries then read the
     stored table, so their filters reach the Parquet scan (pushed filters,
@@ -193,9 +197,9 @@ def derived_table(spark: SparkSession, key: str, build: Callable[[], DataFrame],
     into - the enrichment projections.  The written table also cuts the
     lineage, so a lost executor never re-runs the enrichment.
     """
-    df = build()
-    k = (spark.sparkContext.applicationId, key, *inputs_of(df))
+    k = (spark.sparkContext.applicationId, key, *inputs_of(source))
     if k not in _WRITTEN:
+        df = build(source)
         path = f"{checkpoint_dir(spark)}/logspark-table-{uuid.uuid4().hex}"
         writer = df.write
         if partition_by:
@@ -212,7 +216,10 @@ def spread(df: DataFrame, partitions: int) -> DataFrame:
     return df.repartition(partitions)
 
 
-def stored_logs(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Enriched logs written once (partitioned by log_date) and scanned."""
-    df = derived_table(spark, key, lambda: build().select(*LOG_COLUMNS), ("log_date",))
+def stored_logs(spark: SparkSession, source: DataFrame, adapter: Callable[[DataFrame], DataFrame],
+                rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """The records that ``adapter`` makes of ``source``, enriched and written
+    once (partitioned by log_date), then scanned.  The table belongs to the
+    adapter, the rules and the source's files."""
+    df = derived_table(spark, ("logs", adapter, rules), source, lambda s: enrich(adapter(s), rules).select(*LOG_COLUMNS), ("log_date",))
     return df.select(*LOG_COLUMNS)

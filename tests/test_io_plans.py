@@ -14,7 +14,8 @@ from logspark.operators import metrics as M
 from logspark.operators import query as Q
 from logspark.operators import stats as S
 from logspark.operators.enrich import enrich, from_nested, ingest
-from logspark.schema import RAW_NESTED
+from logspark.plans import catalog
+from logspark.schema import LOG_COLUMNS, RAW_NESTED
 from logspark.sources import store as ST
 from logspark.sources.adapters import access_logs, raw_logs, read_table
 from tests.conftest import SF_SMALL
@@ -154,14 +155,29 @@ def test_enrich_splits_without_a_filter(spark):
 def test_derived_table_follows_its_input(spark, tmp_path):
     calls = []
 
-    def build():
-        return spark.read.parquet(f"{tmp_path}/in").withColumn("x", F.col("id") * 2)
+    def build(source):
+        calls.append(1)
+        return source.withColumn("x", F.col("id") * 2)
+
+    def table(key=("test",)):
+        return ST.derived_table(spark, key, spark.read.parquet(f"{tmp_path}/in"), build)
 
     spark.range(100).write.parquet(f"{tmp_path}/in")
-    a, b = (ST.derived_table(spark, "test", build) for _ in range(2))
-    assert a.inputFiles() == b.inputFiles() and a.count() == 100     # written once
+    a, b = table(), table()
+    assert a.inputFiles() == b.inputFiles() and a.count() == 100 and len(calls) == 1     # built and written once
     spark.range(5).write.mode("append").parquet(f"{tmp_path}/in")
-    assert ST.derived_table(spark, "test", build).count() == 105 and not calls
+    assert table().count() == 105 and len(calls) == 2
+    assert table(("other",)).inputFiles() != table().inputFiles()
+
+
+def test_stored_logs_build_no_enrichment_twice(spark, monkeypatch):
+    catalog.logs(spark, SF_SMALL)
+
+    def never(*_):
+        raise AssertionError("the table was written before")
+
+    monkeypatch.setattr(ST, "enrich", never)
+    assert catalog.logs(spark, SF_SMALL).columns == LOG_COLUMNS
 
 
 @pytest.mark.parametrize("merge", ["true", "false"])
