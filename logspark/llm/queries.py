@@ -12,6 +12,7 @@ from logspark.llm.jaccard import OP9_SQL, op9_minhash_jaccard_join
 from logspark.llm.lattice import OP4_SQL, op4_e8_lattice
 from logspark.llm.lines import op3_line_dedup
 from logspark.llm.lm import op10_attention_lm
+from logspark.llm.merkle import OP11_SQL, op11_merkle_manifest
 from logspark.llm.mixing import OP8_SQL, op8_weighted_mixing
 from logspark.llm.pii import op2_bootstrapped_pii
 from logspark.llm.quality import op1_importance_resampling
@@ -29,6 +30,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = (
     op1_importance_resampling, op2_bootstrapped_pii, op3_line_dedup, op4_e8_lattice, op5_bloom_cascade,
     op6_trie_bpe, op7_kd_tree_topk, op8_weighted_mixing, op9_minhash_jaccard_join, op10_attention_lm,
+    op11_merkle_manifest,
 )
 
 
@@ -40,5 +42,5 @@ def oracle_sql() -> dict[str, str]:
     """The others are beyond SQL; tests/llm holds them against brute force."""
     return {
         "op4_e8_lattice": OP4_SQL, "op5_bloom_cascade": OP5_SQL, "op7_kd_tree_topk": OP7_SQL,
-        "op8_weighted_mixing": OP8_SQL, "op9_minhash_jaccard_join": OP9_SQL,
+        "op8_weighted_mixing": OP8_SQL, "op9_minhash_jaccard_join": OP9_SQL, "op11_merkle_manifest": OP11_SQL,
     }
