@@ -18,6 +18,7 @@ from logspark.llm.pii import op2_bootstrapped_pii
 from logspark.llm.quality import op1_importance_resampling
 from logspark.llm.topk import OP7_SQL, op7_kd_tree_topk
 from logspark.llm.urls import OP5_SQL, op5_bloom_cascade
+from logspark.llm.warc import OP12_SQL, op12_capture_index
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,7 +31,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = (
     op1_importance_resampling, op2_bootstrapped_pii, op3_line_dedup, op4_e8_lattice, op5_bloom_cascade,
     op6_trie_bpe, op7_kd_tree_topk, op8_weighted_mixing, op9_minhash_jaccard_join, op10_attention_lm,
-    op11_merkle_manifest,
+    op11_merkle_manifest, op12_capture_index,
 )
 
 
@@ -43,4 +44,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_e8_lattice": OP4_SQL, "op5_bloom_cascade": OP5_SQL, "op7_kd_tree_topk": OP7_SQL,
         "op8_weighted_mixing": OP8_SQL, "op9_minhash_jaccard_join": OP9_SQL, "op11_merkle_manifest": OP11_SQL,
+        "op12_capture_index": OP12_SQL,
     }
