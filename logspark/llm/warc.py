@@ -55,6 +55,8 @@ ARCHIVE = 256 << 20     # bytes after which a task starts a new archive
 ENTRIES = 1024          # captures a block
 LEVEL = 4               # of zlib
 READ = 1 << 20          # bytes of an archive read at a time
+LOOKUPS = 50_000        # lookups a task
+FETCHED = 32 << 20      # bytes of archives a task
 HOT = 1000
 DATE = "1970-01-01T00:00:00Z"  # pages hold no time of capture
 
@@ -348,10 +350,13 @@ def lookup(index: Index, ranges: DataFrame) -> DataFrame:
     """The captures (key, archive, offset, length) whose key lies in one of the
     ``ranges`` (low, high); a capture in several of them comes several times."""
     shards = sorted((r.first, r.last, r.shard) for r in index.shards.select("first", "last", "shard").collect())  # a row a file
+    if not shards:
+        return ranges.sparkSession.createDataFrame([], ENTRY)
     dealt = stored(ranges.select("low", "high").mapInArrow(
         _dealt([s[0] for s in shards], [s[1] for s in shards], [s[2] for s in shards]), "shard string, low string, high string"))
     find = _found(index.folder)
-    return stored(dealt.repartitionByRange("shard", "low", "high").sortWithinPartitions("shard", "low", "high")
+    parts = -(-dealt.count() // LOOKUPS) or 1
+    return stored(dealt.repartitionByRange(parts, "shard", "low", "high").sortWithinPartitions("shard", "low", "high")
                   .mapInArrow(lambda batches: _merged(find(batches)), ENTRY))
 
 
@@ -392,7 +397,8 @@ def _fetched(folder: str, payload: bool):
 
 def fetch(captures: DataFrame, folder: str, payload: bool = True) -> DataFrame:
     """The records of ``captures`` (archive, offset, length)."""
-    return captures.select("archive", "offset", "length").repartitionByRange("archive", "offset") \
+    parts = -(-(captures.agg(F.sum("length")).first()[0] or 0) // FETCHED) or 1
+    return captures.select("archive", "offset", "length").repartitionByRange(parts, "archive", "offset") \
         .sortWithinPartitions("archive", "offset").mapInArrow(_fetched(folder, payload), RECORD)
 
 

@@ -28,7 +28,7 @@ def test_sql(sc, name):
 def test_all_registered():
     import __spark_entry__ as entry
 
-    names = [f"op{n}_" for n in range(1, 13)]
+    names = [f"op{n}_" for n in range(1, 14)]
     assert all(sum(q.startswith(n) for q in entry.queries()) == 1 for n in names)
     assert "pipeline" in entry.queries()
 
