@@ -101,17 +101,30 @@ def partition_days(spark, path: str) -> dict:
     return out
 
 
-def cleanup_table(spark, path: str, days: int = 90, as_of=None) -> dict:
+def publish_deletes(gone: DataFrame, feed: str) -> None:
+    """Append the ``log_deleted`` events of ``gone`` to the folder ``feed``.
+    They are written before the rows go: after a failure in between they may
+    come twice, and readers count an id once."""
+    from logspark.streaming.stream import change_feed
+
+    change_feed(gone.limit(0), gone).write.mode("append").parquet(feed)
+
+
+def cleanup_table(spark, path: str, days: int = 90, as_of=None, feed: str | None = None) -> dict:
     """H3 on a stored table: drop every ``log_date`` partition before the
     cutoff day (a directory delete, no data read) and rewrite only the
-    cutoff day itself.  Returns the H4 report as a dict."""
+    cutoff day itself.  Returns the H4 report as a dict.  With ``feed`` the
+    rows that go are read once and announced there."""
     from logspark.sources.store import finish_swaps, read_logs, replace_days
 
     finish_swaps(spark, path)
     cutoff = cutoff_for(days, as_of)
     c = as_timestamp(cutoff)
     logs = read_logs(spark, path)
-    deleted = logs.filter((F.col("log_date") <= F.lit(cutoff.date())) & (F.col("created_at") < c)).count()
+    old = logs.filter((F.col("log_date") <= F.lit(cutoff.date())) & (F.col("created_at") < c))
+    deleted = old.count()
+    if feed and deleted:
+        publish_deletes(old, feed)
     parts = partition_days(spark, path)
     fs, _ = _fs(spark, path)
     for d, p in parts.items():
@@ -125,18 +138,53 @@ def cleanup_table(spark, path: str, days: int = 90, as_of=None) -> dict:
     return {"deleted": deleted, "cutoff": cutoff, "days": days, "message": message}
 
 
-def delete_from_table(spark, path: str, ids: DataFrame, id_col: str = "id") -> dict:
-    """H2 on a stored table: rewrite only the days that hold a listed id."""
+def delete_from_table(spark, path: str, ids: DataFrame, id_col: str = "id", feed: str | None = None) -> dict:
+    """H2 on a stored table: rewrite only the days that hold a listed id; with
+    ``feed`` the deleted rows are announced there."""
     from logspark.sources.store import finish_swaps, read_logs, replace_days
 
     finish_swaps(spark, path)
     logs = read_logs(spark, path)
     wanted = staged(_wanted(ids, id_col), "wanted")     # the list may come from this very table
-    hit = logs.join(wanted, "id", "left_semi").groupBy("log_date").agg(F.count(F.lit(1)).alias("n"))
-    per_day = {r.log_date: r.n for r in hit.collect()}          # one row per affected day
+    gone = logs.join(wanted, "id", "left_semi")
+    per_day = {r.log_date: r.n for r in gone.groupBy("log_date").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row an affected day
     if per_day:
-        affected = list(per_day)
-        kept = logs.filter(F.col("log_date").isin(affected)).join(wanted, "id", "left_anti")
-        replace_days(spark, path, kept, affected)
+        if feed:
+            publish_deletes(_of_days(gone, per_day), feed)
+        kept = _of_days(logs, per_day).join(wanted, "id", "left_anti")
+        replace_days(spark, path, kept, list(per_day))
     deleted, requested = sum(per_day.values()), wanted.count()
     return {"requested": requested, "deleted": deleted, "missing": requested - deleted}
+
+
+def _of_days(logs: DataFrame, days) -> DataFrame:
+    own = F.col("log_date").isin([d for d in days if d is not None])
+    return logs.filter(own | F.col("log_date").isNull() if None in days else own)
+
+
+def delete_one_from_table(spark, path: str, log_id: int, feed: str | None = None) -> dict:
+    """H1 on a stored table: the id is looked up in the files (sorted, with
+    bloom filters), and the day that holds it is rewritten."""
+    from logspark.sources.store import finish_swaps, read_logs, replace_days
+
+    finish_swaps(spark, path)
+    logs = read_logs(spark, path)
+    gone = logs.filter(F.col("id") == F.lit(log_id))
+    days = [r.log_date for r in gone.select("log_date").collect()]      # the rows of one id
+    if days:
+        if feed:
+            publish_deletes(_of_days(gone, days), feed)
+        replace_days(spark, path, _of_days(logs, days).filter(~F.col("id").eqNullSafe(F.lit(log_id))), list(set(days)))
+    return {"id": log_id, "deleted": len(days), "found": bool(days)}
+
+
+def compact_table(spark, path: str, batches: int = 8) -> list:
+    """Rewrite the days whose rows lie in more than ``batches`` folders as
+    one batch each; returns these days.  The rows stay as they are."""
+    from logspark.sources.store import finish_swaps, folders, read_logs, replace_days
+
+    finish_swaps(spark, path)
+    days = sorted(d for d, at in partition_days(spark, path).items() if len(folders(spark, at, "batch=")) > batches)
+    if days:
+        replace_days(spark, path, _of_days(read_logs(spark, path), days), days)
+    return days

@@ -19,6 +19,16 @@ from logspark.functions.formatting import as_timestamp, epoch_micros, month_ago,
 from logspark.functions.rules import AGE_BUCKETS, DEFAULT_RULES, Rules
 
 ERROR_SEVERITIES = ("error", "critical")
+#: Column of rows that stand for several logs (see ``sources.rollup``).
+WEIGHT = "_logs"
+
+
+def _count(rows: DataFrame, cond: Column | None = None) -> Column:
+    """Number of logs (for which ``cond`` holds): rows, or the sum of their weights."""
+    if WEIGHT not in rows.columns:
+        return F.count(F.lit(1)) if cond is None else F.count_if(cond)
+    n = F.col(WEIGHT) if cond is None else F.when(cond, F.col(WEIGHT))
+    return F.coalesce(F.sum(n), F.lit(0))
 
 
 def _eff_sev() -> Column:
@@ -41,17 +51,17 @@ def since(logs: DataFrame, as_of, hours: int) -> DataFrame:
 
 def total(logs: DataFrame) -> DataFrame:
     """F1."""
-    return logs.agg(F.count(F.lit(1)).alias("total"))
+    return logs.agg(_count(logs).alias("total"))
 
 
 def last_24_hours(logs: DataFrame, as_of) -> DataFrame:
     """rows created at or after as_of - 24h (no upper bound)."""
-    return logs.agg(F.count_if(_recent(as_of)).alias("last_24_hours"))
+    return logs.agg(_count(logs, _recent(as_of)).alias("last_24_hours"))
 
 
 def severity_counts(logs: DataFrame) -> DataFrame:
     """count by effective severity."""
-    return logs.groupBy(_eff_sev().alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    return logs.groupBy(_eff_sev().alias("severity")).agg(_count(logs).alias("n"))
 
 
 def by_type(logs: DataFrame) -> DataFrame:
@@ -62,7 +72,7 @@ def by_type(logs: DataFrame) -> DataFrame:
 def source_counts(logs: DataFrame) -> DataFrame:
     """count by header source; NULL counted as 'unknown' (merged with a
     literal 'unknown')."""
-    return logs.groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    return logs.groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(_count(logs).alias("n"))
 
 
 def stats_long(logs: DataFrame, as_of) -> DataFrame:
@@ -71,11 +81,11 @@ def stats_long(logs: DataFrame, as_of) -> DataFrame:
     base = logs.select(
         _eff_sev().alias("sev"),
         F.coalesce("source", F.lit("unknown")).alias("src"),
-        _recent(as_of).cast("int").alias("recent"),
+        _recent(as_of).alias("recent"), *([WEIGHT] if WEIGHT in logs.columns else []),
     )
     agg = base.groupingSets([["sev"], ["src"], []], "sev", "src").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("recent").alias("n_recent"),
+        _count(base).alias("n"),
+        _count(base, F.col("recent")).alias("n_recent"),
         F.grouping_id().alias("gid"),
     )
     rows = F.when(F.col("gid") == 1, F.array(F.struct(F.lit("by_severity").alias("kind"), F.col("sev").alias("key"), F.col("n").alias("n")))) \
@@ -109,8 +119,7 @@ def stats_printout(logs: DataFrame, as_of) -> DataFrame:
 
 def error_rate(logs: DataFrame) -> DataFrame:
     """(error + critical) / total * 100 on the effective severity; 0 if empty."""
-    agg = logs.agg(F.count(F.lit(1)).alias("total"),
-                   F.count_if(_eff_sev().isin(*ERROR_SEVERITIES)).alias("errors"))
+    agg = logs.agg(_count(logs).alias("total"), _count(logs, _eff_sev().isin(*ERROR_SEVERITIES)).alias("errors"))
     return agg.select("total", "errors",
                       F.when(F.col("total") > 0, F.col("errors").cast("double") / F.col("total").cast("double") * 100.0)
                       .otherwise(F.lit(0.0)).alias("error_rate"))
@@ -142,22 +151,22 @@ def _bucket(as_of) -> Column:
     )
 
 
-def _bucket_counts(as_of) -> list[Column]:
+def _bucket_counts(rows: DataFrame, as_of) -> list[Column]:
     b = _bucket(as_of)
-    return [F.count_if(b == name).alias(name) for name in AGE_BUCKETS]
+    return [_count(rows, b == name).alias(name) for name in AGE_BUCKETS]
 
 
 def age_buckets(logs: DataFrame, as_of) -> DataFrame:
     """(bucket, n) for all five buckets, zero-filled, in display order."""
-    one = logs.agg(*_bucket_counts(as_of))
+    one = logs.agg(*_bucket_counts(logs, as_of))
     stack = ", ".join(f"{i}, '{b}', `{b}`" for i, b in enumerate(AGE_BUCKETS))
     return one.selectExpr(f"stack({len(AGE_BUCKETS)}, {stack}) AS (position, bucket, n)")
 
 
 def retention_info(logs: DataFrame, as_of) -> DataFrame:
     """total, last_24_hours and the five buckets in one aggregation."""
-    return logs.agg(F.count(F.lit(1)).alias("total"), F.count_if(_recent(as_of)).alias("last_24_hours"),
-                    *_bucket_counts(as_of))
+    return logs.agg(_count(logs).alias("total"), _count(logs, _recent(as_of)).alias("last_24_hours"),
+                    *_bucket_counts(logs, as_of))
 
 
 def by_color(logs: DataFrame) -> DataFrame:
@@ -168,8 +177,7 @@ def by_color(logs: DataFrame) -> DataFrame:
 
 def error_rate_24h(logs: DataFrame, as_of) -> DataFrame:
     """error share of the last 24 hours as percent text."""
-    agg = since(logs, as_of, 24).agg(F.count(F.lit(1)).alias("total"),
-                                     F.count_if(_eff_sev().isin(*ERROR_SEVERITIES)).alias("errors"))
+    agg = since(logs, as_of, 24).agg(_count(logs).alias("total"), _count(logs, _eff_sev().isin(*ERROR_SEVERITIES)).alias("errors"))
     rate = F.col("errors").cast("double") / F.col("total").cast("double") * 100.0
     return agg.select("total", "errors", F.when(F.col("total") > 0, percent_text(rate))
                       .otherwise(F.lit("0.00%")).alias("error_rate_24h"))

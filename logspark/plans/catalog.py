@@ -27,6 +27,8 @@ from logspark.operators.enrich import enrich, ingest
 from logspark.plans import oracle as O
 from logspark.sources import adapters as AD
 from logspark.session import checkpoint_dir
+from logspark.sources import rollup as RU
+from logspark.sources import search as TS
 from logspark.sources.store import append, assign_ids, inputs_of, read_logs, stored_logs
 
 AS_OF = "2024-01-29 12:00:00"
@@ -275,7 +277,7 @@ def _stream_running(spark, sf):
     return ST.run_available(ST.running_stats(feed), _fresh(spark, "running"), "update", ("kind", "key")).result
 
 
-def _windowed(counts, keys, count, windows, order, watermark):
+def _windowed(order, watermark, sliding=False):
     """A windowed count over the three parts, each its own micro-batch, with
     the number of rows that came too late in a column of its own."""
     def build(spark, sf):
@@ -284,10 +286,11 @@ def _windowed(counts, keys, count, windows, order, watermark):
         base, entered, result = _fresh(spark, "windows"), 0, None
         for i in order:
             _arriving(spark, sf, base, i)
-            result, more = ST.run_available(getattr(ST, counts)(enrich(AD.raw_logs(_arrived(spark, base))), watermark),
-                                            f"{base}/run", "update", keys)
+            result, more = ST.run_available(ST.hourly_counts(enrich(AD.raw_logs(_arrived(spark, base))), watermark),
+                                            f"{base}/run", "update", ("hour",))
             entered += more
-        return result.withColumn("dropped", F.lit(ST.not_counted(result, count, entered, windows)).cast("bigint"))
+        dropped = F.lit(ST.not_counted(result, "total", entered)).cast("bigint")
+        return (ST.sliding_day_counts(result) if sliding else result).withColumn("dropped", dropped)
     return build
 
 
@@ -365,13 +368,21 @@ def _stream_feed(spark, sf):
     return spark.read.parquet(f"{_ingested(spark, sf)}/run/feed").select("type", "id", "severity", "source", "created_at", "title", "data")
 
 
-def _store_maintained(spark, sf):
+_MAINTAINED: dict[tuple, str] = {}
+
+
+def _maintained(spark, sf):
     """One table: streamed into, appended to, deleted from, streamed into again,
-    expired, and a last run of the stream that finds nothing new."""
+    expired, and a last run of the stream that finds nothing new.  Deletes and
+    retention announce what they remove in ``deletes``.  Once per application
+    and input."""
     from logspark.streaming import stream as ST
 
+    key = (spark.sparkContext.applicationId, *inputs_of(events(spark, sf)))
+    if key in _MAINTAINED:
+        return _MAINTAINED[key]
     base = _fresh(spark, "maintained")
-    store = f"{base}/store"
+    store, feed = f"{base}/store", f"{base}/deletes"
     for i in range(3):
         _arriving(spark, sf, base, i)
         ST.ingest_stream(AD.raw_logs(_arrived(spark, base)), f"{base}/run", store)
@@ -380,10 +391,56 @@ def _store_maintained(spark, sf):
             append(extra.withColumn("id", -F.col("id") - 1), store)
         if i == 1:
             H.delete_from_table(spark, store, events(spark, sf).filter(F.col("event_type") == "error")
-                                .select(F.col("event_id").alias("id")))
-    H.cleanup_table(spark, store, 20, AS_OF)
+                                .select(F.col("event_id").alias("id")), feed=feed)
+    H.cleanup_table(spark, store, 20, AS_OF, feed=feed)
     ST.ingest_stream(AD.raw_logs(_arrived(spark, base)), f"{base}/run", store)
-    return read_logs(spark, store).select("id", "title", "created_at", "log_date")
+    _MAINTAINED[key] = base
+    return base
+
+
+def _table(spark, sf):
+    return f"{_maintained(spark, sf)}/store"
+
+
+def _store_maintained(spark, sf):
+    return read_logs(spark, _table(spark, sf)).select("id", "title", "created_at", "log_date")
+
+
+def _deletes_published(spark, sf):
+    return spark.read.parquet(f"{_maintained(spark, sf)}/deletes").select("type", "id", "severity", "source", "created_at", "data")
+
+
+GONE_ID = 500
+
+
+def _delete_one_stored(spark, sf):
+    """The report of one delete on a table of its own, next to what is left and
+    what was announced."""
+    base = _fresh(spark, "delete-one")
+    append(logs(spark, sf), f"{base}/store")
+    report = H.delete_one_from_table(spark, f"{base}/store", GONE_ID, feed=f"{base}/feed")
+    left = read_logs(spark, f"{base}/store").agg(F.count(F.lit(1)).alias("left"), F.count_if(F.col("id") == GONE_ID).alias("left_of_id"))
+    said = spark.read.schema("id long, severity string").parquet(f"{base}/feed").agg(
+        F.count(F.lit(1)).alias("announced"), F.max("severity").alias("severity"))
+    return left.join(F.broadcast(said)).select(F.lit(report["id"]).cast("bigint").alias("id"), F.lit(report["deleted"]).cast("bigint").alias("deleted"),
+                                               F.lit(report["found"]).alias("found"), "left", "left_of_id", "announced", "severity")
+
+
+def _live(order):
+    """Running statistics over the three parts; the deletes of error events
+    hold an id and a time alone and arrive in the opposite order."""
+    def build(spark, sf):
+        from logspark.streaming import stream as ST
+
+        base, out = _fresh(spark, "live"), None
+        for i in order:
+            _arriving(spark, sf, base, i)
+            _arriving(spark, sf, base, 2 - i, "deletes")
+            gone = _arrived(spark, base, "deletes").select(
+                F.col("event_id").alias("id"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.floor("value").cast("int"))).alias("deleted_at"))
+            out = ST.live_stats(enrich(AD.raw_logs(_arrived(spark, base))), gone, f"{base}/run", "40 days", "90 days")
+        return out
+    return build
 
 
 def _nested_ingest(spark, sf):
@@ -700,6 +757,46 @@ SELECT second, count(*) AS sent, count(*) FILTER (WHERE status >= 400) AS errors
   SELECT id, title, created_at, log_date FROM logs WHERE NOT (id IN {deleted_ids} AND created_at < {ts(CUTS[1])})
   UNION ALL SELECT -id - 1, title, created_at, log_date FROM logs WHERE id IN (SELECT event_id FROM events WHERE event_type = 'view'))
 SELECT * FROM t WHERE created_at >= {ts('2024-01-09 12:00:00')}"""), "A9 A10 H2 H3 (one table)")
+    table_sql = f""", t AS (
+  SELECT * FROM logs WHERE NOT (id IN {deleted_ids} AND created_at < {ts(CUTS[1])})
+  UNION ALL SELECT * REPLACE (-id - 1 AS id) FROM logs WHERE id IN (SELECT event_id FROM events WHERE event_type = 'view')),
+m AS (SELECT * FROM t WHERE created_at >= {ts('2024-01-09 12:00:00')})"""
+    odd = "2024-01-28 17:23:45.678901"      # cuts hours in two
+    reg("store_deletes_feed", _deletes_published, O.with_logs(table_sql + f"""
+SELECT 'log_deleted' AS type, id, {EFF} AS severity, source, created_at, '{{"id":' || id || '}}' AS data FROM (
+  SELECT * FROM t WHERE created_at < {ts('2024-01-09 12:00:00')}
+  UNION ALL SELECT * FROM logs WHERE id IN {deleted_ids} AND created_at < {ts(CUTS[1])})"""), "J2 H2 H3 (announced deletes)")
+    reg("store_delete_one", _delete_one_stored, O.with_logs(f"""SELECT CAST({GONE_ID} AS BIGINT) AS id, count(*) FILTER (WHERE id = {GONE_ID}) AS deleted,
+  count(*) FILTER (WHERE id = {GONE_ID}) > 0 AS found, count(*) FILTER (WHERE id <> {GONE_ID}) AS "left", CAST(0 AS BIGINT) AS left_of_id,
+  count(*) FILTER (WHERE id = {GONE_ID}) AS announced, max({EFF}) FILTER (WHERE id = {GONE_ID}) AS severity FROM logs"""), "H1 A11 J2 (stored table)")
+    reg("rollup_severity_counts", lambda s, sf: S.severity_counts(RU.rolled(s, _table(s, sf))),
+        O.with_logs(table_sql + f"SELECT {EFF} AS severity, count(*) AS n FROM m GROUP BY 1"), "F3 F12 (rollup)")
+    reg("rollup_stats_bundle", lambda s, sf: S.stats_long(RU.rolled(s, _table(s, sf), RU.day_ago(odd)), odd),
+        O.with_logs(table_sql + f"""SELECT 'total' AS kind, CAST(NULL AS VARCHAR) AS key, count(*) AS n FROM m
+UNION ALL SELECT 'last_24_hours', NULL, count(*) FILTER (WHERE created_at >= {ts(odd)} - INTERVAL 24 HOUR) FROM m
+UNION ALL SELECT 'by_severity', {EFF}, count(*) FROM m GROUP BY 2
+UNION ALL SELECT 'by_source', coalesce(source, 'unknown'), count(*) FROM m GROUP BY 2"""), "F1 F2 F4 F5 (rollup)")
+    reg("rollup_retention_info", lambda s, sf: S.retention_info(RU.rolled(s, _table(s, sf), RU.bucket_bounds(odd)), odd),
+        O.with_logs(table_sql + f""", b AS (SELECT created_at, {bucket_sql(odd)} AS bucket FROM m)
+SELECT count(*) AS total, count(*) FILTER (WHERE created_at >= {ts(odd)} - INTERVAL 24 HOUR) AS last_24_hours,
+  {', '.join(f"count(*) FILTER (WHERE bucket = '{x}') AS {x}" for x in AGE_BUCKETS)} FROM b"""), "F9 F10 (rollup)")
+    reg("indexed_search_page", lambda s, sf: Q.page(TS.search_table(s, _table(s, sf), Q.LogFilter(search="Failed")), 50),
+        O.with_logs(table_sql + f"SELECT {cols} FROM m WHERE {search_sql('Failed')} {NEWEST} LIMIT 50"), "E1 E9 (trigram index)")
+    reg("indexed_search_total", lambda s, sf: Q.total(TS.search_table(s, _table(s, sf), Q.LogFilter(search="de_dlock%", from_="2024-01-12 06:30:00"))),
+        O.with_logs(table_sql + f"SELECT count(*) AS total FROM m WHERE {search_sql('de_dlock%')} AND created_at >= {ts('2024-01-12 06:30:00')}"),
+        "E1 E5 E13 (trigram index)")
+    reg("deep_page", lambda s, sf: TS.deep_page(s, _table(s, sf), 40, 400),
+        O.with_logs(table_sql + f"SELECT {cols} FROM m {NEWEST} LIMIT 40 OFFSET 400"), "E9 E10 E12 E14 (by days)")
+    live_sql = O.with_logs(f""", k AS (SELECT * FROM logs WHERE id NOT IN {deleted_ids}), c AS (
+  SELECT 'total' AS kind, CAST(NULL AS VARCHAR) AS key, count(*) AS n FROM k
+  UNION ALL SELECT 'by_severity', sev, count(k.id) FROM (SELECT DISTINCT {EFF} AS sev FROM logs) s LEFT JOIN k ON {EFF} = sev GROUP BY sev
+  UNION ALL SELECT 'by_source', src, count(k.id) FROM (SELECT DISTINCT coalesce(source, 'unknown') AS src FROM logs) s
+    LEFT JOIN k ON coalesce(source, 'unknown') = src GROUP BY src
+  UNION ALL SELECT 'recent', NULL, count(*) FROM k WHERE created_at >= (SELECT max(created_at) FROM logs) - INTERVAL 24 HOUR)
+SELECT kind, key, n, CAST(NULL AS DOUBLE) AS rate FROM c
+UNION ALL SELECT 'error_rate', NULL, NULL, CAST(count(*) FILTER (WHERE {EFF} IN ('error', 'critical')) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0 FROM k""")
+    reg("stream_live_stats", _live((0, 1, 2)), live_sql, "J2 J3 (deletes by id)")
+    reg("stream_live_stats_newest_first", _live((2, 0, 1)), live_sql, "J2 J3 (out of order)")
     reg("stream_running_stats", _stream_running, O.with_logs(f"""SELECT 'total' AS kind, CAST(NULL AS VARCHAR) AS key, count(*) AS n
   FROM logs WHERE id NOT IN {deleted_ids}
 UNION ALL SELECT 'by_severity', {EFF}, count(*) FROM logs WHERE id NOT IN {deleted_ids} GROUP BY 2
@@ -715,10 +812,10 @@ UNION ALL SELECT DISTINCT 'by_source', coalesce(source, 'unknown'), 0 FROM logs
   date_trunc('hour', created_at) - to_hours(k) + INTERVAL 24 HOUR AS window_end, count(*) AS n, CAST(0 AS BIGINT) AS dropped
 FROM logs, range(24) r(k) GROUP BY 1, 2""")
     late = "40 days"  # longer than the events are apart
-    reg("stream_hourly_counts", _windowed("hourly_counts", ("hour",), "total", 1, (0, 1, 2), "2 hours"), hourly_sql, "J7")
-    reg("stream_hourly_counts_newest_first", _windowed("hourly_counts", ("hour",), "total", 1, (2, 1, 0), late), hourly_sql, "J7 (out of order)")
-    reg("stream_sliding_day_counts", _windowed("sliding_day_counts", ("window_start",), "n", 24, (0, 1, 2), "2 hours"), sliding_sql, "J8")
-    reg("stream_sliding_newest_first", _windowed("sliding_day_counts", ("window_start",), "n", 24, (2, 0, 1), late), sliding_sql,
+    reg("stream_hourly_counts", _windowed((0, 1, 2), "2 hours"), hourly_sql, "J7")
+    reg("stream_hourly_counts_newest_first", _windowed((2, 1, 0), late), hourly_sql, "J7 (out of order)")
+    reg("stream_sliding_day_counts", _windowed((0, 1, 2), "2 hours", sliding=True), sliding_sql, "J8")
+    reg("stream_sliding_newest_first", _windowed((2, 0, 1), late, sliding=True), sliding_sql,
         "J8 (out of order)")
     reg("stream_ring_buffer", _stream_ring, f"""WITH a AS ({O.access_logs_sql()}),
 r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, id DESC) AS rn FROM a)

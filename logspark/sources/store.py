@@ -58,36 +58,52 @@ def assign_ids(df: DataFrame, start_after: int = 0, order=("created_at",)) -> Da
         .drop("_range", "_tie", "_place", "_before")
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     """(file system, Path class) that hold ``path``."""
     make = spark._jvm.org.apache.hadoop.fs.Path
     return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, make = _hadoop(spark, path)
+    fs, make = hadoop(spark, path)
     return fs.exists(make(path))
 
 
 def folders(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
     """Sub-folders of ``path`` whose name starts with ``prefix``: their names
     after the prefix, or whole paths without one."""
-    fs, make = _hadoop(spark, path)
+    fs, make = hadoop(spark, path)
     if not fs.exists(make(path)):
         return []
     found = [st.getPath() for st in fs.listStatus(make(path)) if st.isDirectory() and not st.getPath().getName().startswith("_")]
     return [f.getName()[len(prefix):] for f in found if f.getName().startswith(prefix)] if prefix else [f.toString() for f in found]
 
 
+def drop_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders that nothing reads any more."""
+    for path in paths:
+        fs, make = hadoop(spark, path)
+        if fs.exists(make(path)):
+            fs.delete(make(path), True)
+
+
 def epochs(spark: SparkSession, path: str, prefix: str = "batch=") -> list[int]:
     """Batch ids with a completed folder below ``path``, in order."""
     return sorted(int(e) for e in folders(spark, path, prefix) if exists(spark, f"{path}/{prefix}{e}/_SUCCESS"))
 
 
+#: Rows after which a task starts a new file: what a search or lookup skips or reads.
+FILE_ROWS = 1_000_000
+
+
 def _write(logs: DataFrame, path: str, batch: str, mode: str) -> None:
     """Rows of one batch, rebalanced by day: a day's rows meet in few files,
-    and adaptive execution splits a heavy day."""
-    (logs.select(*LOG_COLUMNS).hint("rebalance", "log_date").withColumn("batch", F.lit(batch)).write.mode(mode)
+    and adaptive execution splits a heavy day.  Files are sorted by id and hold
+    Parquet's bloom filter of their ids, so a lookup skips the others."""
+    (logs.select(*LOG_COLUMNS).hint("rebalance", "log_date").sortWithinPartitions("log_date", "id")
+     .withColumn("batch", F.lit(batch)).write.mode(mode)
+     .option("maxRecordsPerFile", FILE_ROWS).option("parquet.bloom.filter.enabled#id", "true")
+     .option("parquet.bloom.filter.adaptive.enabled", "true")
      .option("partitionOverwriteMode", "dynamic").partitionBy("log_date", "batch").parquet(path))
 
 
@@ -104,7 +120,7 @@ def append_once(logs: DataFrame, path: str, writer: str, epoch: int) -> str:
     also when its rows have been deleted or compacted since."""
     spark = logs.sparkSession
     finish_swaps(spark, path)
-    fs, make = _hadoop(spark, path)
+    fs, make = hadoop(spark, path)
     batch = f"s-{writer}-{epoch}"
     done = make(f"{path}/_committed/{batch}")
     if not fs.exists(done):
@@ -120,7 +136,7 @@ def replace_days(spark: SparkSession, path: str, kept: DataFrame, days: list) ->
     it out.  A failure before the mark changes nothing; after it, the next
     write finishes the swap.  Folders that other batches add meanwhile stay.
     One maintenance job at a time."""
-    fs, make = _hadoop(spark, path)
+    fs, make = hadoop(spark, path)
     old = [st.getPath().toString() for d in days if fs.exists(make(f"{path}/log_date={d}"))
            for st in fs.listStatus(make(f"{path}/log_date={d}")) if st.isDirectory()]
     aside = f"{path}/_swap-{uuid.uuid4().hex}"
@@ -134,7 +150,7 @@ def replace_days(spark: SparkSession, path: str, kept: DataFrame, days: list) ->
 
 def finish_swaps(spark: SparkSession, path: str) -> None:
     """Carry out the swaps that are marked as ready; each step can be repeated."""
-    fs, make = _hadoop(spark, path)
+    fs, make = hadoop(spark, path)
     if not fs.exists(make(path)):
         return
     for st in fs.listStatus(make(path)):
@@ -178,7 +194,7 @@ def inputs_of(df: DataFrame) -> tuple:
     spark = df.sparkSession
     files = []
     for f in sorted(df.inputFiles()):
-        fs, make = _hadoop(spark, f)
+        fs, make = hadoop(spark, f)
         st = fs.getFileStatus(make(f))
         files.append((f, st.getModificationTime(), st.getLen()))
     return (df.semanticHash(), tuple(files))

@@ -31,11 +31,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logspark.functions import normalize as N
 from logspark.functions.analyze import escaped_json
-from logspark.functions.formatting import utc_instant, utc_wall_clock
+from logspark.functions.formatting import trunc_ntz, utc_instant, utc_wall_clock
 from logspark.operators.enrich import ingest_marked
 from logspark.operators.query import event_columns
 from logspark.schema import LOGS, RAW_FLAT
-from logspark.sources.store import append_once, epochs, exists, folders
+from logspark.sources.store import append_once, drop_folders, epochs, exists, folders
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -111,6 +111,25 @@ def change_feed(created: DataFrame, deleted: DataFrame | None = None) -> DataFra
     return c if deleted is None else c.unionByName(_deleted_events(deleted))
 
 
+def resolved_deletes(created: DataFrame, deletes: DataFrame, watermark: str, horizon: str) -> DataFrame:
+    """The created record of every delete in ``deletes`` (id, deleted_at),
+    whichever of the two arrives first: id, derived_severity, severity, source
+    and created_at, as ``change_feed`` takes them for deleted rows.
+
+    A stream-stream join: a delete is looked for among the logs created at
+    most ``horizon`` before it, so state is dropped once the watermark is past
+    that; ids deleted again meanwhile count once, and ids that were never
+    created find nothing.
+    """
+    logs = with_event_time(created).withWatermark("event_time", watermark) \
+        .select("id", "event_time", "derived_severity", "severity", "source", "created_at")
+    gone = deletes.select(F.col("id").cast("bigint").alias("gone_id"), utc_instant(F.col("deleted_at")).alias("gone_time")) \
+        .withWatermark("gone_time", watermark).dropDuplicatesWithinWatermark(["gone_id"])
+    within = (F.col("id") == F.col("gone_id")) & (F.col("gone_time") >= F.col("event_time")) \
+        & (F.col("gone_time") <= F.col("event_time") + F.expr(f"INTERVAL {horizon}"))
+    return logs.join(gone, within).select("id", "derived_severity", "severity", "source", "created_at")
+
+
 def feed_kafka_shape(feed: DataFrame) -> DataFrame:
     """(key, value) JSON records for a message-bus sink."""
     return feed.select(F.col("id").cast("string").alias("key"),
@@ -151,13 +170,18 @@ def hourly_counts(logs: DataFrame, watermark: str) -> DataFrame:
     ).select(utc_wall_clock(F.col("w.start")).alias("hour"), "total", "errors")
 
 
-def sliding_day_counts(logs: DataFrame, watermark: str) -> DataFrame:
-    """Rows in every 24-hour window sliding by one hour."""
-    s = _entering(with_event_time(logs)).withWatermark("event_time", watermark)
-    return s.groupBy(F.window("event_time", "24 hours", "1 hour").alias("w")).agg(
-        F.count(F.lit(1)).alias("n")
-    ).select(utc_wall_clock(F.col("w.start")).alias("window_start"),
-             utc_wall_clock(F.col("w.end")).alias("window_end"), "n")
+#: Hourly panes that a 24-hour window is made of.
+PANES = 24
+
+
+def sliding_day_counts(panes: DataFrame) -> DataFrame:
+    """Rows in every 24-hour window sliding by one hour, from the panes of
+    ``hourly_counts``.  The stream keeps one count an hour; each pane enters
+    its 24 windows here, where it is read."""
+    start = F.explode(F.transform(F.sequence(F.lit(0), F.lit(PANES - 1)),
+                                  lambda k: F.col("hour") - F.make_dt_interval(F.lit(0), k))).alias("window_start")
+    return panes.select(start, "total").groupBy("window_start").agg(F.sum("total").alias("n")) \
+        .select("window_start", (F.col("window_start") + F.expr(f"INTERVAL {PANES} HOURS")).alias("window_end"), "n")
 
 
 def progress(access: DataFrame, watermark: str) -> DataFrame:
@@ -417,6 +441,92 @@ def stats_snapshots(logs: DataFrame, base: str) -> DataFrame:
     return spark.read.schema(T.StructType.fromDDL(SNAPSHOT).add("batch", T.LongType())).parquet(out)
 
 
+LIVE = "kind string, key string, n long, rate double"
+_RING = "kind string, key string, at timestamp_ntz, n long"
+
+
+def live_stats(created: DataFrame, deletes: DataFrame, base: str, watermark: str, horizon: str, hours: int = 24) -> DataFrame:
+    """Running total, counts by effective severity and by source, ``recent``
+    (logs of the last ``hours`` before the newest one) and the error rate, after
+    everything available now; deletes hold an id and their time alone.
+
+    Created records and resolved deletes are signed rows.  Every micro-batch
+    adds its rows to the counters and to a ring of hourly slots that the state
+    before it held, and writes the new state under its batch id: counters, at
+    most ``hours`` + 1 slots up to the newest log, and the newest time.  A slot
+    that falls out of the ring takes its rows out of ``recent``.  The slot that
+    the window begins in is counted row by row, from a table of times that is
+    kept by hour for as long as the ring reaches.  Rows that arrive after they
+    have left the window only enter the counters.  A replayed batch writes its
+    own folders again.
+    """
+    spark = created.sparkSession
+    state, times = f"{base}/live", f"{base}/times"
+    signed = ("id", "derived_severity", "severity", "source", "created_at")
+    feed = created.select(*signed).withColumn("n", F.lit(1)).unionByName(
+        resolved_deletes(created, deletes, watermark, horizon).withColumn("n", F.lit(-1)))
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        hour = trunc_ntz("created_at", "hour")
+        empty = F.lit(None).cast("timestamp_ntz")
+        now = batch.select(F.explode(F.array(*(
+            F.struct(F.lit(kind).alias("kind"), key.alias("key"), at.alias("at")) for kind, key, at in (
+                ("total", F.lit(None).cast("string"), empty), ("by_severity", N.effective_severity(), empty),
+                ("by_source", F.coalesce("source", F.lit("unknown")), empty), ("slot", F.lit(None).cast("string"), hour))))).alias("k"), "n") \
+            .select("k.kind", "k.key", "k.at", F.col("n").cast("long").alias("n"))
+        newest = batch.agg(F.max(F.when(F.col("n") > 0, F.col("created_at"))).alias("m")).first().m
+        before = f"{state}/epoch={epoch - 1}"
+        if epoch and exists(spark, before):
+            held = spark.read.schema(_RING).parquet(before)
+            last = held.filter("kind = 'newest'").select("at").first().at
+            newest = max(filter(None, (newest, last)), default=None)
+            now = now.union(held.filter("kind != 'newest'"))
+        counted = now.groupBy("kind", "key", "at").agg(F.sum("n").alias("n"))
+        if newest is not None:
+            edge = newest - _dt.timedelta(hours=hours)
+            first = edge.replace(minute=0, second=0, microsecond=0)
+            counted = counted.filter((F.col("kind") != "slot") | (F.col("at") >= F.lit(first)))
+            batch.filter(F.col("created_at") >= F.lit(edge)).groupBy("created_at", F.translate(F.substring(F.col("created_at").cast("string"), 1, 13), "- ", "").alias("hour")) \
+                .agg(F.sum("n").alias("n")).withColumn("epoch", F.lit(epoch)) \
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "epoch").parquet(times)
+            drop_folders(spark, [f"{times}/hour={h}" for h in folders(spark, times, "hour=") if h < first.strftime("%Y%m%d%H")])
+        mark = spark.createDataFrame([("newest", None, newest, None)], _RING)
+        counted.union(mark).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+        drop_folders(spark, [f"{state}/epoch={epoch - 2}"])     # what a replay of the next batch cannot need
+        batch.unpersist()
+
+    _run(feed, base, "append", sink)
+    return live_of(spark, base, hours)
+
+
+def live_of(spark: SparkSession, base: str, hours: int = 24) -> DataFrame:
+    """The newest state that ``live_stats`` has written: (kind, key, n, rate)."""
+    done = epochs(spark, f"{base}/live", "epoch=")
+    if not done:
+        return spark.createDataFrame([], LIVE)
+    held = spark.read.schema(_RING).parquet(f"{base}/live/epoch={done[-1]}")
+    newest = held.filter("kind = 'newest'").select("at").first().at
+    recent = held.limit(0).agg(F.sum("n").alias("n"))
+    if newest is not None:
+        edge = newest - _dt.timedelta(hours=hours)
+        first = edge.replace(minute=0, second=0, microsecond=0)
+        recent = held.filter((F.col("kind") == "slot") & (F.col("at") > F.lit(first))).select("n")
+        at = f"{base}/times/hour={first:%Y%m%d%H}"
+        if exists(spark, at):
+            recent = recent.union(spark.read.schema("created_at timestamp_ntz, n long").parquet(at)
+                                  .filter(F.col("created_at") >= F.lit(edge)).select("n"))
+    none, floor = F.lit(None), F.greatest(F.col("n"), F.lit(0)).cast("long")
+    counters = held.filter(F.col("kind").isin("total", "by_severity", "by_source")).select("kind", "key", floor.alias("n"))
+    errors = F.coalesce(F.sum(F.when((F.col("kind") == "by_severity") & F.col("key").isin(*ERRORS), F.col("n"))), F.lit(0))
+    whole = F.max(F.when(F.col("kind") == "total", F.col("n")))
+    rate = counters.agg(F.when(whole > 0, errors.cast("double") / whole.cast("double") * 100.0).otherwise(F.lit(0.0)).alias("rate"))
+    return counters.select("kind", "key", "n", none.cast("double").alias("rate")) \
+        .unionByName(recent.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+                     .select(F.lit("recent").alias("kind"), none.cast("string").alias("key"), floor.alias("n"), none.cast("double").alias("rate"))) \
+        .unionByName(rate.select(F.lit("error_rate").alias("kind"), none.cast("string").alias("key"), none.cast("long").alias("n"), "rate"))
+
+
 def ingest_stream(raw: DataFrame, base: str, store_path: str, writer: str = "stream") -> None:
     """A10 + I5: everything available now goes through the enrichment once;
     accepted records are appended to the store, rejected ones (with the reason)
