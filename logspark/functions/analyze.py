@@ -8,6 +8,8 @@ as the rule engine being reproduced, without any Python in the row path.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,10 @@ HTTP_STATUS_GUARDS = (
 )
 
 
+#: One of them must be in the text for a service token to be.
+SERVICE_MARKS = ("-service", "_service")
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -46,8 +52,84 @@ def shortest(patterns) -> list[str]:
     return [p for p in ps if not any(o != p and o in p for o in ps)]
 
 
+class Found:
+    """Which groups of words a text contains something of, found in one pass.
+
+    ``any`` and ``contains`` give each group that is asked for a bit, and test
+    it in the column ``name``.  ``captured`` lists words: one regular expression,
+    a trie of all words inside a lookahead, captures at every place of the text
+    the longest word that begins there.  Shorter words that begin a captured one
+    are in the text as well, and words that begin elsewhere are captured at
+    their own place, so each captured word sets the bits of all groups that hold
+    a beginning of it: ``bits`` makes the column of a column of captured words.
+    """
+
+    BITS = 62
+
+    def __init__(self, name: str = "found") -> None:
+        self.name = name
+        self.groups: dict[tuple[str, ...], int] = {}
+
+    def any(self, words) -> Column:
+        bit = self.groups.setdefault(tuple(shortest(words)), len(self.groups))
+        mask = F.get(F.col(self.name), F.lit(bit // self.BITS))
+        return mask.bitwiseAND(F.lit(1 << bit % self.BITS).cast("bigint")) != 0
+
+    def contains(self, word: str) -> Column:
+        return self.any([word])
+
+    def _words(self) -> list[str]:
+        return sorted({w for group in self.groups for w in group})
+
+    def captured(self, text) -> Column:
+        """The distinct words, of all groups asked for so far."""
+        return F.array_distinct(F.regexp_extract_all(_col(text), F.lit(f"(?=({_trie(self._words(), 6)}))"), F.lit(1)))
+
+    def bits(self, captured) -> Column:
+        """array<bigint> of captured words, to be the column ``name``."""
+        masks = []
+        for i in range(0, len(self.groups), self.BITS):
+            own = {g: 1 << b - i for g, b in self.groups.items() if i <= b < i + self.BITS}
+            words = {w: sum(m for g, m in own.items() if w.startswith(g)) for w in self._words()}
+            words = {w: m for w, m in words.items() if m}
+            table = F.map_from_arrays(F.split(F.lit("\x1f".join(words)), "\x1f"),
+                                      F.split(F.lit("\x1f".join(map(str, words.values()))), "\x1f").cast("array<bigint>"))
+            masks.append(F.aggregate(_col(captured), _no_bits(), _setting(table)))
+        return F.array(*masks)
+
+
+def _no_bits() -> Column:
+    return F.lit(0).cast("bigint")
+
+
+def _setting(table: Column):
+    return lambda mask, word: mask.bitwiseOR(F.coalesce(F.try_element_at(table, word), _no_bits()))
+
+
+def _quoted(char: str) -> str:
+    return char if char.isalnum() else "\\" + char
+
+
+def _trie(words, chunk: int = 0) -> str:
+    """A regular expression for the longest of the words that fits here;
+    with ``chunk``, so many first letters at a time are tried behind a class."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        by_first.setdefault(w[:1], []).append(w[1:])
+    ends = by_first.pop("", None) is not None
+    arms = [_quoted(first) + _trie(rest) for first, rest in by_first.items()]
+    if chunk:
+        firsts = [_quoted(f) for f in by_first]
+        arms = [f"(?=[{''.join(firsts[i:i + chunk])}])(?:{'|'.join(arms[i:i + chunk])})" for i in range(0, len(arms), chunk)]
+    whole = arms[0] if len(arms) == 1 and not ends else f"(?:{'|'.join(arms)})" if arms else ""
+    return whole + "?" if ends and arms else whole
+
+
 def contains_any(text, patterns) -> Column:
-    """True when ``text`` contains at least one of the literal patterns."""
+    """True when ``text`` (a column, or what is ``Found`` in it) contains at
+    least one of the literal patterns."""
+    if isinstance(text, Found):
+        return text.any(patterns)
     t = _col(text)
     out = None
     for p in shortest(patterns):
@@ -59,8 +141,14 @@ def contains_any(text, patterns) -> Column:
 def first_match(text, pairs, wrap=None) -> Column:
     """Value of the first ``(pattern, value)`` pair whose pattern ``text``
     contains, in declaration order; NULL when none does."""
-    t = _col(text)
     out = None
+    if isinstance(text, Found):
+        for value, run in groupby(pairs, key=lambda p: p[1]):     # order counts between different values
+            v = wrap(value) if wrap is not None else F.lit(value)
+            hit = text.any([p for p, _ in run])
+            out = F.when(hit, v) if out is None else out.when(hit, v)
+        return out if out is not None else F.lit(None)
+    t = _col(text)
     seen: list[str] = []
     for pattern, value in pairs:
         if any(o in pattern for o in seen):
@@ -232,8 +320,8 @@ def decide(text="text", text_lower="text_lower", duration_ms="duration_ms", cate
            rules: Rules = DEFAULT_RULES, severity_needed=None) -> Column:
     """The ordered cascade; returns struct(severity, category, rule).
 
-    Expects the searchable text, its lower-case form, the body duration
-    (``body_duration_ms``) and the base category as already materialised
+    Expects the searchable text, its lower-case form (or what is ``Found`` in
+    it), the body duration (``body_duration_ms``) and the base category as already materialised
     columns, so nothing below is evaluated twice.
 
     ``severity_needed`` (a boolean column) skips the keyword-severity scan

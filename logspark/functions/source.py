@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logspark.functions.analyze import contains_any
+from logspark.functions.analyze import SERVICE_MARKS, Found, contains_any
 from logspark.functions.rules import DEFAULT_RULES, SERVICE_TOKEN_TRIM, Rules
 
 # Unicode White_Space, the set Go's strings.TrimSpace / strings.Fields use.
@@ -80,22 +80,22 @@ def smart_source(text_lower, rules: Rules = DEFAULT_RULES) -> Column:
     return out
 
 
-def service_token(text_lower) -> Column:
+def service_token(text_lower, found=None) -> Column:
     """First blank-separated token containing -service / _service,
     surrounding punctuation trimmed (the regex only runs when one of the
     two strings occurs)."""
     t = _col(text_lower)
     token = F.nullif(F.regexp_extract(t, _SERVICE_TOKEN, 1), F.lit(""))
-    return F.when(t.contains("-service") | t.contains("_service"), F.btrim(token, F.lit(SERVICE_TOKEN_TRIM)))
+    return F.when(contains_any(found or t, SERVICE_MARKS), F.btrim(token, F.lit(SERVICE_TOKEN_TRIM)))
 
 
 def derive_source(source="source", body_v="body_v", title="title", text_lower="text_lower",
-                  rules: Rules = DEFAULT_RULES, body_text=None) -> Column:
+                  rules: Rules = DEFAULT_RULES, body_text=None, found: Found | None = None) -> Column:
     """Header source, body field, title prefix, keywords, service token."""
     return F.coalesce(
         F.nullif(_col(source), F.lit("")),
         body_field_source(body_v, rules, body_text),
         title_prefix_source(title),
-        smart_source(text_lower, rules),
-        service_token(text_lower),
+        smart_source(found or text_lower, rules),
+        service_token(text_lower, found),
     )

@@ -88,6 +88,8 @@ def validate(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 class _Columns(NamedTuple):
     text: Column
+    captured: Column
+    found: Column
     duration: Column
     category: Column
     verdict: Column
@@ -99,13 +101,12 @@ def _columns(application: str, rules: Rules, for_gate: bool) -> _Columns:
     """The rule columns, built once per application and rules: they name their
     inputs, so one tree serves every frame, and building it takes seconds."""
     needed = (F.col("severity") == "info") if for_gate else None
-    return _Columns(
-        A.searchable_text("title", "description", "body"),
-        A.body_duration_ms("body_v", rules, body_text="body"),
-        A.base_category("text_lower", rules, include_security=False),
-        A.decide("text", "text_lower", "duration_ms", "base_category", rules, severity_needed=needed),
-        S.derive_source("source", "body_v", "title", "text_lower", rules, body_text="body"),
-    )
+    found = A.Found()
+    category = A.base_category(found, rules, include_security=False)
+    verdict = A.decide("text", found, "duration_ms", "base_category", rules, severity_needed=needed)
+    source = S.derive_source("source", "body_v", "title", "text_lower", rules, body_text="body", found=found)
+    return _Columns(A.searchable_text("title", "description", "body"), found.captured("text_lower"), found.bits("captured"),
+                    A.body_duration_ms("body_v", rules, body_text="body"), category, verdict, source)
 
 
 def analysis(n: DataFrame, rules: Rules = DEFAULT_RULES, for_gate: bool = False) -> DataFrame:
@@ -117,6 +118,8 @@ def analysis(n: DataFrame, rules: Rules = DEFAULT_RULES, for_gate: bool = False)
     c = _columns(n.sparkSession.sparkContext.applicationId, rules, for_gate)
     t = n.select(*n.columns, c.text.alias("text")) \
         .select("*", F.lower("text").alias("text_lower"), c.duration.alias("duration_ms")) \
+        .select("*", c.captured.alias("captured")) \
+        .select("*", c.found.alias(A.Found().name)) \
         .select("*", c.category.alias("base_category"))
     return t.select(*n.columns, c.verdict.alias("verdict"), c.source.alias("inferred_source"))
 

@@ -205,14 +205,18 @@ def pattern_stats(logs: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     a performance issue (text pattern or positive body duration)."""
     text = A.searchable_text("title", "description", "body")
     staged = logs.select(text.alias("text"), "body", F.try_parse_json("body").alias("body_v"))
+    found = A.Found()
+    code, stack, security, slow = (A.http_status_code("text", found), A.stack_trace(found, rules), A.security_issue(found, rules),
+                                   A.contains_any(found, [p for p, _ in rules.performance]))
     staged = staged.select("text", F.lower("text").alias("text_lower"),
-                           A.body_duration_ms("body_v", rules, body_text="body").alias("duration_ms"))
+                           A.body_duration_ms("body_v", rules, body_text="body").alias("duration_ms")) \
+        .select("text", "duration_ms", found.captured("text_lower").alias("captured")) \
+        .select("text", "duration_ms", found.bits("captured").alias(found.name))
     return staged.agg(
-        F.count_if(A.http_status_code("text").isNotNull()).alias("http_codes"),
-        F.count_if(A.stack_trace("text_lower", rules)).alias("stack_traces"),
-        F.count_if(A.security_issue("text_lower", rules)).alias("security_issues"),
-        F.count_if(A.contains_any("text_lower", [p for p, _ in rules.performance])
-                   | F.col("duration_ms").isNotNull()).alias("performance_issues"),
+        F.count_if(code.isNotNull()).alias("http_codes"),
+        F.count_if(stack).alias("stack_traces"),
+        F.count_if(security).alias("security_issues"),
+        F.count_if(slow | F.col("duration_ms").isNotNull()).alias("performance_issues"),
     )
 
 

@@ -251,3 +251,26 @@ def test_body_shapes(spark, raw_frame):
     got = {r.title: r.body for r in res.logs.collect()}
     assert got == {f"t{i}": want for i, want in enumerate(bodies.values()) if want is not None}
     assert res.rejected.count() == sum(want is None for want in bodies.values())
+
+
+def test_words_found_in_one_pass(spark):
+    """Every group of words against plain substring tests, on texts made of
+    pieces of the words: beginnings, overlaps, words inside words."""
+    import random
+
+    from logspark.functions import analyze as A
+    from logspark.functions.rules import DEFAULT_RULES
+
+    rng = random.Random(5)
+    found = A.Found()
+    A.decide("text", found, "d", "c")
+    groups = [*found.groups, ("ab", "abc", "bcd"), ("bc",), (".*",), ("a\nb", "\\"), ("x",), ("abcde",)]
+    columns = [found.any(g) for g in groups]
+    words = sorted({w for g in groups for w in g})
+    texts = ["", "abcd", "xabcbcd", "a\nb", "\\.*", "😀abc😀bcdé"] + [
+        "".join(rng.choice(words)[:rng.randrange(1, 12)] + rng.choice(["", "", " ", "x"]) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", found.captured("text").alias("captured")) \
+        .select("text", found.bits("captured").alias("found")).select("text", *(c.alias(f"g{i}") for i, c in enumerate(columns)))
+    for r in frame.collect():
+        assert list(r)[1:] == [any(w in r.text for w in g) for g in groups], r.text
+    assert A.keyword_severity(A.Found(), DEFAULT_RULES) is not None
