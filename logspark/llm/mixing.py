@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Each document draws an exponential key, -ln(u) / weight, from a hash of its id
-and its quality weight; sorted by key within its source, documents come in the
+and text and its quality weight; sorted by key within its source, documents come in the
 order of weighted sampling without replacement.  A source's target is met by
 complete epochs (every document once) first, then by the documents whose
 running word count stays within what is left (a document counts from its
@@ -14,8 +14,9 @@ small tasks.  The one window without partition runs over one row per source.
 
 Defined results: a null text has size 0; sizes count runs of anything but
 ASCII white space; a null source is a source, sorted last; a null or
-non-positive weight counts as the default; rows that agree in doc_id and
-source tie and share one decision; an empty table gives an empty mix.
+non-positive weight counts as the default; rows without a doc_id, or with one
+that other texts have, are documents of their own; rows that agree in doc_id,
+source and text tie and share one decision; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -36,9 +37,14 @@ SEED = 8
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def uniform(column: str, seed: int = SEED) -> Column:
-    """A number in (0, 1) from the first 52 bits of an MD5 of id and seed."""
-    text = F.concat_ws(":", F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(str(seed)))
+def text_hash() -> Column:
+    """MD5 of the whole text, null as empty."""
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def uniform(column: str, digest: str, seed: int = SEED) -> Column:
+    """A number in (0, 1) from the first 52 bits of an MD5 of id, text and seed."""
+    text = F.concat_ws(":", F.coalesce(F.col(column).cast("string"), F.lit("")), F.col(digest), F.lit(str(seed)))
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -75,13 +81,13 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, size, source_size,
-    target, copies, taken."""
+    target, taken, copies, digest (of the text)."""
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+        F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), text_hash().alias("digest"))
     good = F.when(F.col("weight") > 0, F.col("weight")).otherwise(DEFAULT_WEIGHT)
     keyed = stored(sized.join(weights.select("doc_id", "weight"), "doc_id", "left")
-                   .withColumn("weight", good).withColumn("key", -F.log(uniform("doc_id")) / F.col("weight")))
+                   .withColumn("weight", good).withColumn("key", -F.log(uniform("doc_id", "digest")) / F.col("weight")))
     of_source = targets(keyed.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.min("weight").alias("least"))) \
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)) \
@@ -97,37 +103,41 @@ def mix(docs: DataFrame, weights: DataFrame) -> DataFrame:
         F.col("source").alias("_source"), F.col("bin").alias("_bin"),
         F.coalesce(F.sum("held").over(Window.partitionBy("source").orderBy("bin")
                                       .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "bin").orderBy("key", "doc_id")  # equal rows are peers
+    inside = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "digest")  # equal rows are peers
     summed = binned.withColumn("within", F.sum("size").over(inside))
     placed = summed.join(starts, summed["source"].eqNullSafe(starts["_source"]) & (summed["bin"] == starts["_bin"]))
     chosen = F.col("start") + F.col("within") - F.col("size") / 2 <= F.col("rest")
     copies = (F.col("epochs") + F.when(chosen & (F.col("rest") > 0), 1).otherwise(0)).cast("long")
     return placed.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "digest")
 
 
 def mixed(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken."""
-    times = mix(docs, weights).groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source")) \
-        .agg(F.max("copies").cast("int").alias("__mix_copies")).filter("__mix_copies > 0")
-    return docs.join(times, docs["doc_id"].eqNullSafe(times["__mix_id"]) & docs["source"].eqNullSafe(times["__mix_source"])) \
+    """The mix itself: each row of ``docs`` as often as it is taken, with its
+    own columns.  A row finds its decision by doc_id, source and text; no such
+    key holds more rows than repeat one document, without an id or with one."""
+    times = mix(docs, weights).filter("copies > 0").groupBy(*(F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "source", "digest"))) \
+        .agg(F.max("copies").cast("int").alias("__mix_copies"))
+    own = docs.withColumn("__mix_text", text_hash())
+    same = docs["doc_id"].cast("long").eqNullSafe(times["__mix_doc_id"]) & docs["source"].cast("string").eqNullSafe(times["__mix_source"])
+    return own.join(times, same & (F.col("__mix_text") == F.col("__mix_digest"))) \
         .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_copy")).drop("__mix_copy")
 
 
 def op8_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = spark.read.parquet
-    return mix(read(f"{sf_dir}/documents.parquet"), quality_weights(read(f"{sf_dir}/labels.parquet")))
+    return mix(read(f"{sf_dir}/documents.parquet"), quality_weights(read(f"{sf_dir}/labels.parquet"))).drop("digest")
 
 
 OP8_SQL = r"""
 with sized as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(text, '')) as digest
   from documents),
 marks as (
   select doc_id, case when max(quality) >= 1 then 1.0::double else 0.25::double end as weight
   from labels where doc_id is not null and quality is not null group by doc_id),
 keyed as (
-  select s.*, -ln((('0x' || substr(md5(coalesce(s.doc_id::varchar, '') || ':8'), 1, 13))::bigint + 0.5) / 4503599627370496.0::double)
+  select s.*, -ln((('0x' || substr(md5(coalesce(s.doc_id::varchar, '') || ':' || s.digest || ':8'), 1, 13))::bigint + 0.5) / 4503599627370496.0::double)
               / coalesce(m.weight, 0.5::double) as key
   from sized s left join marks m on s.doc_id = m.doc_id),
 sources as (
@@ -147,7 +157,7 @@ parts as (
   select *, case when source_size > 0 then floor(target / source_size) else 0 end as epochs from targets),
 placed as (
   select k.doc_id, k.source, k.size, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size as rest,
-         sum(k.size) over (partition by k.source order by k.key, k.doc_id) as upto
+         sum(k.size) over (partition by k.source order by k.key, k.doc_id, k.digest) as upto
   from keyed k join parts p on k.source is not distinct from p.source),
 chosen as (
   select *, (epochs + case when upto - size / 2.0 <= rest and rest > 0 then 1 else 0 end)::bigint as copies from placed)

@@ -123,7 +123,7 @@ class Models(NamedTuple):
 
 
 def weigh(docs: DataFrame, models: Models) -> DataFrame:
-    """(doc_id, noise, log_weight) of each row."""
+    """(doc_id, noise, text_hash, log_weight) of each row."""
     held = docs.sparkSession.sparkContext.broadcast(models)
 
     def score(batches):
@@ -131,10 +131,10 @@ def weigh(docs: DataFrame, models: Models) -> DataFrame:
         for batch in pieces(batches):
             w = [m.log_weight(ngram_buckets(t, hashes), hit)
                  for t, hit in zip(batch.column("text").to_pylist(), _among(batch.column("doc_id"), m.ids))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("noise"), pa.array(w, pa.float64())],
-                                             names=["doc_id", "noise", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("noise"), batch.column("text_hash"), pa.array(w, pa.float64())],
+                                             names=["doc_id", "noise", "text_hash", "log_weight"])
 
-    return docs.mapInArrow(score, "doc_id long, noise double, log_weight double")
+    return docs.mapInArrow(score, "doc_id long, noise double, text_hash long, log_weight double")
 
 
 def _gumbel(seed: int):
@@ -190,27 +190,38 @@ def kth_key(keyed: DataFrame, k: int) -> Cutoff:
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
     """(doc_id, log_weight, key, kept) of every row of ``docs``; ``labels`` has
     doc_id and quality (1 good, 0 bad)."""
+    return _decided(docs, labels, k, seed).drop("text_hash")
+
+
+def _decided(docs: DataFrame, labels: DataFrame, k: int | None, seed: int) -> DataFrame:
     marks = labels.filter("doc_id is not null and quality is not null") \
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") >= 1).alias("good"))
     drawn = marks.filter("good").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(TARGET_DOCS).collect()
     targets = np.sort(np.array([r[0] for r in drawn], np.int64))
-    rows = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", "text", _gumbel(seed).alias("noise"))
+    rows = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", "text", _gumbel(seed).alias("noise"), F.xxhash64("text").alias("text_hash"))
     target, raw = counts(rows, targets)
     scored = weigh(rows, Models(target, raw, targets, int(target.sum()), int(raw.sum()))).withColumn("key", F.col("log_weight") + F.col("noise"))
     keyed = stored(scored.join(marks, "doc_id", "left").select(
-        "doc_id", "log_weight", "key", F.coalesce("good", F.lit(False)).alias("good"),
+        "doc_id", "text_hash", "log_weight", "key", F.coalesce("good", F.lit(False)).alias("good"),
         F.coalesce(~F.col("good"), F.lit(False)).alias("bad")))
     cut = separating_key(keyed) if k is None else kth_key(keyed, k)
     if target.sum() == 0 and k is None:
         cut = Cutoff(None)
     kept = F.lit(True) if cut.key is None else F.col("key") >= F.lit(cut.key)
-    return keyed.select("doc_id", "log_weight", "key", kept.alias("kept"))
+    return keyed.select("doc_id", "log_weight", "key", kept.alias("kept"), "text_hash")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that are drawn, with their own columns."""
-    drawn = resample(docs, labels, k).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_id"]), "left_semi")
+    """The rows of ``docs`` that are drawn, with their own columns.  A row finds
+    its decision by doc_id and text, so rows without an id, or with one that
+    other texts have, are decided one by one; rows that repeat both share it.
+    Null texts are empty ones; ties at the k-th key all stay."""
+    drawn = _decided(docs, labels, k, SEED).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct()
+    return docs.join(drawn, docs["doc_id"].cast("long").eqNullSafe(drawn["_id"]) & (_text_hash_of(docs) == drawn["_text"]), "left_semi")
+
+
+def _text_hash_of(docs: DataFrame):
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ against all rows; no pairs are made.
 Defined results: vectors that are null, or hold null or non-finite components,
 take no part; vectors are compared when they have equal length; rows that
 repeat a vec_id are one vector (the smallest); a null vec_id takes no part;
-components are clipped to +-2^28 so that scores fit a long; ties go to the
-smaller vec_id; a query with no other vector has no rows.
+scores are exact, in wide integers where a product may leave a long; a score
+beyond a long is the long's end (as are components beyond +-2^61); ties go to the smaller vec_id; a query with no other vector has no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ from logspark.llm.common import groups, stored
 K, EVERY, SCALE = 20, 20, 64.0
 #: Vectors of a shard, of a leaf, and queries of a block (about).
 SHARD, LEAF, BLOCK = 4096, 128, 256
-CLIP = 1 << 28
+#: Components are longs of at most this size; scores beyond a long are its ends.
+CLIP = 1 << 61
+_NONE, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -74,22 +76,29 @@ def build_tree(ids: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> dict[st
             "low": _small(np.stack([b[0] for b in box])), "high": _small(np.stack([b[1] for b in box]))}
 
 
-def _product(q: np.ndarray, x: np.ndarray, wide: bool) -> np.ndarray:
-    """Exact inner products: in doubles while they are exact, else in longs."""
-    return q.astype(np.int64) @ x.astype(np.int64).T if wide else q.astype(np.float64) @ x.astype(np.float64).T
+def _product(q: np.ndarray, x: np.ndarray, top: int) -> np.ndarray:
+    """Exact inner products, sums of at most ``top``: in doubles while they are
+    exact, in longs, or in Python's integers, cut to a long at the end."""
+    if top < 1 << 52:
+        return q.astype(np.float64) @ x.astype(np.float64).T
+    if top < 1 << 62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    exact = q.astype(object) @ x.astype(object).T
+    return np.clip(exact, int(_NONE) + 1, int(_MOST)).astype(np.int64)
 
 
 def search(tree: dict[str, np.ndarray], qids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int):
     """(query row, vec_id, score) of each query's k best of the tree, those
     below ``floor`` (a score that is reached elsewhere k times) left out."""
     top = int(np.abs(queries).max(initial=0)) * int(np.abs(tree["points"]).max(initial=0)) * max(1, queries.shape[1])
-    wide = top >= 1 << 52
-    bound = _product(np.maximum(queries, 0), tree["high"], wide) + _product(np.minimum(queries, 0), tree["low"], wide)
-    order = np.argsort(-bound, axis=1, kind="stable")
+    # the best corner of a box takes its high side where the query is positive
+    signed = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)
+    bound = _product(signed, np.concatenate([tree["high"], tree["low"]], axis=1), top)
+    order = np.argsort(~bound if bound.dtype == np.int64 else -bound, axis=1, kind="stable")
     n = len(qids)
-    least = -(1 << 62)
+    least = _NONE
     score = np.full((n, k), least, np.int64)
-    found = np.full((n, k), np.iinfo(np.int64).max, np.int64)
+    found = np.full((n, k), _MOST, np.int64)
     kth = np.maximum(floor, least)
     alive = np.arange(n)
     for step in range(order.shape[1]):
@@ -102,7 +111,7 @@ def search(tree: dict[str, np.ndarray], qids: np.ndarray, queries: np.ndarray, f
             rows = alive[leaf == one]
             here = slice(tree["starts"][one], tree["starts"][one + 1])
             ids = tree["ids"][here]
-            s = _product(queries[rows], tree["points"][here], wide).astype(np.int64)
+            s = _product(queries[rows], tree["points"][here], top).astype(np.int64)
             s[ids[None, :] == qids[rows, None]] = least
             s[s < kth[rows, None]] = least
             better = s.max(axis=1) > least
@@ -111,8 +120,8 @@ def search(tree: dict[str, np.ndarray], qids: np.ndarray, queries: np.ndarray, f
                 continue
             s = np.concatenate([score[rows], s], axis=1)
             i = np.concatenate([found[rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
-            i = np.where(s == least, np.iinfo(np.int64).max, i)
-            best = np.lexsort((i, -s), axis=1)[:, :k]
+            i = np.where(s == least, _MOST, i)
+            best = np.lexsort((i, ~s), axis=1)[:, :k]
             score[rows], found[rows] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
             kth[rows] = np.maximum(kth[rows], score[rows, -1])
     row, col = np.nonzero(score > least)
@@ -166,7 +175,7 @@ def _of_size(rows: DataFrame, size: int, shards: int, blocks: int, k: int, every
     def packed(batches):
         for g in groups(batches, ("block",)):
             ids, x = _matrix(g, size)
-            floor = np.array([-(1 << 62) if f is None else f for f in g["floor"]], np.int64)
+            floor = np.array([_NONE if f is None else f for f in g["floor"]], np.int64)
             yield pa.RecordBatch.from_pydict({"block": pa.array(g["block"][:1], pa.int32()),
                                               "data": pa.array([_pack(ids=ids, x=_small(x), floor=floor)], pa.binary())})
 

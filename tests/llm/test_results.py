@@ -398,3 +398,55 @@ def test_lm_learns_from_every_training_document(docs_of):
     for _, text in rows:
         own = set(coder.coder.encode_ordinary(" " + text.strip()))
         assert all((p["ids"][k] != first["ids"][k]).any() for k in own), text
+
+
+# --- rows without an id, wide components
+
+def test_mix_of_rows_without_ids(sc):
+    """Half of each source has no id: every row is decided on its own."""
+    from logspark.llm import mixing
+
+    rng = random.Random(11)
+    rows = [(None if i % 2 else i, " ".join(f"w{i}x{j}" for j in range(rng.randrange(1, 30))), "en", "abc"[i % 3], 0) for i in range(900)]
+    rows += [(7, f"one id, many texts {i}", "en", "a", 0) for i in range(100)]
+    docs = sc.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    none = sc.createDataFrame([], "doc_id long, weight double")
+    got = mixing.mix(docs, none).collect()
+    assert len(got) == len(rows)
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own) / 2
+    mixed = collections.Counter(r.text for r in mixing.mixed(docs, none).collect())
+    assert sum(mixed.values()) == sum(r.copies for r in got)
+    assert sum(n * len(t.split()) for t, n in mixed.items()) == sum(r.taken for r in got)
+
+
+def test_drawn_rows_without_ids(sc):
+    rows = [(None if i % 3 == 0 else i, f"text {i} of many words " + f"x{i % 7} " * (i % 11), "en", "a", 0) for i in range(600)]
+    docs = sc.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = sc.createDataFrame([(i, int(i % 2)) for i in range(1, 300)], "doc_id long, quality int")
+    kept = quality.keep_good(docs, labels, 200).collect()
+    assert len(kept) == 200
+    scored = quality.resample(docs, labels, 200)
+    assert scored.filter("kept").count() == 200
+
+
+def test_the_largest_keys_are_drawn(sc):
+    """Gumbel top-k: with k the kept rows are those of the k largest keys."""
+    read = sc.read.parquet
+    got = quality.resample(read(f"{SF}/documents.parquet"), read(f"{SF}/labels.parquet"), 321).collect()
+    ranked = sorted((r.key for r in got), reverse=True)
+    assert {r.doc_id for r in got if r.kept} == {r.doc_id for r in got if r.key >= ranked[320]}
+
+
+def test_wide_components(sc):
+    """Scores against Python's integers, also beyond doubles and longs."""
+    rng = random.Random(6)
+    rows = [(0, [1.0, 0.0]), (1, [1e8, 5.0]), (2, [5e6, 1.0]), (3, [6e6, -3.0]), (4, [1e15, 1e3]), (20, [2.0 ** 40, -1.0]), (5, [1e30, 7.0])]
+    rows += [(i, [rng.uniform(-1, 1) * 10 ** rng.randrange(0, 9), rng.uniform(-1, 1)]) for i in range(21, 80)]
+    got = topk.top_k(sc.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=16, block=2).collect()
+    v = {i: [max(-(1 << 61), min(1 << 61, math.floor(64 * c))) for c in x] for i, x in rows}
+    for q in (0, 20, 40, 60):
+        score = {i: max(-(1 << 63) + 1, min((1 << 63) - 1, sum(a * b for a, b in zip(v[q], x)))) for i, x in v.items() if i != q}
+        want = sorted(score.items(), key=lambda s: (-s[1], s[0]))[:20]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
