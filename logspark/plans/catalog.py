@@ -17,16 +17,19 @@ from pyspark.sql import functions as F
 
 from logspark.functions import normalize as N
 from logspark.functions.analyze import parsed_body, whole_body
+from logspark.functions.formatting import trunc_ntz
 from logspark.functions.rules import AGE_BUCKETS, AUTO_COLORS, COLORS, SEVERITY_RANK
 from logspark.operators import export as X
 from logspark.operators import metrics as M
 from logspark.operators import query as Q
 from logspark.operators import retention as H
+from logspark.operators import sketches as K
 from logspark.operators import stats as S
 from logspark.operators.enrich import enrich, ingest
 from logspark.plans import oracle as O
 from logspark.sources import adapters as AD
 from logspark.session import checkpoint_dir
+from logspark.sources import heavy as HV
 from logspark.sources import rollup as RU
 from logspark.sources import search as TS
 from logspark.sources.store import append, assign_ids, inputs_of, read_logs, stored_logs
@@ -368,6 +371,78 @@ def _stream_feed(spark, sf):
     return spark.read.parquet(f"{_ingested(spark, sf)}/run/feed").select("type", "id", "severity", "source", "created_at", "title", "data")
 
 
+def _stream_numbered(spark, sf):
+    """The three parts without ids; each micro-batch numbers its own."""
+    from logspark.streaming import stream as ST
+
+    base = _fresh(spark, "numbered")
+    for i in range(3):
+        _arriving(spark, sf, base, i)
+        ST.ingest_stream(AD.raw_logs(_arrived(spark, base)).drop("id"), f"{base}/run", f"{base}/store", number=True)
+    return read_logs(spark, f"{base}/store").select("id", "created_at", "title")
+
+
+_SKETCHED: dict[tuple, str] = {}
+
+
+def _sketches(spark, sf):
+    """Latency sketches kept while the three parts arrive; once per application and input."""
+    from logspark.streaming import stream as ST
+
+    key = (spark.sparkContext.applicationId, *inputs_of(events(spark, sf)))
+    if key not in _SKETCHED:
+        base = _fresh(spark, "sketches")
+        for i in range(3):
+            _arriving(spark, sf, base, i)
+            ST.keep_latency(AD.access_logs(_arrived(spark, base)), f"{base}/run")
+        _SKETCHED[key] = base
+    return K.read_sketches(spark, f"{_SKETCHED[key]}/run/sketches")
+
+
+def _ranked_within(records, got, by):
+    """``got`` with, for each percentile, whether it lies within four times the
+    stated rank error of the ranks of ``records`` around it."""
+    ranked = records.filter(F.col("duration_ms").isNotNull()).join(got, by)  # got: a row for each group
+    err = 4 * K.RANK_ERROR
+    pcts = [p for p in M.DEFAULT_PERCENTILES if f"p{p}" in got.columns]
+    counts = [F.count_if(c).alias(f"{name}{p}") for p in pcts for name, c in (
+        ("below", F.col("duration_ms") < F.col(f"p{p}")), ("upto", F.col("duration_ms") <= F.col(f"p{p}")))]
+    facts = [c for c in ("sent", "failed", "max", "rate_per_sec") if c in got.columns]
+    out = ranked.groupBy(by).agg(*[F.max(c).alias(c) for c in facts], *counts)
+    ok = [((F.col(f"below{p}") <= F.col("sent") * (p / 100 + err)) & (F.col(f"upto{p}") >= F.col("sent") * (p / 100 - err)))
+          .alias(f"p{p}_within") for p in pcts]
+    return out.select(by, *facts, *ok)
+
+
+def _sketch_report(spark, sf):
+    return _ranked_within(access(spark, sf), K.merged(_sketches(spark, sf), ("path",)).drop("rate_per_sec"), "path")
+
+
+def _sketch_hours(spark, sf):
+    records = access(spark, sf).withColumn("hour", trunc_ntz("ts", "hour"))
+    return _ranked_within(records, K.merged(_sketches(spark, sf), ("hour",), (95,)).drop("rate_per_sec"), "hour")
+
+
+SPAN = ("2024-01-09 12:20:30", "2024-01-28 17:23:45.678901")
+
+
+def _sketch_span(spark, sf):
+    """F27 for a span that cuts hours in two."""
+    acc = access(spark, sf)
+    got = K.merged(K.spanning(_sketches(spark, sf), acc, *SPAN)).withColumn("span", F.lit("all"))
+    lo, hi = (F.lit(v).cast("timestamp_ntz") for v in SPAN)
+    records = acc.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).withColumn("span", F.lit("all"))
+    return _ranked_within(records, got, "span").drop("span")
+
+
+def _heavy_bounds(spark, sf):
+    """The candidates' bounds next to the exact counts."""
+    path = _table(spark, sf)
+    exact = S.top_sources(read_logs(spark, path), HV.TRACKED)
+    return exact.join(HV.heavy_sources(spark, path), "source").select(
+        "source", ((F.col("at_least") <= F.col("n")) & (F.col("n") <= F.col("at_most"))).alias("within"))
+
+
 _MAINTAINED: dict[tuple, str] = {}
 
 
@@ -705,6 +780,16 @@ SELECT path, {', '.join(f'max(CASE WHEN rn = least(n * {p} // 100, n - 1) THEN v
     reg("latency_approx_bounds", _approx_bounds, f"""WITH a AS ({acc})
 SELECT path, count(*) AS n, true AS p50_within, true AS p95_within, true AS p99_within FROM a
 WHERE duration_ms IS NOT NULL GROUP BY path""", "F24 approximate, within its bounds")
+    timed = f"WITH a AS ({acc}), r AS (SELECT *, date_trunc('hour', ts) AS hour FROM a WHERE duration_ms IS NOT NULL)\n"
+    facts = "count(*) AS sent, count(*) FILTER (WHERE status >= 400) AS failed, max(duration_ms) AS max"
+    flags = ", ".join(f"true AS p{p}_within" for p in M.DEFAULT_PERCENTILES)
+    reg("sketch_latency_report", _sketch_report, f"{timed}SELECT path, {facts}, {flags} FROM r GROUP BY path",
+        "F24 F25 (merged sketches, within their rank error)")
+    reg("sketch_hourly_p95", _sketch_hours, f"{timed}SELECT hour, {facts}, true AS p95_within FROM r GROUP BY hour",
+        "J9 (merged sketches by hour, within their rank error)")
+    reg("sketch_span_report", _sketch_span, f"""{timed}SELECT {facts}, {flags},
+  CASE WHEN max(ts) > min(ts) THEN count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) ELSE 0.0 END AS rate_per_sec
+FROM r WHERE ts >= {ts(SPAN[0])} AND ts < {ts(SPAN[1])}""", "F27 (span of merged sketches)")
     reg("delivery_report", lambda s, sf: M.delivery_report(access(s, sf)), f"""WITH a AS ({acc}),
 r AS (SELECT duration_ms AS v, status, ts, row_number() OVER (ORDER BY duration_ms) - 1 AS rn, count(*) OVER () AS n
       FROM a WHERE duration_ms IS NOT NULL),
@@ -752,6 +837,8 @@ SELECT second, count(*) AS sent, count(*) FILTER (WHERE status >= 400) AS errors
     reg("stream_enriched_logs", _stream_enriched, O.with_logs("SELECT * FROM logs"), "J1 A10")
     reg("stream_ingest_store", _stream_ingest, O.with_logs("SELECT * FROM logs"), "A10 A9")
     reg("stream_ingest_rejected", _stream_rejected, O.with_logs("SELECT * FROM rejected"), "A10 A3")
+    reg("stream_numbered_store", _stream_numbered, O.with_logs(
+        "SELECT row_number() OVER (ORDER BY created_at) AS id, created_at, title FROM logs"), "A8 A10 (ids by micro-batch)")
     reg("stream_ingest_feed", _stream_feed, O.with_logs(CREATED_SQL), "I5 J2 B10")
     reg("stream_store_maintained", _store_maintained, O.with_logs(f""", t AS (
   SELECT id, title, created_at, log_date FROM logs WHERE NOT (id IN {deleted_ids} AND created_at < {ts(CUTS[1])})
@@ -780,6 +867,10 @@ UNION ALL SELECT 'by_source', coalesce(source, 'unknown'), count(*) FROM m GROUP
         O.with_logs(table_sql + f""", b AS (SELECT created_at, {bucket_sql(odd)} AS bucket FROM m)
 SELECT count(*) AS total, count(*) FILTER (WHERE created_at >= {ts(odd)} - INTERVAL 24 HOUR) AS last_24_hours,
   {', '.join(f"count(*) FILTER (WHERE bucket = '{x}') AS {x}" for x in AGE_BUCKETS)} FROM b"""), "F9 F10 (rollup)")
+    heavy_sql = O.with_logs(table_sql + "SELECT coalesce(derived_source, source, 'unknown') AS source, count(*) AS n FROM m GROUP BY 1 ORDER BY n DESC, source LIMIT 10")
+    reg("heavy_top_sources", lambda s, sf: HV.top_sources(s, _table(s, sf)), heavy_sql, "F15 (frequent-items states)")
+    reg("heavy_source_bounds", _heavy_bounds, O.with_logs(table_sql + "SELECT DISTINCT coalesce(derived_source, source, 'unknown') AS source, true AS within FROM m"),
+        "F15 (bounds from states alone)")
     reg("indexed_search_page", lambda s, sf: Q.page(TS.search_table(s, _table(s, sf), Q.LogFilter(search="Failed")), 50),
         O.with_logs(table_sql + f"SELECT {cols} FROM m WHERE {search_sql('Failed')} {NEWEST} LIMIT 50"), "E1 E9 (trigram index)")
     reg("indexed_search_total", lambda s, sf: Q.total(TS.search_table(s, _table(s, sf), Q.LogFilter(search="de_dlock%", from_="2024-01-12 06:30:00"))),

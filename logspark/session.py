@@ -57,9 +57,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _LOCAL[sc.applicationId]
 
 
-def staged(df: DataFrame, name: str = "staged") -> DataFrame:
-    """``df`` written once to a new folder in the shared folder and read back:
-    every reader sees the same rows, and a lost executor repeats nothing."""
-    path = f"{checkpoint_dir(df.sparkSession)}/logspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def staged(df: DataFrame, name: str = "staged", at: str | None = None) -> DataFrame:
+    """``df`` written once to a new folder in the shared folder (or over the
+    folder ``at``) and read back: every reader sees the same rows, and a lost
+    executor repeats nothing."""
+    path = at or f"{checkpoint_dir(df.sparkSession)}/logspark-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite" if at else "errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

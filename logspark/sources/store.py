@@ -35,7 +35,7 @@ def tolerant(logs: DataFrame) -> DataFrame:
     return logs.withColumn("body", F.when(ok, escaped_json(F.to_json(v))).otherwise(F.lit("{}")))
 
 
-def assign_ids(df: DataFrame, start_after: int = 0, order=("created_at",)) -> DataFrame:
+def assign_ids(df: DataFrame, start_after: int = 0, order=("created_at",), at: str | None = None) -> DataFrame:
     """Dense increasing ids start_after+1, start_after+2, ... in ``order``;
     ties are broken by a hash of the whole row, so rows that still tie are
     equal and any order of them is the same.
@@ -43,12 +43,13 @@ def assign_ids(df: DataFrame, start_after: int = 0, order=("created_at",)) -> Da
     The rows are range-partitioned and written once with their range number.
     Counts and rows are then read from that one table: a second evaluation of
     the range split could sample other bounds and number rows twice or not at
-    all.  What is gathered is one count per range.
+    all.  What is gathered is one count per range.  ``at`` names the folder of
+    that table for callers that remove it afterwards.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     tie = F.xxhash64(*[F.col(c) for c in df.columns])
     ranged = staged(df.withColumn("_tie", tie).repartitionByRange(*cols, "_tie")
-                    .withColumn("_range", F.spark_partition_id()), "ids")
+                    .withColumn("_range", F.spark_partition_id()), "ids", at)
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_range", before.alias("_before"))  # one row per range of the shuffle
@@ -58,6 +59,32 @@ def assign_ids(df: DataFrame, start_after: int = 0, order=("created_at",)) -> Da
         .drop("_range", "_tie", "_place", "_before")
 
 
+def reserve_ids(spark: SparkSession, path: str, at: str, epoch: int, n: int) -> int:
+    """A8 for micro-batches: the id after which batch ``epoch`` of ``n`` rows
+    numbers its rows.
+
+    The block (after, n) is written to ``at`` before any row is, so a repeated
+    batch finds its own block and gives the same ids.  A new block goes on
+    where the one of the batch before ends - ids of deleted rows are not given
+    again - and the first one where the table ends.  One writer at a time
+    numbers the rows of a table.
+    """
+    def block(e):
+        here = f"{at}/epoch={e}"
+        return spark.read.schema("after long, n long").parquet(here).first() if exists(spark, f"{here}/_SUCCESS") else None
+
+    mine = block(epoch)
+    if mine is None:
+        last = block(epoch - 1)
+        after = last.after + last.n if last else 0
+        if last is None and exists(spark, path):
+            after = max(0, read_logs(spark, path).agg(F.max("id")).first()[0] or 0)
+        spark.createDataFrame([(after, n)], "after long, n long").write.mode("overwrite").parquet(f"{at}/epoch={epoch}")
+        drop_folders(spark, [f"{at}/epoch={epoch - 2}"])    # what a replay of the next batch cannot need
+        return after
+    return mine.after
+
+
 def hadoop(spark: SparkSession, path: str):
     """(file system, Path class) that hold ``path``."""
     make = spark._jvm.org.apache.hadoop.fs.Path

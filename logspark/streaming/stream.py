@@ -34,8 +34,9 @@ from logspark.functions.analyze import escaped_json
 from logspark.functions.formatting import trunc_ntz, utc_instant, utc_wall_clock
 from logspark.operators.enrich import ingest_marked
 from logspark.operators.query import event_columns
+from logspark.operators.sketches import keep_sketches, read_sketches
 from logspark.schema import LOGS, RAW_FLAT
-from logspark.sources.store import append_once, drop_folders, epochs, exists, folders
+from logspark.sources.store import append_once, assign_ids, drop_folders, epochs, exists, folders, reserve_ids
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -286,6 +287,17 @@ def last_durations_batch(access: DataFrame, n: int = 100) -> DataFrame:
     )
 
 
+def keep_latency(access: DataFrame, base: str) -> DataFrame:
+    """Everything available now goes into latency sketches by
+    path and hour below ``base``, one folder a micro-batch (a replay writes it
+    again); returns all that are kept."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        keep_sketches(batch, f"{base}/sketches", f"s-{epoch}")
+
+    _run(access, base, "append", sink)
+    return read_sketches(access.sparkSession, f"{base}/sketches")
+
+
 # ------------------------------------------------------------- runners
 def _run(df: DataFrame, base: str, output_mode: str, sink) -> StreamingQuery:
     """Everything available now through ``sink(batch, epoch)``."""
@@ -527,7 +539,7 @@ def live_of(spark: SparkSession, base: str, hours: int = 24) -> DataFrame:
         .unionByName(rate.select(F.lit("error_rate").alias("kind"), none.cast("string").alias("key"), none.cast("long").alias("n"), "rate"))
 
 
-def ingest_stream(raw: DataFrame, base: str, store_path: str, writer: str = "stream") -> None:
+def ingest_stream(raw: DataFrame, base: str, store_path: str, writer: str = "stream", number: bool = False) -> None:
     """A10 + I5: everything available now goes through the enrichment once;
     accepted records are appended to the store, rejected ones (with the reason)
     to ``base``/rejected, and the ``log_created`` events of what was stored to
@@ -536,6 +548,10 @@ def ingest_stream(raw: DataFrame, base: str, store_path: str, writer: str = "str
     The store is the batch table of ``sources.store``: a replayed micro-batch
     is appended once (``append_once``), and batch appends, deletes and
     retention work on the same table.  ``writer`` names the stream in it.
+
+    With ``number`` the accepted records of each micro-batch get dense ids in
+    order of ``created_at`` (A8), whatever ids they bring: the batch reserves
+    its block of ids first (``reserve_ids``), so a replay numbers as before.
     """
     spark = raw.sparkSession
     if CORRUPT not in raw.columns:
@@ -544,7 +560,11 @@ def ingest_stream(raw: DataFrame, base: str, store_path: str, writer: str = "str
     def sink(batch: DataFrame, epoch: int) -> None:
         bad_lines = batch.filter(F.col(CORRUPT).isNotNull())
         marked = ingest_marked(batch.filter(F.col(CORRUPT).isNull())).persist()
-        name = append_once(marked.filter(F.col("reason").isNull()), store_path, writer, epoch)
+        accepted = marked.filter(F.col("reason").isNull())
+        if number:
+            after = reserve_ids(spark, store_path, f"{base}/ids", epoch, accepted.count())
+            accepted = assign_ids(accepted.drop("id", "reason"), after, at=f"{base}/numbered")
+        name = append_once(accepted, store_path, writer, epoch)
         rejected = marked.filter(F.col("reason").isNotNull()).select("id", "created_at", "title", "reason") \
             .withColumn(CORRUPT, F.lit(None).cast("string"))
         lost = bad_lines.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("timestamp_ntz").alias("created_at"),
