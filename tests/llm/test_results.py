@@ -338,6 +338,68 @@ def _streams(rng, sizes):
     return [np.append(rng.integers(0, lm.END, n), lm.END) for n in sizes]
 
 
+def _parameters(rng):
+    """First parameters and tables of counts, in doubles."""
+    x, y, _ = lm.windows(_streams(rng, [300]))
+    pairs, kinds = lm.table_counts(x, y)
+    held = lm.tables(np.bincount(pairs, minlength=lm.PAD ** 2), np.bincount(kinds, minlength=lm.SLOTS * lm.CLASSES))
+    return {k: v.astype(np.float64) for k, v in (lm.first_parameters() | held).items()}
+
+
+def test_lm_counts_of_ids(sc):
+    """Counts of pairs, and of classes by two ids, against dictionaries over whole texts."""
+    docs = sc.read.parquet(f"{SMALL}/documents.parquet").selectExpr("coalesce(text, '') AS text")
+    path = bpe.tokenizer_path()
+    vocabulary = bpe.read_vocabulary(path)
+    coder = lm.Subwords(vocabulary).coder
+    pairs, kinds = lm.id_counts(docs, sc.sparkContext.broadcast(vocabulary), path)
+    want, by_two = collections.Counter(), collections.Counter()
+    for r in docs.collect():
+        ids = [lm.PAD, lm.END] + coder.encode_ordinary("".join(" " + w.decode() for w in r.text.encode().lower().split())) + [lm.END]
+        for a, b, c in zip(ids, ids[1:], ids[2:]):
+            want[b * lm.PAD + c] += 1
+            by_two[(a * (lm.PAD + 1) + b) % lm.SLOTS * lm.CLASSES + c // lm.MEMBERS] += 1
+    for got, expected in ((pairs, want), (kinds, by_two)):
+        assert {int(k): int(got[k]) for k in np.flatnonzero(got)} == expected
+
+
+def _one_by_one(p, ids):
+    """Sum of the natural log probabilities of a text's ids, id after id, without batches."""
+    seen, total, ahead = [lm.END] + list(ids[:-1]), 0.0, lm.WINDOW - lm.STRIDE
+    for i, wanted in enumerate(ids):
+        start = i // lm.STRIDE * lm.STRIDE - ahead  # of the window that scores place i
+        places = range(max(0, start), i + 1)
+        x = np.array([p["ids"][seen[j]] + p["places"][j - start] for j in places])
+        a = np.exp((x[-1] @ p["q"]) @ (x @ p["k"]).T / math.sqrt(lm.WIDTH))
+        h = x[-1] + (a / a.sum()) @ (x @ p["v"]) @ p["o"]
+        y = h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
+        before, kind = seen[i - 1] if i else lm.PAD, wanted // lm.MEMBERS
+        kinds = y @ p["c"] + p["cb"] + p["by_class"][(before * (lm.PAD + 1) + seen[i]) % lm.SLOTS]
+        members = y @ p["m"][kind] + p["mb"][kind] + p["by_member"][kind, seen[i]]
+        total += kinds[kind] - np.log(np.exp(kinds).sum()) + members[wanted % lm.MEMBERS] - np.log(np.exp(members).sum())
+    return total
+
+
+def test_lm_score_one_id_at_a_time(sc, monkeypatch):
+    """The query's score of some documents against the model run id after id."""
+    docs = sc.read.parquet(f"{SMALL}/documents.parquet")
+    kept, train = [], lm.train
+
+    def keep(*args):
+        kept.append(train(*args))
+        return kept[0]
+
+    monkeypatch.setattr(lm, "train", keep)
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    p = {k: v.astype(np.float64) for k, v in kept[0].items()}
+    coder = lm.Subwords(bpe.read_vocabulary(bpe.tokenizer_path())).coder
+    some = sorted(docs.collect(), key=lambda r: len(r.text or ""))
+    for r in some[:5] + some[len(some) // 2:][:5]:
+        words = (r.text or "").encode().lower().split()
+        ids = coder.encode_ordinary("".join(" " + w.decode() for w in words)) + [lm.END]
+        assert got[r.doc_id] == pytest.approx(_one_by_one(p, ids) / math.log(10), rel=1e-3)
+
+
 def test_lm_windows_score_each_id_once():
     rng = np.random.default_rng(11)
     streams = _streams(rng, [0, 1, lm.STRIDE - 1, lm.STRIDE, 3 * lm.STRIDE + 2])
@@ -349,7 +411,7 @@ def test_lm_windows_score_each_id_once():
 
 def test_lm_is_a_distribution_and_causal():
     rng = np.random.default_rng(12)
-    p = {k: v.astype(np.float64) for k, v in lm.first_parameters().items()}
+    p = _parameters(rng)
     x, y, _ = lm.windows(_streams(rng, [60]))
     places = np.arange(lm.STRIDE)
     total = np.zeros(lm.STRIDE)
@@ -364,14 +426,15 @@ def test_lm_is_a_distribution_and_causal():
 
 def test_lm_gradients():
     rng = np.random.default_rng(13)
-    p = {k: v.astype(np.float64) for k, v in lm.first_parameters().items()}
+    p = _parameters(rng)
     streams = _streams(rng, [0, 5, 70])
     x, y, _ = lm.windows(streams)
     n = sum(map(len, streams))
     loss, g = lm.gradients(p, x, y)
     assert loss == pytest.approx(-lm.log_probability(p, x, y).sum() / n)
-    for name, value in p.items():
-        at = tuple(rng.integers(0, k) for k in value.shape)
+    assert g.keys() == lm.first_parameters().keys()
+    for name in g:
+        at = tuple(rng.integers(0, k) for k in p[name].shape)
         if name == "ids":
             at = (int(streams[2][3]), at[1])
         ends = []
