@@ -253,10 +253,12 @@ def derived_table(spark: SparkSession, key: tuple, source: DataFrame, build: Cal
     return spark.read.schema(schema).parquet(path)
 
 
-def spread(df: DataFrame, partitions: int) -> DataFrame:
-    """Round-robin over ``partitions`` tasks: for callers (bench, tests) that
-    know their input has fewer splits than cores."""
-    return df.repartition(partitions)
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin over ``partitions`` tasks, by default twice the cores of the
+    application: for input with fewer splits than cores, ahead of work that
+    costs far more than moving its rows.  A scan cannot cut a row group, so a
+    file of a million rows is one task however many cores wait."""
+    return df.repartition(partitions or 2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def stored_logs(spark: SparkSession, source: DataFrame, adapter: Callable[[DataFrame], DataFrame],

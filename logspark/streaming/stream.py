@@ -36,7 +36,7 @@ from logspark.operators.enrich import ingest_marked
 from logspark.operators.query import event_columns
 from logspark.operators.sketches import keep_sketches, read_sketches
 from logspark.schema import LOGS, RAW_FLAT
-from logspark.sources.store import append_once, assign_ids, drop_folders, epochs, exists, folders, reserve_ids
+from logspark.sources.store import append_once, assign_ids, drop_folders, epochs, exists, folders, reserve_ids, spread
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -55,11 +55,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None,
                   glob: str = "events.parquet") -> DataFrame:
     """The ``events`` table of a scale directory as a file stream; files are
-    taken in the order of their times, ``max_files_per_trigger`` at a time."""
+    taken in the order of their times, ``max_files_per_trigger`` at a time.
+    The rows of a micro-batch are spread over all cores, however few files or
+    row groups it has: enriching a row costs far more than moving it."""
     reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(sf_dir)
+    return spread(reader.parquet(sf_dir))
 
 
 CORRUPT = "undecodable"
@@ -399,7 +401,7 @@ def live_tail(created: DataFrame, deleted_ids: DataFrame | None, base: str, n: i
         batch.persist()
         adds = batch.filter(F.col("type") == "log_created").select(
             "id", "title", "severity", "source", "created_at", F.to_date("created_at").alias("day"))
-        adds.write.mode("overwrite").partitionBy("day").parquet(f"{base}/created/epoch={epoch}")
+        adds.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{base}/created/epoch={epoch}")
         batch.filter(F.col("type") == "log_deleted").select("id") \
             .write.mode("overwrite").parquet(f"{base}/deleted/epoch={epoch}")
         batch.unpersist()
@@ -424,7 +426,7 @@ def stats_snapshots(logs: DataFrame, base: str) -> DataFrame:
 
     def sink(batch: DataFrame, epoch: int) -> None:
         batch.persist()
-        batch.select("created_at", F.to_date("created_at").alias("day")).filter("day is not null") \
+        batch.select("created_at", F.to_date("created_at").alias("day")).filter("day is not null").hint("rebalance", "day") \
             .write.mode("overwrite").partitionBy("day").parquet(f"{times}/epoch={epoch}")
         keyed = batch.select(F.explode(F.array(
             F.struct(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("key")),
@@ -500,7 +502,7 @@ def live_stats(created: DataFrame, deletes: DataFrame, base: str, watermark: str
             first = edge.replace(minute=0, second=0, microsecond=0)
             counted = counted.filter((F.col("kind") != "slot") | (F.col("at") >= F.lit(first)))
             batch.filter(F.col("created_at") >= F.lit(edge)).groupBy("created_at", F.translate(F.substring(F.col("created_at").cast("string"), 1, 13), "- ", "").alias("hour")) \
-                .agg(F.sum("n").alias("n")).withColumn("epoch", F.lit(epoch)) \
+                .agg(F.sum("n").alias("n")).withColumn("epoch", F.lit(epoch)).hint("rebalance", "hour") \
                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "epoch").parquet(times)
             drop_folders(spark, [f"{times}/hour={h}" for h in folders(spark, times, "hour=") if h < first.strftime("%Y%m%d%H")])
         mark = spark.createDataFrame([("newest", None, newest, None)], _RING)

@@ -48,6 +48,37 @@ def test_hourly_counts_in_three_batches(spark, tmp_path, order, watermark):
         assert dropped == 0 and _as_set(got, ["hour", "total", "errors"]) == _as_set(want, ["hour", "total", "errors"])
 
 
+def _one_row_group(spark, at, n=4000):
+    """Events in one file of one row group, which a scan cannot split."""
+    rows = spark.range(n).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 60).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 7).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.5).alias("value"), F.lit('{"k": 1}').alias("props"))
+    rows.coalesce(1).write.mode("append").parquet(at)
+    return rows
+
+
+def test_one_row_group_is_enriched_by_all_cores(spark, tmp_path):
+    rows = _one_row_group(spark, f"{tmp_path}/events")
+    stream = ST.events_stream(spark, f"{tmp_path}/events", glob="*.parquet")
+    got = ST.run_available(enrich(raw_logs(stream)).withColumn("task", F.spark_partition_id()), f"{tmp_path}/run").result
+    want = enrich(raw_logs(rows))
+    shares = [r["count"] for r in got.groupBy("task").count().collect()]
+    assert len(shares) >= spark.sparkContext.defaultParallelism
+    assert max(shares) < 2 * got.count() / spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, got.drop("task").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_tables_by_day_stay_in_few_files(spark, tmp_path):
+    """However many tasks enrich, a day of a micro-batch is not cut into a file for each."""
+    _one_row_group(spark, f"{tmp_path}/events")
+    stream = enrich(raw_logs(ST.events_stream(spark, f"{tmp_path}/events", glob="*.parquet")))
+    ST.stats_snapshots(stream, f"{tmp_path}/snapshots")
+    ST.live_tail(stream, None, f"{tmp_path}/tail")
+    for at in ("snapshots/times/epoch=0", "tail/created/epoch=0"):
+        days = [[f for f in d.iterdir() if f.suffix == ".parquet"] for d in (tmp_path / at).glob("day=*")]
+        assert len(days) == 3 and all(len(files) <= 2 for files in days)
+
+
 def test_stream_ring_buffer_equals_batch(spark, tmp_path):
     for stream in _arrive(spark, str(tmp_path), _thirds(spark)):
         got = ST.run_available(ST.last_durations(access_logs(stream), 10), f"{tmp_path}/run", "update", ("path",)).result
