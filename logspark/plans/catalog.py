@@ -32,7 +32,7 @@ from logspark.session import checkpoint_dir
 from logspark.sources import heavy as HV
 from logspark.sources import rollup as RU
 from logspark.sources import search as TS
-from logspark.sources.store import append, assign_ids, inputs_of, read_logs, stored_logs
+from logspark.sources.store import append, assign_ids, inputs_of, read_logs, spread, stored_logs
 
 AS_OF = "2024-01-29 12:00:00"
 AS_OF_LATER = "2024-02-10 12:00:00"
@@ -462,7 +462,7 @@ def _maintained(spark, sf):
         _arriving(spark, sf, base, i)
         ST.ingest_stream(AD.raw_logs(_arrived(spark, base)), f"{base}/run", store)
         if i == 0:
-            extra = enrich(AD.raw_logs(events(spark, sf).filter(F.col("event_type") == "view")))
+            extra = enrich(AD.raw_logs(spread(events(spark, sf).filter(F.col("event_type") == "view"))))
             append(extra.withColumn("id", -F.col("id") - 1), store)
         if i == 1:
             H.delete_from_table(spark, store, events(spark, sf).filter(F.col("event_type") == "error")
