@@ -208,3 +208,39 @@ def test_live_stats_after_every_arrival(spark, tmp_path):
                 want[k] = want.get(k, 0) + (r.id not in dead)
         assert got == pytest.approx(want)
     assert len(os.listdir(f"{tmp_path}/run/times")) <= 27 + 2          # the ring, and no more
+
+
+def test_live_stats_enrich_a_record_once(spark, tmp_path):
+    """Over two arrivals of deletes and logs, and one of deletes alone."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(i):
+        seen.add(1)
+        return i
+
+    counted = counted.asNondeterministic()      # not pushed about, not evaluated twice
+    ev = read_table(spark, SF_SMALL, "events")
+    for i, part in enumerate((ev.filter("event_id < 300"), ev.filter("event_id >= 300"), None)):
+        if part is not None:
+            part.write.mode("append").parquet(f"{tmp_path}/events")
+        ev.filter(F.col("event_id") % 3 == i).select(F.col("event_id").alias("id"), F.col("ts").alias("deleted_at")) \
+            .write.mode("append").parquet(f"{tmp_path}/deletes")
+        created = enrich(raw_logs(ST.events_stream(spark, f"{tmp_path}/events", glob="*.parquet"))).withColumn("id", counted("id"))
+        got = _live(spark, f"{tmp_path}/run", created, spark.readStream.schema("id long, deleted_at timestamp_ntz").parquet(f"{tmp_path}/deletes"))
+    n = enrich(raw_logs(ev)).count()
+    assert seen.value == n
+    assert got["total", None] == 0 and got["recent", None] == 0
+    assert len(os.listdir(f"{tmp_path}/run/kept/rows")) == 1        # what was read is dropped
+
+
+def test_live_stats_of_deletes_alone(spark, tmp_path):
+    ev = read_table(spark, SF_SMALL, "events")
+    os.makedirs(f"{tmp_path}/events")
+    ev.select(F.col("event_id").alias("id"), F.col("ts").alias("deleted_at")).write.parquet(f"{tmp_path}/deletes")
+    for part in (None, ev.filter("event_id < 50")):
+        if part is not None:
+            part.write.mode("append").parquet(f"{tmp_path}/events")
+        got = _live(spark, f"{tmp_path}/run", enrich(raw_logs(ST.events_stream(spark, f"{tmp_path}/events", glob="*.parquet"))),
+                    spark.readStream.schema("id long, deleted_at timestamp_ntz").parquet(f"{tmp_path}/deletes"))
+    assert got["total", None] == 0
