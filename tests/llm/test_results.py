@@ -463,6 +463,39 @@ def test_lm_learns_from_every_training_document(docs_of):
         assert all((p["ids"][k] != first["ids"][k]).any() for k in own), text
 
 
+def test_lm_cuts_each_text_once(docs_of, monkeypatch):
+    """Counts, training and scores read the ids of one pass over the texts; these are the coder's, word by word."""
+    texts = ["", "  two  words ", "émigré Ünïcode 😀 \x00 \x1f 日本語 <|endoftext|>", "\n\none\ttwo one\r", "x" * 3000, None, "A B a b"]
+    docs, made, cut = docs_of(list(enumerate(texts))), [], lm.coded
+
+    def kept(docs, *args):
+        if "ids" not in docs.columns:
+            made.append(args)
+        return cut(docs, *args)
+
+    monkeypatch.setattr(lm, "coded", kept)
+    assert lm.score(docs).count() == len(texts)
+    assert len(made) == 1
+    coder = lm.Subwords(made[0][0].value).coder
+    got = cut(docs.selectExpr("doc_id", "coalesce(text, '') AS text"), *made[0]).collect()
+    for r in got:
+        words = (texts[r.doc_id] or "").encode().lower().split()
+        want = [k for w in words for k in coder.encode_ordinary(f" {w.decode()}")] + [lm.END]
+        assert np.frombuffer(r.ids, np.uint16).tolist() == want
+
+
+def test_lm_sums_by_id():
+    rng = np.random.default_rng(14)
+    tokens = rng.integers(0, lm.PAD + 1, (9, lm.WINDOW))
+    for kind in (np.float32, np.float64):
+        rows = rng.standard_normal((tokens.size, 6)).astype(kind)
+        want = np.zeros((lm.PAD + 1, 6))
+        np.add.at(want, tokens.reshape(-1), rows)
+        want[lm.PAD] = 0
+        got = lm._by_id(tokens, rows)
+        assert got.dtype == kind and np.allclose(got, want, atol=1e-5)
+
+
 # --- rows without an id, wide components
 
 def test_mix_of_rows_without_ids(sc):
