@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm.common import may_hold, pieces, stored, texts_of
+from logspark.llm.common import drop, may_hold, pieces, stored, texts_of
 from logspark.llm.near import classes, links
 
 NGRAM = 5
@@ -199,6 +199,7 @@ def _judged(docs: DataFrame, similarity: float, n: int, recall: float) -> DataFr
     known = stored(copies.join(near, "id", "left").select(
         "id", "first", F.coalesce("component", "id").alias("component"),
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    drop(copies, near)
     least = known.groupBy("component").agg(F.min("first").alias("least"))
     of_class = known.join(least, "component").select("id", F.col("least.doc_id").alias("class_id"), F.col("least.h").alias("class_h"), "n_links")
     return signed.select("doc_id", "h", "id").join(of_class, "id", "left")

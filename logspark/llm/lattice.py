@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm.common import stored
+from logspark.llm.common import drop, stored
 from logspark.llm.near import classes, links
 
 COSINE = 0.93
@@ -178,6 +178,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, **how) -> DataFr
     known = stored(copies.join(near, "id", "left").select(
         "id", "first", F.coalesce("component", "id").alias("component"),
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    drop(copies, near)
     least = known.groupBy("component").agg(F.min("first").alias("component_id"))
     of_class = known.join(least, "component").select("id", "component_id", "n_links")
     own = F.coalesce("component_id", "vec_id")
