@@ -49,6 +49,15 @@ EVENTS_SCHEMA = T.StructType([
 
 ERRORS = ("error", "critical")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State that grows with the records lies on disk, one store for each partition
+#: of a join; all stores of an executor share a bounded cache.  A checkpoint that
+#: was begun with another provider keeps it.
+ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+}
 
 
 # ------------------------------------------------------------------ sources
@@ -301,10 +310,19 @@ def keep_latency(access: DataFrame, base: str) -> DataFrame:
 
 
 # ------------------------------------------------------------- runners
-def _run(df: DataFrame, base: str, output_mode: str, sink) -> StreamingQuery:
-    """Everything available now through ``sink(batch, epoch)``."""
-    q = (df.writeStream.outputMode(output_mode).foreachBatch(sink)
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+def _run(df: DataFrame, base: str, output_mode: str, sink, conf: dict[str, str] | None = None) -> StreamingQuery:
+    """Everything available now through ``sink(batch, epoch)``; ``conf`` holds
+    for this query alone, which takes its settings when it starts."""
+    session = df.sparkSession.conf
+    before = {k: session.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        session.set(k, v)
+    try:
+        q = (df.writeStream.outputMode(output_mode).foreachBatch(sink)
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    finally:
+        for k, v in before.items():
+            session.unset(k) if v is None else session.set(k, v)
     q.awaitTermination()
     return q
 
@@ -527,7 +545,7 @@ def live_stats(created: DataFrame, deletes: DataFrame, base: str, watermark: str
         drop_folders(spark, [f"{state}/epoch={epoch - 2}"])     # what a replay of the next batch cannot need
         batch.unpersist()
 
-    _run(feed, base, "append", sink)
+    _run(feed, base, "append", sink, ON_DISK)
     drop_folders(spark, [f"{kept}/rows/epoch={e}" for e in epochs(spark, f"{kept}/rows", "epoch=")[:-1]])     # read and committed
     return live_of(spark, base, hours)
 
